@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import quality_rules, substring_dedup
+from sparkloom.llm import jaccard_join, quality_rules, substring_dedup
 
-_MODULES = (quality_rules, substring_dedup)
+_MODULES = (jaccard_join, quality_rules, substring_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items() if sql}
