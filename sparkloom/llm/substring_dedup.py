@@ -164,8 +164,9 @@ def _around(block: int, window: int, bits: int):
             # rows that repeat one place (equal rows) tie with it
             first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             late = (d != d[first]) | (p != p[first])
+            gone = p[late].astype(np.uint32)
             for own, at in K.by_bucket(doc[order[late]]):
-                rows.append((-1, 1, _doc_blob(ids[[own]], keys[[own]], [len(at)]), K.pack(np.sort(p[late][at]).astype(np.uint32)), b""))
+                rows.append((-1, 1, _doc_blob(ids[[own]], keys[[own]], [len(at)]), K.pack(np.sort(gone[at])), b""))
             at = np.sort(order[~late])
             for bucket, own in K.by_bucket((high[at] >> K.U64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(at), dtype=np.uint32)):
                 own = at[own]
@@ -227,8 +228,9 @@ def _later(key: tuple, table: pa.Table) -> pa.Table:
     fresh = np.r_[True, w[1:] != w[:-1]]
     first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     late = (d != d[first]) | (p != p[first])
+    gone = p[late].astype(np.uint32)
     for own, at in K.by_bucket(doc[order[late]]):
-        rows.append((int(ids[own]), int(keys[own]), K.pack_rising(np.sort(p[late][at]).astype(np.uint32))))
+        rows.append((int(ids[own]), int(keys[own]), K.pack_rising(np.sort(gone[at]))))
     return pa.Table.from_batches([_rows(_MARK, rows)])
 
 
@@ -306,15 +308,18 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_col: s
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("rk"), text.alias("text"))
     slim = keyed.select("id", "rk", "text")
 
-    probes = slim.mapInArrow(_probe(block, bucket_bits(size, 12_000_000)), PROBE_SCHEMA)
-    met = probes.groupBy("bucket").applyInArrow(_meet, HIT_SCHEMA)
+    # buckets are few and heavy: a number of partitions of their own keeps them apart
+    bits = bucket_bits(size, 12_000_000)
+    probes = slim.mapInArrow(_probe(block, bits), PROBE_SCHEMA)
+    met = probes.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_meet, HIT_SCHEMA)
     hits = materialize(met.groupBy("unit").applyInArrow(_to_texts, MARK_SCHEMA), "hits")
     # equal rows give one row of hits each; their union is the same
     hits = hits.groupBy("id", "rk").agg(F.max("marks").alias("marks"))
 
     wide = hits.join(slim, ["id", "rk"]).select("id", "rk", "text", "marks")
-    windows = materialize(wide.mapInArrow(_around(block, window, bucket_bits(size, 40_000_000)), WINDOW_SCHEMA), "windows")
-    marks = windows.where("kind = 0").groupBy("bucket").applyInArrow(_later, MARK_SCHEMA).unionByName(windows.where("kind = 1").mapInArrow(_local_marks, MARK_SCHEMA))
+    bits = bucket_bits(size, 20_000_000)
+    windows = materialize(wide.mapInArrow(_around(block, window, bits), WINDOW_SCHEMA), "windows")
+    marks = windows.where("kind = 0").repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_later, MARK_SCHEMA).unionByName(windows.where("kind = 1").mapInArrow(_local_marks, MARK_SCHEMA))
     marks = materialize(marks.groupBy("id", "rk").agg(F.collect_set("marks").alias("marks")), "marks")
 
     joined = keyed.join(marks, ["id", "rk"], "left").select("row", "text", "marks")
