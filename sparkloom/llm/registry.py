@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import fingerprints, jaccard_join, licenses, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from sparkloom.llm import fingerprints, jaccard_join, licenses, line_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity
 
-_MODULES = (fingerprints, jaccard_join, licenses, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, toxicity)
+_MODULES = (fingerprints, jaccard_join, licenses, line_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items() if sql}
