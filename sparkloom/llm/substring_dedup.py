@@ -145,7 +145,18 @@ def _to_texts(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(_MARK, rows)])
 
 
-def _around(block: int, window: int, bits: int):
+def _dealt(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Marked places (doc: index into ids and keys) as one packed row for each destination that gets some."""
+    home = (K.mix(ids.view(K.U64)) % K.U64(parts)).astype(np.int64)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    for part, at in K.by_bucket(home[doc]):
+        own = doc[at]
+        cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        yield part, _doc_blob(ids[own[cuts]], keys[own[cuts]], np.diff(np.r_[cuts, len(own)])), K.pack(pos[at].astype(np.uint32))
+
+
+def _around(block: int, window: int, bits: int, parts: int):
     """Windows of `window` words that hold a hit; the later ones of a unit are marked at once."""
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +175,7 @@ def _around(block: int, window: int, bits: int):
             # rows that repeat one place (equal rows) tie with it
             first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             late = (d != d[first]) | (p != p[first])
-            gone = p[late].astype(np.uint32)
-            for own, at in K.by_bucket(doc[order[late]]):
-                rows.append((-1, 1, _doc_blob(ids[[own]], keys[[own]], [len(at)]), K.pack(np.sort(gone[at])), b""))
+            rows += [(-1 - part, 1, table, places, b"") for part, table, places in _dealt(ids, keys, doc[order[late]], p[late], parts)]
             at = np.sort(order[~late])
             for bucket, own in K.by_bucket((high[at] >> K.U64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(at), dtype=np.uint32)):
                 own = at[own]
@@ -203,6 +212,8 @@ def _around(block: int, window: int, bits: int):
     return around
 
 
+_DEALT = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+DEALT_SCHEMA = "part long, a binary, b binary"
 _WINDOW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 WINDOW_SCHEMA = "bucket long, kind int, a binary, b binary, c binary"
 
@@ -215,34 +226,38 @@ def _doc_table(blob: bytes) -> np.ndarray:
     return K.unpack(blob, np.int64).reshape(3, -1)
 
 
-def _later(key: tuple, table: pa.Table) -> pa.Table:
-    """One bucket of windows: every place but the first of each window, by row."""
-    rows = []
-    docs = [_doc_table(b) for b in K.binaries(table, "a")]
-    ids, keys, counts = np.concatenate(docs, axis=1)
+def _later(parts: int):
+    def later(key: tuple, table: pa.Table) -> pa.Table:
+        """One bucket of windows: every place but the first of each window."""
+        docs = [_doc_table(b) for b in K.binaries(table, "a")]
+        ids, keys, counts = np.concatenate(docs, axis=1)
+        pos = np.concatenate([K.unpack(b, np.uint32) for b in K.binaries(table, "b")])
+        low = np.concatenate([K.unpack(b, np.uint64) for b in K.binaries(table, "c")])
+        doc = np.repeat(np.arange(len(ids)), counts)
+        order = np.lexsort((pos, ids[doc], low))
+        w, d, p = low[order], ids[doc[order]], pos[order]
+        fresh = np.r_[True, w[1:] != w[:-1]]
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        late = (d != d[first]) | (p != p[first])
+        rows = list(_dealt(ids, keys, doc[order[late]], p[late], parts))
+        return pa.Table.from_batches([_rows(_DEALT, rows)])
+
+    return later
+
+
+def _gather(key: tuple, table: pa.Table) -> pa.Table:
+    """One destination: all marked places of each of its rows."""
+    ids, keys, counts = np.concatenate([_doc_table(b) for b in K.binaries(table, "a")], axis=1)
     pos = np.concatenate([K.unpack(b, np.uint32) for b in K.binaries(table, "b")])
-    low = np.concatenate([K.unpack(b, np.uint64) for b in K.binaries(table, "c")])
     doc = np.repeat(np.arange(len(ids)), counts)
-    order = np.lexsort((pos, ids[doc], low))
-    w, d, p = low[order], ids[doc[order]], pos[order]
-    fresh = np.r_[True, w[1:] != w[:-1]]
-    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    late = (d != d[first]) | (p != p[first])
-    gone = p[late].astype(np.uint32)
-    for own, at in K.by_bucket(doc[order[late]]):
-        rows.append((int(ids[own]), int(keys[own]), K.pack_rising(np.sort(gone[at]))))
+    order = np.lexsort((pos, keys[doc], ids[doc]))
+    i, k, p = ids[doc][order], keys[doc][order], pos[order]
+    new = np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])]
+    cuts = np.r_[np.flatnonzero(new), len(p)]
+    rows = [(int(i[lo]), int(k[lo]), K.pack_rising(np.unique(p[lo:hi]))) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.Table.from_batches([_rows(_MARK, rows)])
 
 
-def _local_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for a, b in zip(K.binaries(batch, "a"), K.binaries(batch, "b"), strict=True):
-            ids, keys, _ = _doc_table(a)
-            rows.append((int(ids[0]), int(keys[0]), K.pack_rising(K.unpack(b, np.uint32))))
-        yield _rows(_MARK, rows)
-
-
 def _apply(window: int, schema: pa.Schema):
     """The words that stay, in the order of the text and joined by one space; figures of each text."""
 
@@ -254,8 +269,8 @@ def _apply(window: int, schema: pa.Schema):
                 edge = np.zeros(len(x.starts) + 1, dtype=np.int32)
                 for d in range(x.n):
                     lo, hi = x.bounds[d], x.bounds[d + 1]
-                    own = marks[x.first + d]
-                    for blob in own or ():
+                    blob = marks[x.first + d]
+                    if blob:
                         begin = K.unpack_rising(blob) + lo
                         np.add.at(edge, begin, 1)
                         np.add.at(edge, np.minimum(begin + window, hi), -1)
@@ -317,10 +332,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_col: s
     hits = hits.groupBy("id", "rk").agg(F.max("marks").alias("marks"))
 
     wide = hits.join(slim, ["id", "rk"]).select("id", "rk", "text", "marks")
-    bits = bucket_bits(size, 20_000_000)
-    windows = materialize(wide.mapInArrow(_around(block, window, bits), WINDOW_SCHEMA), "windows")
-    marks = windows.where("kind = 0").repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_later, MARK_SCHEMA).unionByName(windows.where("kind = 1").mapInArrow(_local_marks, MARK_SCHEMA))
-    marks = materialize(marks.groupBy("id", "rk").agg(F.collect_set("marks").alias("marks")), "marks")
+    bits, parts = bucket_bits(size, 20_000_000), -(-max(1, size) // 100_000_000)
+    windows = materialize(wide.mapInArrow(_around(block, window, bits, parts), WINDOW_SCHEMA), "windows")
+    late = windows.where("kind = 0").repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_later(parts), DEALT_SCHEMA)
+    late = late.unionByName(windows.where("kind = 1").select((-1 - F.col("bucket")).alias("part"), "a", "b"))
+    marks = materialize(late.groupBy("part").applyInArrow(_gather, MARK_SCHEMA), "marks")
 
     joined = keyed.join(marks, ["id", "rk"], "left").select("row", "text", "marks")
     schema = joined.selectExpr("row", "0L n_words", "0L n_removed", "'' text", "'' kept_sha256", "array(named_struct('first', 0L, 'last', 0L)) spans").schema
