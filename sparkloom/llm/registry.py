@@ -1,9 +1,12 @@
-"""The queries of this subpackage and their DuckDB SQL."""
+"""The queries of this subpackage and their DuckDB SQL, the corpus pipeline among them."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sparkloom.llm import fingerprints, jaccard_join, licenses, line_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity
 
-_MODULES = (fingerprints, jaccard_join, licenses, line_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity)
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items() if sql}
+_MODULES = (substring_dedup, pieces, packing, quality_classifier, toxicity, licenses, jaccard_join, line_dedup, fingerprints, quality_rules)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
