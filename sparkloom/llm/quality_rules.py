@@ -61,7 +61,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     An id whose labels disagree is not trusted. Without trusted rows every ratio is 0.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
-    joined = docs.join(good, docs["doc_id"] == good["good_id"], "left").select(F.col("good_id").isNotNull().alias("trusted"), "text")
+    # the labels grow with the corpus, so they are shuffled, but the texts need no sort
+    joined = docs.join(good.hint("shuffle_hash"), docs["doc_id"] == good["good_id"], "left").select(F.col("good_id").isNotNull().alias("trusted"), "text")
     target, raw = gathered(joined.mapInArrow(_count, COUNT_SCHEMA), (2, BUCKETS))
     if not target.sum():
         return np.zeros(BUCKETS, dtype=np.int64)
