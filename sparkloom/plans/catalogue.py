@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import corpus, evaluation
+from sparkloom.plans import corpus, evaluation, events, language, store
 
-_MODULES = (evaluation, corpus)
+_MODULES = (evaluation, corpus, language, store, events)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
