@@ -6,9 +6,8 @@ o = ceil(t / (1 + t) * (|A| + |B|)) shingles. Equal sets are one class from the
 Light sets (at most x shingles) are enumerated: every 2-subset of the rarest |A| - ceil(t |A|) + 2 shingles is a
 key, and light sets that link share one. Heavy sets scan inverted lists: every set that a heavy one can link
 with lists its rarest |A| - ceil(t |A|) + 1 shingles, and pairs with a heavy side share one of them. The
-boundary x is the one of least estimated cost. "Rarest" follows one global order: shingles that a count-min table
-over all documents finds frequent come last, by their count. Any order gives the same links; this one keeps
-common passages out of the lists.
+boundary x is the one of least estimated cost. "Rarest" follows one global order: by the cell of a count table over all
+documents, then by hash. Any order gives the same links; this one keeps common passages out of the lists.
 
 Within a list, pairs are not enumerated at first: each entry pairs with the list's pivot, pairs are verified on
 the whole sets, and components follow. Then only pairs of one list that still lie in different components are
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
@@ -30,9 +29,11 @@ from sparkloom.llm.sketches import SLICES, gathered
 from sparkloom.llm.storage import bucket_bits, materialize
 
 NULL_ID = -(2**63)
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 LADDER = (0, 2, 4, 8, 12, 16, 24, 32, 48, 64)
-UNIT_POSTINGS = 1_000_000
+UNIT_POSTINGS = 500_000
+PIVOT_ROUNDS = 2
+PIVOTS = 4
 _PROFILE = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 PROFILE_SCHEMA = "slice int, counts binary, id long, n long, s1 long, s2 long"
 _POST = pa.schema([("bucket", pa.int64()), ("sets", pa.binary()), ("tags", pa.binary()), ("places", pa.binary())])
@@ -83,19 +84,25 @@ def overlap(a, b, pct: int):
 
 def _profile(k: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, some = np.zeros(1 << SKETCH_BITS, dtype=np.int64), False
+        table, some, held, count = np.zeros(1 << SKETCH_BITS, dtype=np.int64), False, [], 0
         for batch in batches:
             ids = K.column(batch, "id").to_numpy(zero_copy_only=False)
             parts = []
             for x in K.texts(K.column(batch, "text"), lower=True):
                 s = Sets(x, k)
-                table += np.bincount((s.h >> K.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(table))
+                held.append((s.h >> K.U64(64 - SKETCH_BITS)).astype(np.uint32))
+                count += len(s.h)
+                if count > len(table):
+                    table += np.bincount(np.concatenate(held), minlength=len(table))
+                    held, count = [], 0
                 parts.append((s.sizes, *s.sig))
             if parts:
                 some = True
                 n, s1, s2 = (np.concatenate(p) for p in zip(*parts, strict=True))
                 m = len(n)
                 yield K.batch_of(_PROFILE, {"slice": [None] * m, "counts": [None] * m, "id": ids, "n": n, "s1": s1, "s2": s2})
+        if held:
+            table += np.bincount(np.concatenate(held), minlength=len(table))
         if some:
             parts = np.split(table, SLICES)
             yield K.batch_of(_PROFILE, {"slice": list(range(SLICES)), "counts": [K.pack(p) for p in parts], **{c: [None] * SLICES for c in ("id", "n", "s1", "s2")}})
@@ -103,12 +110,6 @@ def _profile(k: int):
     return profile
 
 
-def frequent_rank(table: np.ndarray) -> np.ndarray:
-    """0 for all cells of usual load, else the load: the first key of the global order."""
-    usual = max(16, int(8 * table.mean()))
-    return np.where(table > usual, table, 0)
-
-
 def boundary(histogram: dict[int, int], table: np.ndarray, pct: int) -> tuple[int, int]:
     """(x, number of keys that will be emitted): the boundary of least estimated cost.
 
@@ -133,9 +134,9 @@ def boundary(histogram: dict[int, int], table: np.ndarray, pct: int) -> tuple[in
     return best[1], best[2]
 
 
-def _post(k: int, x_light: int, pct: int, bits: int, rank: np.ndarray):
+def _post(k: int, x_light: int, pct: int, bits: int, ranks):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, rank = [], 0, ranks.value
 
         def flush() -> pa.RecordBatch:
             nonlocal held, count
@@ -220,36 +221,44 @@ def _lists(x_light: int, pct: int):
     return lists
 
 
-def _verify(pct: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spread(h: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2^k cells, one byte each; empty if a cell overflows."""
+    bits = max(4, min(10, int(len(h)).bit_length() - 1))
+    cells = np.bincount((h & K.U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return cells.astype(np.uint8).tobytes() if cells.max() < 256 else b""
+
+
+def _bound(pct: int):
+    """Pairs whose cells allow enough common shingles: in a cell at most the lesser count is common."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            left, right = K.column(batch, "left"), K.column(batch, "right")
-            ok = np.zeros(len(batch), dtype=bool)
-            last = (None, None)
-            for i in range(len(batch)):
-                other = right[i].as_py()
-                if last[0] != other:
-                    last = (other, K.unpack(other, np.uint64))
-                a, b = K.unpack(left[i].as_py(), np.uint64), last[1]
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                both = int((b[at] == a).sum())
-                ok[i] = 100 * both >= pct * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([K.column(batch, c).filter(pa.array(ok)) for c in ("ra", "rb")], schema=schema)
-
-    return verify
+            left, right = K.binaries(batch, "left"), K.binaries(batch, "right")
+            sa, sb = (K.column(batch, c).to_numpy() for c in ("na", "nb"))
+            ok = np.ones(len(batch), dtype=bool)
+            for i, (x, y) in enumerate(zip(left, right, strict=True)):
+                if not x or not y:
+                    continue
+                u, v = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+                m = min(len(u), len(v))
+                u, v = (w if len(w) == m else w.reshape(-1, m).sum(axis=0) for w in (u, v))
+                ok[i] = np.minimum(u, v).sum(dtype=np.int64) >= -(-pct * (int(sa[i]) + int(sb[i])) // (100 + pct))
+            yield pa.RecordBatch.from_arrays([K.column(batch, c).filter(pa.array(ok)) for c in ("a", "b")], schema=schema)
+
+    return bound
 
 
 def _blobs(k: int):
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("size", pa.int32()), ("set", pa.binary())])
+        schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("set", pa.list_(pa.int64()))])
         for batch in batches:
             ids = K.column(batch, "rep").to_numpy(zero_copy_only=False)
-            rows: list = []
             for x in K.texts(K.column(batch, "text"), lower=True):
                 s = Sets(x, k)
-                rows += [(int(s.sig[0][d]), int(ids[x.first + d]), int(s.sizes[d]), K.pack(s.h[s.bounds[d] : s.bounds[d + 1]])) for d in range(x.n)]
-            yield K.batch_of(schema, {f.name: [r[i] for r in rows] for i, f in enumerate(schema)})
+                sets = pa.ListArray.from_arrays(pa.array(s.bounds.astype(np.int32)), pa.array(s.h.view(np.int64)))
+                cells = [spread(s.h[lo:hi]) for lo, hi in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+                yield K.batch_of(schema, {"sig": s.sig[0], "rep": ids[x.first : x.first + x.n], "size": s.sizes, "cells": cells, "set": sets})
 
     return blobs
 
@@ -274,18 +283,25 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     x_light, keys = boundary(histogram, table, percent)
     keys += int(rest["k"] or 0)
 
-    posts = base.mapInArrow(_post(shingle, x_light, percent, bucket_bits(keys, 1_500_000), frequent_rank(table)), POST_SCHEMA)
+    # the count table has a fixed size (2^20 cells), whatever the corpus
+    ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
+    posts = base.mapInArrow(_post(shingle, x_light, percent, bucket_bits(keys, 1_500_000), ranks), POST_SCHEMA)
     entries = materialize(posts.groupBy("bucket").applyInArrow(_lists(x_light, percent), ENTRY_SCHEMA), "lists")
 
     # classes of candidate sets, with their sets in whole
     wanted = entries.select("sig").distinct()
     reps = classes.select(F.col("s1").alias("sig"), "rep").join(wanted, "sig", "left_semi").select("rep")
     texts = base.join(reps, base["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "text")
-    sets = materialize(texts.mapInArrow(_blobs(shingle), "sig long, rep long, size int, set binary").join(wanted, "sig", "left_semi"), "sets").dropDuplicates(["sig"])
+    sets = materialize(texts.mapInArrow(_blobs(shingle), "sig long, rep long, size int, cells binary, set array<long>"), "sets").dropDuplicates(["sig"])
 
     def linked(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("sig").alias(s), F.col("rep").alias(f"r{s}"), F.col("set").alias(c)) for s, c in (("a", "left"), ("b", "right")))
-        return pairs.join(one, "a").join(two, "b").select("ra", "rb", "left", "right").mapInArrow(_verify(percent), "a long, b long")
+        few = sets.select("sig", F.col("size").alias("n"), "cells")
+        few_a, few_b = (few.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(c)) for s, c in (("a", "left"), ("b", "right")))
+        near = materialize(pairs.join(few_a, "a").join(few_b, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(_bound(percent), "a long, b long"), "near")
+        whole = near.join(one, "a").join(two, "b")
+        both = F.size(F.array_intersect("left", "right"))
+        return whole.where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
     def fits(a: str, b: str, pa_: str, pb: str, kind: str):
         na, nb = F.col(a), F.col(b)
@@ -296,21 +312,34 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
 
     heads = entries.where("sig = pivot").select("list", F.col("size").alias("size2"), F.col("place").alias("place2"))
     stars = entries.where("sig <> pivot").join(heads, "list").where(fits("size", "size2", "place", "place2", "kind"))
-    pairs = materialize(stars.select(F.col("sig").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    pairs = materialize(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars")
     links = materialize(linked(pairs), "links")
-    first = components(links)
-
-    # lists that still touch several components: the pairs between those
-    named = sets.select("sig", F.col("rep").alias("node")).join(first, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
-    placed = entries.join(named, "sig")
-    # every such pair has an end outside its list's largest component
-    shares = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list")
-    split = shares.agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
-    open_ = materialize(placed.join(split, "list"), "open")
-    minor = open_.where("comp <> major").select("list", *[F.col(c).alias(f"{c}2") for c in ("sig", "comp", "size", "place")])
-    cross = open_.join(minor, "list").where("comp <> comp2 and pivot <> sig and pivot <> sig2").where(fits("size", "size2", "place", "place2", "kind"))
-    cross = cross.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
-    more = linked(materialize(cross, "cross"))
+    def still_open() -> DataFrame:
+        """Entries of lists that touch several components, with each list's largest component."""
+        first = components(links)
+        named = sets.select("sig", F.col("rep").alias("node")).join(first, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
+        placed = entries.join(named, "sig")
+        shares = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list")
+        split = shares.agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
+        return materialize(placed.join(split, "list"), "open")
+
+    def across(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        two = other.select("list", *[F.col(c).alias(f"{c}2") for c in ("sig", "comp", "size", "place")])
+        met = one.join(two, "list").where("comp <> comp2 and pivot <> sig and pivot <> sig2").where(fits("size", "size2", "place", "place2", "kind"))
+        return materialize(met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct(), name)
+
+    # more pivots: a few further members of each list's largest component, the same in all lists if they are there
+    tried = pairs
+    for turn in range(PIVOT_ROUNDS):
+        open_ = still_open()
+        major = open_.where("comp = major and sig <> pivot").withColumn("turn", F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))).where(F.col("turn") <= PIVOTS)
+        again = across(open_.where("comp <> major"), major, "pivots")
+        links = materialize(links.unionByName(linked(again.join(tried, ["a", "b"], "left_anti"))), "links")
+        tried = tried.unionByName(again)
+    # then all pairs between components: each has an end outside its list's largest one
+    open_ = still_open()
+    cross = across(open_, open_.where("comp <> major"), "cross").join(tried, ["a", "b"], "left_anti")
+    more = linked(cross)
     final = components(materialize(links.unionByName(more), "all_links"))
 
     own = sizes.where("n > 0").select("id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
