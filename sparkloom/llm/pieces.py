@@ -37,7 +37,8 @@ class Vocabulary:
     hashes: np.ndarray
     weights: np.ndarray
     lengths: np.ndarray
-    mask: np.ndarray
+    slots: np.ndarray
+    crowd: int
     byte_ids: np.ndarray
     byte_weight: float
     data: np.ndarray
@@ -74,9 +75,12 @@ def load(path: str = MODEL, temperature: float = TEMPERATURE) -> Vocabulary:
     x = next(K.texts(pa.array(pieces, type=pa.large_string()), limit=1 << 30))
     h = _piece_hash(x, x.offs[:-1], x.offs[1:])
     order = np.argsort(h)
-    mask = np.zeros(1 << 20, dtype=bool)
-    mask[(h >> K.U64(44)).astype(np.int64)] = True
-    return Vocabulary(np.array(ids, dtype=np.int32)[order], h[order], (logs * temperature)[order], np.diff(x.offs)[order], mask, byte_ids, float(logs.min() * temperature - 2.0), np.frombuffer(b"".join(all_bytes), dtype=np.uint8), np.cumsum([0] + [len(b) for b in all_bytes]))
+    # first place of each 20-bit beginning among the sorted hashes, and how many may share one
+    top = (h[order] >> K.U64(44)).astype(np.int64)
+    slots = np.full(1 << 20, -1, dtype=np.int32)
+    slots[top[::-1]] = np.arange(len(top))[::-1]
+    crowd = int(np.bincount(top).max())
+    return Vocabulary(np.array(ids, dtype=np.int32)[order], np.append(h[order], np.zeros(crowd, dtype=K.U64)), (logs * temperature)[order], np.diff(x.offs)[order], slots, crowd, byte_ids, float(logs.min() * temperature - 2.0), np.frombuffer(b"".join(all_bytes), dtype=np.uint8), np.cumsum([0] + [len(b) for b in all_bytes]))
 
 
 def _piece_hash(x: K.Texts, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -103,10 +107,13 @@ class Lattice:
                 break
             own = at[lead[at] != 0x80]
             h = _piece_hash(x, own, own + k)
-            maybe = v.mask[(h >> K.U64(44)).astype(np.int64)]
-            own, h = own[maybe], h[maybe]
-            where = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
+            slot = v.slots[(h >> K.U64(44)).astype(np.int64)]
+            maybe = slot >= 0
+            own, h, where = own[maybe], h[maybe], slot[maybe]
             hit = v.hashes[where] == h
+            for _ in range(v.crowd - 1):
+                where = np.where(hit, where, where + 1)
+                hit = v.hashes[where] == h
             own, where = own[hit], where[hit]
             starts.append(own), spans.append(np.full(len(own), k)), ids.append(v.ids[where]), weights.append(v.weights[where])
             known[own[size[own] == k]] = True
@@ -120,7 +127,7 @@ class Lattice:
         word = np.searchsorted(offs, start, "right") - 1
         node = end + word  # one more node than bytes in each word
         origin = start + word
-        order = np.lexsort((span, node))
+        order = np.lexsort((-span, node))  # longer pieces first: they are drawn more often
         self.node, self.origin, self.span, self.piece, weight = node[order], origin[order], span[order], piece[order], weight[order]
         depth = (end - offs[word])[order]
         total = n + len(offs) - 1
@@ -137,7 +144,7 @@ class Lattice:
             alpha[nodes[first]] = np.logaddexp.reduceat(alpha[self.origin[own]] + weight[own], first)
         chance = np.exp(alpha[self.origin] + weight - alpha[self.node])
         first = np.flatnonzero(np.r_[True, self.node[1:] != self.node[:-1]]) if len(self.node) else np.empty(0, dtype=np.int64)
-        # cumulative chances within each node, then one rising array: place of the node plus chance
+        # cumulative chances within each node
         run = np.cumsum(chance)
         base = np.repeat(run[first] - chance[first], np.diff(np.r_[first, len(chance)]))
         within = np.minimum(run - base, 1.0)
@@ -146,8 +153,7 @@ class Lattice:
         self.turn = turn
         last = np.r_[first[1:], len(chance)] - 1
         within[last] = 1.0
-        self.rising = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(chance)])) + within
-        self.first, self.last = first, last
+        self.within, self.first = within, first
 
     def ends(self) -> np.ndarray:
         return self.offs[1:] + np.arange(len(self.offs) - 1)
@@ -175,8 +181,11 @@ def encode_run(texts: K.Texts, keys: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     count = np.zeros(len(starts), dtype=np.int64)
     while len(live):
         u = (K.mix(seed[live] + K.U64(step * int(K._GRAM[0, 10]) % 2**64), 73) >> K.U64(11)).astype(np.float64) / 2.0**53
-        turn = lattice.turn[at[live]]
-        arc = np.clip(np.searchsorted(lattice.rising, turn + u, "right"), lattice.first[turn], lattice.last[turn])
+        arc = lattice.first[lattice.turn[at[live]]]
+        more = np.flatnonzero(lattice.within[arc] <= u)
+        while len(more):  # u < 1 and the last chance of each node is 1
+            arc[more] += 1
+            more = more[lattice.within[arc[more]] <= u[more]]
         steps.append((live, lattice.piece[arc]))
         count[live] += 1
         at[live] = lattice.origin[arc]
