@@ -20,6 +20,8 @@ from sparkloom.llm.sketches import COUNT_SCHEMA, gathered, sliced
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.25
+#: Weight of the raw corpus in the smoothed target, as a share of the target's n-grams.
+PRIOR = 0.05
 #: Ratios are whole numbers of this part, so that a text's sum does not depend on its neighbours.
 UNIT = 1 << 20
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -66,7 +68,10 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     target, raw = gathered(joined.mapInArrow(_count, COUNT_SCHEMA), (2, BUCKETS))
     if not target.sum():
         return np.zeros(BUCKETS, dtype=np.int64)
-    ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    # the target is smoothed towards the raw corpus, so a small target does not look unlike it everywhere
+    background = (raw + 1) / (raw.sum() + BUCKETS)
+    prior = 1 + PRIOR * target.sum()
+    ratio = np.log((target + prior * background) / (target.sum() + prior)) - np.log(background)
     return np.round(ratio * UNIT).astype(np.int64)
 
 
