@@ -156,20 +156,28 @@ def _entries(spark, d):
 
 
 def search_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return H.tiers(_entries(spark, d), "part 1", 40).select("id", "tier", "lookup", "total")
+    return H.tiers(_entries(spark, d), "red ring", 40).select("id", "tier", "lookup", "total")
+
+
+def search_contains(spark: SparkSession, d: str) -> DataFrame:
+    return H.tiers(_entries(spark, d), "plat", 40).select("id", "tier", "lookup", "total")
+
+
+def search_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return H.tiers(_entries(spark, d), "sm", 25).select("id", "tier", "lookup", "total")
 
 
 def search_reverse(spark: SparkSession, d: str) -> DataFrame:
-    return H.reverse(_entries(spark, d), "small").select("id", "gloss_text")
+    return H.reverse(_entries(spark, d), "economy").select("id", "gloss_text")
 
 
 def search_gloss(spark: SparkSession, d: str) -> DataFrame:
-    words = spark.sql("SELECT * FROM VALUES (1, 'part 7'), (2, 'nothing'), (3, 'part 12') AS t(seq, word)").withColumnRenamed("word", "asked")
+    words = spark.sql("SELECT * FROM VALUES (1, 'red plate'), (2, 'nothing'), (3, 'hot gear') AS t(seq, word)").withColumnRenamed("word", "asked")
     out = H.gloss(words.withColumnRenamed("asked", "word"), _entries(spark, d).drop("word"))
     return out.select("seq", "word", "id", "place")
 
 
-QUERIES = {f.__name__: f for f in (lines_without_label, labelled_lines, latest_per_group, topn_per_kind, weighted_mean_fit, lag_delta_ablation, param_grid_best, upsert_rows, upsert_prune, pivot_scores, metric_decoration, suffix_pairing, support_inventory, document_violations, first_reasons, keep_or_drop, reconcile_tolerance, explorer_page, lineage_chain, asof_last_event, rollback_running_max, effective_segments, segments_islands, dropped_names, recipe_changes, conditional_arg_max, search_tiers, search_reverse, search_gloss)}
+QUERIES = {f.__name__: f for f in (lines_without_label, labelled_lines, latest_per_group, topn_per_kind, weighted_mean_fit, lag_delta_ablation, param_grid_best, upsert_rows, upsert_prune, pivot_scores, metric_decoration, suffix_pairing, support_inventory, document_violations, first_reasons, keep_or_drop, reconcile_tolerance, explorer_page, lineage_chain, asof_last_event, rollback_running_max, effective_segments, segments_islands, dropped_names, recipe_changes, conditional_arg_max, search_tiers, search_contains, search_prefix, search_reverse, search_gloss)}
 LOG = "log AS (SELECT event_id, user_id, ts, trunc(value * 10)::BIGINT AS step, event_type = 'view' AS start FROM events)"
 KEY = r"trim(regexp_replace(regexp_replace(translate(lower(p_name), '’‘`', ''''''''), '[^\p{L}\p{N}'' -]', ' ', 'g'), ' +', ' ', 'g'))"
 ENTRIES = f"entries AS (SELECT p_partkey AS id, {KEY} AS lookup, CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS g, ' ' || lower(p_type) || ' ' AS gloss_text FROM part)"
@@ -206,7 +214,9 @@ SELECT * FROM l WHERE last > first""",
     "dropped_names": "WITH e AS (SELECT user_id, event_id, [event_type, 't' || (event_id % 3)] AS names FROM events), f AS (SELECT user_id, arg_max(names, event_id) AS fin, list_distinct(flatten(list(names))) AS al FROM e GROUP BY 1) SELECT user_id, coalesce(array_to_string(list_sort(list_filter(al, lambda x: NOT list_contains(fin, x))), ','), '') AS dropped FROM f",
     "recipe_changes": "WITH r AS (SELECT n_nationkey, unnest([{'name': 'region', 'v': n_regionkey::VARCHAR}, {'name': 'size', 'v': length(n_name)::VARCHAR}]) AS a FROM nation), l AS (SELECT n_nationkey, a.name AS name, lag(a.v) OVER (PARTITION BY a.name ORDER BY n_nationkey) AS before, a.v AS after FROM r) SELECT * FROM l WHERE before IS DISTINCT FROM after AND before IS NOT NULL",
     "conditional_arg_max": "SELECT p_brand, p_size, p_partkey FROM part WHERE p_size > 0 AND p_size <= 30 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC) = 1",
-    "search_tiers": f"WITH {ENTRIES}, f AS (SELECT *, CASE WHEN lookup = 'part 1' THEN 0 WHEN starts_with(lookup, 'part 1') THEN 1 WHEN contains(lookup, 'part 1') THEN 2 END AS tier FROM entries) SELECT id, tier, lookup, (SELECT count(tier) FROM f) AS total FROM f WHERE tier IS NOT NULL ORDER BY tier, g, length(lookup), lookup, id LIMIT 40",
-    "search_reverse": f"WITH {ENTRIES} SELECT id, gloss_text FROM entries WHERE contains(gloss_text, ' small ') AND NOT contains(lookup, 'small') ORDER BY length(gloss_text), lookup, id LIMIT 12",
-    "search_gloss": f"WITH {ENTRIES}, w AS (SELECT * FROM (VALUES (1, 'part 7'), (2, 'nothing'), (3, 'part 12')) t(seq, word)) SELECT seq, word, id, row_number() OVER (PARTITION BY seq ORDER BY g, length(lookup), lookup, id) AS place FROM w LEFT JOIN entries ON lookup = word QUALIFY place <= 3",
+    "search_tiers": f"WITH {ENTRIES}, f AS (SELECT *, CASE WHEN lookup = 'red ring' THEN 0 WHEN starts_with(lookup, 'red ring') THEN 1 WHEN contains(lookup, 'red ring') THEN 2 END AS tier FROM entries) SELECT id, tier, lookup, (SELECT count(tier) FROM f) AS total FROM f WHERE tier IS NOT NULL ORDER BY tier, g, length(lookup), lookup, id LIMIT 40",
+    "search_contains": f"WITH {ENTRIES}, f AS (SELECT *, CASE WHEN lookup = 'plat' THEN 0 WHEN starts_with(lookup, 'plat') THEN 1 WHEN contains(lookup, 'plat') THEN 2 END AS tier FROM entries) SELECT id, tier, lookup, (SELECT count(tier) FROM f) AS total FROM f WHERE tier IS NOT NULL ORDER BY tier, g, length(lookup), lookup, id LIMIT 40",
+    "search_prefix": f"WITH {ENTRIES}, f AS (SELECT *, CASE WHEN lookup = 'sm' THEN 0 WHEN starts_with(lookup, 'sm') THEN 1 END AS tier FROM entries) SELECT id, tier, lookup, (SELECT count(tier) FROM f) AS total FROM f WHERE tier IS NOT NULL ORDER BY tier, g, length(lookup), lookup, id LIMIT 25",
+    "search_reverse": f"WITH {ENTRIES} SELECT id, gloss_text FROM entries WHERE contains(gloss_text, ' economy ') AND NOT contains(lookup, 'economy') ORDER BY length(gloss_text), lookup, id LIMIT 12",
+    "search_gloss": f"WITH {ENTRIES}, w AS (SELECT * FROM (VALUES (1, 'red plate'), (2, 'nothing'), (3, 'hot gear')) t(seq, word)) SELECT seq, word, id, row_number() OVER (PARTITION BY seq ORDER BY g, length(lookup), lookup, id) AS place FROM w LEFT JOIN entries ON lookup = word QUALIFY place <= 3",
 }
