@@ -1,0 +1,118 @@
+"""Readings of alignments: syllable segments, frame paths, CTC scores, n-gram F-scores."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.functions.alignment import align_batch
+from sparkloom.functions.script import syllables
+
+SEGMENTS = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.StringType())]))
+
+
+def segments(ref: str, hyp: str) -> list[dict]:
+    """The reading by syllable: ok, sub, ins, sp (a space the reference lacks); unread syllables as del where they miss.
+
+    Syllables align as symbols, spaces apart from them; all but del segments joined give the reading again.
+    """
+    own, read = syllables(ref), syllables(hyp)
+    names: dict[str, str] = {}
+    symbol = lambda s: names.setdefault(s, chr(0xF0000 + len(names)))
+    a, b = [s for s in own if s != " "], [s for s in read if s != " "]
+    after, count = set(), 0
+    for s in own:
+        after |= {count - 1} if s == " " else set()
+        count += s != " "
+    steps = align_batch(["".join(map(symbol, a))], ["".join(map(symbol, b))])[0]
+    state, beside, lost, at = {}, {}, {}, -1
+    for tag, i, j, _, _ in steps:
+        at = i if i is not None else at
+        if j is None:
+            lost.setdefault(1 + max(state, default=-1), []).append(a[i])
+        else:
+            state[j], beside[j] = {"equal": "ok", "replace": "sub", "insert": "ins"}[tag], at
+    out, j = [], 0
+    gone = lambda k: [{"t": "".join(lost.pop(k)), "s": "del"}] if k in lost else []
+    for s in read:
+        if s == " ":
+            out.append({"t": " ", "s": "ok" if j and beside[j - 1] in after else "sp"})
+            continue
+        out += [*gone(j), {"t": s, "s": state[j]}]
+        j += 1
+    return out + gone(len(b))
+
+
+@F.pandas_udf(SEGMENTS)
+def syllable_diff(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([segments(r or "", h or "") for r, h in zip(ref, hyp, strict=True)])
+
+
+def greedy_spans(frames: DataFrame, key: str, at: str, token: str) -> DataFrame:
+    """(key, token, first, last): runs of one token over the frames, blanks (0) left out."""
+    from sparkloom.operators.lineage import islands
+
+    return islands(frames, key, [at], token).where("value <> 0").select(key, F.col("value").alias("token"), "first", "last")
+
+
+def ctc_log_probability(logs: np.ndarray, ids: list[int]) -> float:
+    """log probability of a token sequence under (frames, tokens) log probabilities, summed over all alignments."""
+    path = [0]
+    for i in ids:
+        path += [i, 0]
+    now = np.full(len(path), -math.inf)
+    now[0] = logs[0][0]
+    if len(path) > 1:
+        now[1] = logs[0][path[1]]
+    skip = np.array([k > 1 and path[k] != 0 and path[k] != path[k - 2] for k in range(len(path))])
+    for frame in logs[1:]:
+        one = np.r_[-math.inf, now[:-1]]
+        two = np.where(skip, np.r_[-math.inf, -math.inf, now[:-2]][: len(path)], -math.inf)
+        now = np.logaddexp(np.logaddexp(now, one), two) + np.asarray(frame)[path]
+    return float(np.logaddexp(now[-1], now[-2]) if len(path) > 1 else now[-1])
+
+
+def candidate_score(ctc: Column, lm: Column, length: Column, alpha: float, beta: float) -> Column:
+    return ctc + alpha * lm + beta * length
+
+
+def chrf_counts(ref: str, hyp: str, order: int = 6) -> list[tuple[int, int, int]]:
+    """(common, reference, output) character n-grams of each order, white space left out."""
+    r, h = "".join(ref.split()), "".join(hyp.split())
+    out = []
+    for n in range(1, order + 1):
+        a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (r, h))
+        out.append((sum((a & b).values()), sum(a.values()), sum(b.values())))
+    return out
+
+
+_COUNTS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("both", "ref", "hyp")]))
+
+
+@F.pandas_udf(_COUNTS)
+def _chrf_counts(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("both", "ref", "hyp"), c)) for c in chrf_counts(r or "", h or "")] for r, h in zip(ref, hyp, strict=True)])
+
+
+def corpus_chrf(rows: DataFrame, group: str, ref: str, hyp: str, beta: float = 2.0) -> DataFrame:
+    """(group, lines, chrf): counts are summed over the corpus first, then orders that occur are averaged."""
+    long = rows.select(group, F.posexplode(_chrf_counts(F.col(ref), F.col(hyp))).alias("n", "c"))
+    sums = long.groupBy(group, "n").agg(F.sum("c.both").alias("both"), F.sum("c.ref").alias("ref"), F.sum("c.hyp").alias("hyp"), F.count(F.lit(1)).alias("lines"))
+    own = F.when((F.col("ref") > 0) & (F.col("hyp") > 0), F.lit(1))
+    p, r = F.avg(own * F.col("both") / F.nullif("hyp", F.lit(0))), F.avg(own * F.col("both") / F.nullif("ref", F.lit(0)))
+    mean = sums.groupBy(group).agg(F.max("lines").alias("lines"), F.coalesce(p, F.lit(0.0)).alias("p"), F.coalesce(r, F.lit(0.0)).alias("r"))
+    score = F.coalesce(F.try_divide((1 + beta**2) * F.col("p") * F.col("r"), beta**2 * F.col("p") + F.col("r")), F.lit(0.0))
+    return mean.select(group, "lines", F.round(100 * score, 6).alias("chrf"))
+
+
+def rare_line_stats(ops: Column, rare: list[str]) -> Column:
+    """Per line: rare characters in the reference, read right, put out, and edits that touch one."""
+    own = lambda c: F.coalesce(c.isin(rare), F.lit(False))
+    n = lambda f: F.size(F.filter(ops, f))
+    return F.struct(n(lambda s: own(s["r"])).alias("ref"), n(lambda s: own(s["r"]) & (s["tag"] == "equal")).alias("hits"), n(lambda s: own(s["h"])).alias("emitted"), n(lambda s: own(s["r"]) & (s["tag"] != "equal")).alias("touched"))
