@@ -42,8 +42,9 @@ def bootstrap_multinomial(units: DataFrame, key: str, sums: tuple[str, str, str,
     denominator are left out.
     """
     spark = units.sparkSession
-    grouped = units.groupBy(key).agg(*[F.sum(s).alias(s) for s in sums])
-    placed = grouped.select(*sums, (F.row_number().over(Window.orderBy(key)) - 1).alias("at"))
+    names = tuple(dict.fromkeys(sums))
+    grouped = units.groupBy(key).agg(*[F.sum(s).alias(s) for s in names])
+    placed = grouped.select(*names, (F.row_number().over(Window.orderBy(key)) - 1).alias("at"))
     total = grouped.agg(F.count(F.lit(1)).alias("n"))
     draws = spark.range(1, reps + 1).select(F.col("id").alias("rep")).join(F.broadcast(total)).select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     picked = draws.select("rep", draw(F.col("rep"), F.col("k"), F.col("n")).cast("int").alias("at")).groupBy("rep", "at").agg(F.count(F.lit(1)).alias("w"))
@@ -63,7 +64,7 @@ def poisson_weight(rep: Column, key: Column) -> Column:
 
 def bootstrap_poisson(units: DataFrame, key: str, sums: tuple[str, str, str, str], reps: int) -> DataFrame:
     """As bootstrap_multinomial, but each unit draws its own weight: one pass, partial sums, no join."""
-    wide = units.select(F.col(key).alias("_k"), *sums, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    wide = units.select(F.col(key).alias("_k"), *dict.fromkeys(sums), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     w = wide.withColumn("w", poisson_weight(F.col("rep"), F.col("_k"))).where("w > 0")
     a, b, c, d = (F.sum(F.col(s) * F.col("w")) for s in sums)
     return w.groupBy("rep").agg((F.try_divide(a.cast("double"), b) - F.try_divide(c.cast("double"), d)).alias("diff")).where("diff is not null")

@@ -153,7 +153,7 @@ def split_of(key: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a text: split at \\n, and after . ! ? and an ellipsis before white space."""
     parts = F.flatten(F.transform(F.split(text, "\n", -1), lambda p: F.split(p, r"(?<=[.!?…])\s+", -1)))
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def markup_to_text(markup: Column) -> Column:
@@ -163,7 +163,8 @@ def markup_to_text(markup: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\x0B\f\r]+", " "), r" ?\n[ \n]*", "\n"))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\x0B\f\r]+", " "), r" ?\n[ \n]*", "\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def ctc_collapse(ids: Column) -> Column:

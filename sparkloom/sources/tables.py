@@ -61,7 +61,7 @@ def xml_pages(spark: SparkSession, path: str) -> DataFrame:
 def markdown_rows(spark: SparkSession, path: str, cells: int = 5) -> DataFrame:
     """Rows of a markdown table whose first cell is in back-ticks, as an array of trimmed cells."""
     parts = F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|", -1)
-    rows = spark.read.text(path).where(F.trim("value").startswith("|")).select(F.transform(parts, F.trim).alias("cells"))
+    rows = spark.read.text(path).where(F.trim("value").startswith("|")).select(F.transform(parts, lambda c: F.trim(c)).alias("cells"))
     return rows.where((F.size("cells") == cells) & F.col("cells")[0].rlike("^`.+`$"))
 
 
