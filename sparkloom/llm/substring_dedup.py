@@ -31,7 +31,7 @@ from sparkloom.llm import kernel as K
 from sparkloom.llm.storage import bucket_bits, corpus_size, materialize
 
 NULL_ID = -(2**63)
-UNIT_WORDS = 2_000_000
+UNIT_WORDS = 1_000_000
 PROBE_SCHEMA = "bucket long, unit long, kind int, a binary, b binary, c binary"
 HIT_SCHEMA = "unit long, kind int, a binary, b binary, c binary"
 MARK_SCHEMA = "id long, rk long, marks binary"
