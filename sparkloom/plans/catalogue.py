@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import corpus, evaluation, events, language, script, store
+from sparkloom.plans import corpus, evaluation, events, language, reports, script, store
 
-_MODULES = (evaluation, corpus, script, language, store, events)
+_MODULES = (evaluation, corpus, script, language, store, reports, events)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
