@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat its id and text, one stays; documents without an id stay, as none of them is the first.
     """
     classes = jaccard_classes(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(classes.withColumnRenamed("doc_id", "kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = docs.join(classes.withColumnRenamed("doc_id", "kept_id").hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("one")) if rest else kept.distinct()
     return one.select(*[F.col("one")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.storage import materialize
+from sparkloom.llm.storage import forget, materialize
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -23,17 +23,21 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b): the smallest node that it reaches.
 
-    Links may repeat, in either direction; a link of a node to itself and null ends say nothing. Only counts
-    and a checksum of the links reach the driver.
+    Links may repeat, in either direction; a link of a node to itself and null ends say nothing. Only whether
+    any node is left to move reaches the driver.
     """
     a, b = links.columns[:2]
     now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    seen = None
+    last = None
     while True:
-        now = materialize(_stars(_stars(now, True), False), "stars")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        now = materialize(_stars(_stars(now, True), False), "stars", free=False)
+        if last is not None:
+            forget(last)
+        last = now
+        # done when every node has one link and it leads to a node that has none
+        several = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        deep = now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        if several.unionByName(deep).isEmpty():
             break
-        seen = state
     roots = now.groupBy("v").agg(F.count(F.lit(1))).select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -26,19 +26,23 @@ from pyspark.sql import functions as F
 from sparkloom.llm import kernel as K
 from sparkloom.llm.components import components
 from sparkloom.llm.sketches import SLICES, gathered
-from sparkloom.llm.storage import bucket_bits, materialize
+from sparkloom.llm.storage import bucket_bits, forget, materialize
 
 NULL_ID = -(2**63)
 SKETCH_BITS = 20
 LADDER = (0, 2, 4, 8, 12, 16, 24, 32, 48, 64)
 UNIT_POSTINGS = 500_000
-PIVOT_ROUNDS = 2
-PIVOTS = 4
+PIVOT_ROUNDS = 3
+PIVOTS = 16
+FOLD = 256
+#: Pairs whose signatures are broadcast: at most 3.2 MB.
+BROADCAST_PAIRS = 200_000
 _PROFILE = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 PROFILE_SCHEMA = "slice int, counts binary, id long, n long, s1 long, s2 long"
 _POST = pa.schema([("bucket", pa.int64()), ("sets", pa.binary()), ("tags", pa.binary()), ("places", pa.binary())])
 POST_SCHEMA = "bucket long, sets binary, tags binary, places binary"
 _ENTRY = pa.schema([("list", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64()), ("pivot", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+ENTRY_COLUMNS = ("list", "kind", "sig", "pivot", "size", "place")
 ENTRY_SCHEMA = "list long, kind int, sig long, pivot long, size int, place int"
 
 
@@ -191,8 +195,33 @@ def _post(k: int, x_light: int, pct: int, bits: int, ranks):
     return post
 
 
+def _partnered(t: np.ndarray, n: np.ndarray, p: np.ndarray, light: bool, x_light: int, pct: int) -> np.ndarray:
+    """Entries of sorted lists that sizes and places allow to link with another entry of their list.
+
+    Lists of up to 64 entries are tried pair by pair; longer ones are left as they are, which loses nothing.
+    """
+    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[: len(t)]
+    run = np.diff(np.r_[starts, len(t)])
+    keep = np.repeat(run > 64, run)
+    for m in np.unique(run[(run > 1) & (run <= 64)]):
+        own = starts[run == m]
+        for lo in range(0, len(own), max(1, 1_000_000 // (m * m))):
+            at = own[lo : lo + max(1, 1_000_000 // (m * m))][:, None] + np.arange(m)
+            a, b = n[at][:, :, None], n[at][:, None, :]
+            ok = 100 * np.minimum(a, b) >= pct * np.maximum(a, b)
+            if not light:
+                left = (n - p)[at]
+                ok &= (np.maximum(a, b) > x_light) & (np.minimum(left[:, :, None], left[:, None, :]) >= overlap(a, b, pct))
+            ok[:, np.arange(m), np.arange(m)] = False
+            keep[at] = ok.any(axis=2)
+    return keep
+
+
 def _lists(x_light: int, pct: int):
-    """One bucket of keys: its lists of two or more different sets. The pivot is the set of least mixed signature."""
+    """One bucket of keys: its lists of two or more different sets, named by a hash of their members.
+
+    The pivot is the set of least mixed signature. Were two lists to share a name, they would be searched as one.
+    """
 
     def lists(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -206,17 +235,24 @@ def _lists(x_light: int, pct: int):
         fresh = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
         order = order[fresh]
         t, s, n, p = tag[order], sig[order], size[order], place[order]
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        run = np.diff(np.r_[starts, len(t)])
-        some = np.repeat(run > 1, run)
+        some = _partnered(t, n, p, bool(bucket & 1), x_light, pct)
         t, s, n, p = t[some], s[some], n[some], p[some]
         turn = K.mix(s.view(K.U64), 21)
         order = np.lexsort((turn, t))
         t, s, n, p = t[order], s[order], n[order], p[order]
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[: len(t)] if len(t) else np.empty(0, dtype=np.int64)
-        lead = np.repeat(s[starts], np.diff(np.r_[starts, len(t)])) if len(t) else s
-        ids = (np.int64(bucket) << 32) | t.astype(np.int64)
-        return pa.Table.from_batches([K.batch_of(_ENTRY, {"list": ids, "kind": np.full(len(t), bucket & 1), "sig": s, "pivot": lead, "size": n, "place": p})])
+        run = np.diff(np.r_[starts, len(t)])
+        lead = np.repeat(s[starts], run)
+        # near copies share most of their lists: lists of the same members are one, at the least of their places
+        members = np.add.reduceat(K.mix(s.view(K.U64), 22), starts) if len(t) else np.empty(0, dtype=K.U64)
+        members = K.mix(members + run.astype(K.U64), 23 + (bucket & 1))
+        _, first, same = np.unique(members, return_index=True, return_inverse=True)
+        of = np.repeat(np.arange(len(starts)), run)
+        home = starts[first[same]][of] + np.arange(len(t)) - starts[of] if len(t) else of
+        least = p.copy()
+        np.minimum.at(least, home, p)
+        own = np.flatnonzero(home == np.arange(len(t)))
+        return pa.Table.from_batches([K.batch_of(_ENTRY, {"list": members.view(np.int64)[of[own]], "kind": np.full(len(own), bucket & 1), "sig": s[own], "pivot": lead[own], "size": n[own], "place": least[own]})])
 
     return lists
 
@@ -228,6 +264,12 @@ def spread(h: np.ndarray) -> bytes:
     return cells.astype(np.uint8).tobytes() if cells.max() < 256 else b""
 
 
+def folded(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Counts of each text's shingles in FOLD cells, for the bound inside a join."""
+    cells = of.astype(np.int64) * FOLD + ((h >> K.U64(20)) & K.U64(FOLD - 1)).astype(np.int64)
+    return np.bincount(cells, minlength=n * FOLD).astype(np.int32)
+
+
 def _bound(pct: int):
     """Pairs whose cells allow enough common shingles: in a cell at most the lesser count is common."""
 
@@ -251,14 +293,15 @@ def _bound(pct: int):
 
 def _blobs(k: int):
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("set", pa.list_(pa.int64()))])
+        schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("fold", pa.list_(pa.int32())), ("set", pa.list_(pa.int64()))])
         for batch in batches:
             ids = K.column(batch, "rep").to_numpy(zero_copy_only=False)
             for x in K.texts(K.column(batch, "text"), lower=True):
                 s = Sets(x, k)
                 sets = pa.ListArray.from_arrays(pa.array(s.bounds.astype(np.int32)), pa.array(s.h.view(np.int64)))
                 cells = [spread(s.h[lo:hi]) for lo, hi in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
-                yield K.batch_of(schema, {"sig": s.sig[0], "rep": ids[x.first : x.first + x.n], "size": s.sizes, "cells": cells, "set": sets})
+                fold = pa.ListArray.from_arrays(pa.array(np.arange(x.n + 1, dtype=np.int32) * FOLD), pa.array(folded(s.h, s.of, x.n)))
+                yield K.batch_of(schema, {"fold": fold, "sig": s.sig[0], "rep": ids[x.first : x.first + x.n], "size": s.sizes, "cells": cells, "set": sets})
 
     return blobs
 
@@ -286,68 +329,92 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
     # the count table has a fixed size (2^20 cells), whatever the corpus
     ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
     posts = base.mapInArrow(_post(shingle, x_light, percent, bucket_bits(keys, 1_500_000), ranks), POST_SCHEMA)
-    entries = materialize(posts.groupBy("bucket").applyInArrow(_lists(x_light, percent), ENTRY_SCHEMA), "lists")
+    found = posts.groupBy("bucket").applyInArrow(_lists(x_light, percent), ENTRY_SCHEMA)
+    entries = materialize(found.groupBy("list", "kind", "sig", "pivot", "size").agg(F.min("place").alias("place")).select(*ENTRY_COLUMNS), "lists")
 
     # classes of candidate sets, with their sets in whole
     wanted = entries.select("sig").distinct()
     reps = classes.select(F.col("s1").alias("sig"), "rep").join(wanted, "sig", "left_semi").select("rep")
-    texts = base.join(reps, base["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "text")
-    sets = materialize(texts.mapInArrow(_blobs(shingle), "sig long, rep long, size int, cells binary, set array<long>"), "sets").dropDuplicates(["sig"])
+    texts = base.join(reps.hint("merge"), base["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "text")
+    stored = materialize(texts.mapInArrow(_blobs(shingle), "sig long, rep long, size int, cells binary, fold array<int>, set array<long>"), "sets")
+    sets = stored.dropDuplicates(["sig"])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("sig").alias(s), F.col("rep").alias(f"r{s}"), F.col("set").alias(c)) for s, c in (("a", "left"), ("b", "right")))
+        """Links (a, b: class representatives) among pairs (a, b: signatures): by cell bound, then by whole sets."""
         few = sets.select("sig", F.col("size").alias("n"), "cells")
         few_a, few_b = (few.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(c)) for s, c in (("a", "left"), ("b", "right")))
-        near = materialize(pairs.join(few_a, "a").join(few_b, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(_bound(percent), "a long, b long"), "near")
-        whole = near.join(one, "a").join(two, "b")
+        near = materialize(pairs.join(few_a, "a").join(few_b, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(_bound(percent), "a long, b long"), "near", free=False)
+        # only sets of such pairs are shuffled; their ids are broadcast if few, else shuffled too
+        ids = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
+        whole = sets.join(F.broadcast(ids) if near.count() <= BROADCAST_PAIRS else ids.hint("merge"), "sig", "left_semi")
+        one, two = (whole.select(F.col("sig").alias(s), F.col("rep").alias(f"r{s}"), F.col("set").alias(c)) for s, c in (("a", "left"), ("b", "right")))
+        met = near.join(one, "a").join(two, "b")
         both = F.size(F.array_intersect("left", "right"))
-        return whole.where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        return met.where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    def fits(a: str, b: str, pa_: str, pb: str, kind: str):
+    def fits(a: str, b: str, at: str, bt: str, kind: str):
         na, nb = F.col(a), F.col(b)
         need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
-        reach = F.least(na - F.col(pa_), nb - F.col(pb)) >= need
+        reach = F.least(na - F.col(at), nb - F.col(bt)) >= need
         heavy = F.greatest(na, nb) > x_light
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & ((F.col(kind) == 1) | (reach & heavy))
 
     heads = entries.where("sig = pivot").select("list", F.col("size").alias("size2"), F.col("place").alias("place2"))
     stars = entries.where("sig <> pivot").join(heads, "list").where(fits("size", "size2", "place", "place2", "kind"))
-    pairs = materialize(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars")
-    links = materialize(linked(pairs), "links")
-    def still_open() -> DataFrame:
+    pairs = materialize(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars", free=False)
+    links = materialize(linked(pairs), "links", free=False)
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Entries of lists that touch several components, with each list's largest component."""
-        first = components(links)
-        named = sets.select("sig", F.col("rep").alias("node")).join(first, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
-        placed = entries.join(named, "sig")
+        named = sets.select("sig", F.col("rep").alias("node")).join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
+        placed = rows.select(*ENTRY_COLUMNS).join(named, "sig")
         shares = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list")
         split = shares.agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
         return materialize(placed.join(split, "list"), "open")
 
-    def across(one: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        two = other.select("list", *[F.col(c).alias(f"{c}2") for c in ("sig", "comp", "size", "place")])
+    def across(one: DataFrame, other: DataFrame, bounded: bool) -> DataFrame:
+        """Pairs of one list and different components that sizes, places and, if `bounded`, folded counts allow to link."""
+        names = ["sig", "comp", "size", "place"]
+        if bounded:
+            cells = sets.select("sig", "fold")
+            one, other, names = one.join(cells, "sig"), other.join(cells, "sig"), [*names, "fold"]
+        two = other.select("list", *[F.col(c).alias(f"{c}2") for c in names])
         met = one.join(two, "list").where("comp <> comp2 and pivot <> sig and pivot <> sig2").where(fits("size", "size2", "place", "place2", "kind"))
-        return materialize(met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct(), name)
-
-    # more pivots: a few further members of each list's largest component, the same in all lists if they are there
-    tried = pairs
-    for turn in range(PIVOT_ROUNDS):
-        open_ = still_open()
-        major = open_.where("comp = major and sig <> pivot").withColumn("turn", F.row_number().over(Window.partitionBy("list").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))).where(F.col("turn") <= PIVOTS)
-        again = across(open_.where("comp <> major"), major, "pivots")
-        links = materialize(links.unionByName(linked(again.join(tried, ["a", "b"], "left_anti"))), "links")
-        tried = tried.unionByName(again)
-    # then all pairs between components: each has an end outside its list's largest one
-    open_ = still_open()
-    cross = across(open_, open_.where("comp <> major"), "cross").join(tried, ["a", "b"], "left_anti")
-    more = linked(cross)
-    final = components(materialize(links.unionByName(more), "all_links"))
-
+        if bounded:
+            most = F.aggregate(F.zip_with("fold", "fold2", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
+            met = met.where(most * (100 + percent) >= percent * (F.col("size") + F.col("size2")))
+        return materialize(met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct(), "across", free=bounded)
+
+    # more pivots: a few further members of each list, of its largest component and of the others
+    labels, tried, open_ = components(links), pairs, entries
+    for turn in range(PIVOT_ROUNDS + 1):
+        before, open_ = open_, still_open(open_, labels)
+        forget(before)
+        if open_.isEmpty():
+            break
+        minor = open_.where("comp <> major")
+        if turn < PIVOT_ROUNDS:
+            # each set outside a list's largest component meets it in one of their common lists, another in each round
+            draw = F.xxhash64("list", F.lit(turn))
+            one = minor.groupBy("sig", "major").agg(F.min(F.struct(draw.alias("draw"), "list", "kind", "pivot", "size", "place", "comp")).alias("e")).select("sig", "major", "e.*")
+            place = F.row_number().over(Window.partitionBy("list", F.col("comp") == F.col("major")).orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
+            met = open_.where("sig <> pivot").join(one.select("list").distinct(), "list", "left_semi")
+            found = across(one, met.withColumn("turn", place).where(F.col("turn") <= PIVOTS), False)
+        else:  # then all pairs between components: each has an end outside its list's largest one
+            found = across(open_, minor, True)
+        new = materialize(linked(found.join(tried, ["a", "b"], "left_anti")), "links")
+        tried = tried.unionByName(found)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+
+    forget(open_, stored)
     own = sizes.where("n > 0").select("id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
     # a node is a class; ids that repeat with other texts tie their classes together
-    tied = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    least = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
+    tied = own.join(least, "id").select("a", F.col("rep").alias("b")).where("a <> b")
     if tied.limit(1).count():
-        final = components(materialize(links.unionByName(more).unionByName(tied), "tied"))
-    out = own.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
+        labels = components(links.unionByName(tied))
+    out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
     out = out.unionByName(sizes.where("n = 0").select("id", "n", F.col("id").alias("c")))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("c").alias("component_id"))

@@ -23,10 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """`df` as a table in the shared folder: later stages read it again after a loss instead of recomputing.
 
-    Shuffle files of the finished stages are released. The table goes at the end of the process, or by release().
+    With `free`, shuffle files of the finished stages are released at once, not at some later garbage collection;
+    small tables of many rounds do without. The table goes at the end of the process, or by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{uuid.uuid4().hex}/{name}"
@@ -34,18 +35,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     _WRITTEN.append((spark, path.rpartition("/")[0]))
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path.rpartition("/")[0]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        own = (df.sparkSession, df.stored_at)
+        if own in _WRITTEN:
+            _WRITTEN.remove(own)
+            _delete(*own)
 
 
 def release(spark: SparkSession | None = None) -> None:
     """Delete every table that materialize() has written (for `spark`)."""
     for own, path in [x for x in _WRITTEN if spark is None or x[0] is spark]:
-        with contextlib.suppress(Exception):
-            jvm = own.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(own, path)
         _WRITTEN.remove((own, path))
 
 

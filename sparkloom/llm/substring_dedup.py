@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkloom.llm import kernel as K
-from sparkloom.llm.storage import bucket_bits, corpus_size, materialize
+from sparkloom.llm.storage import bucket_bits, corpus_size, forget, materialize
 
 NULL_ID = -(2**63)
 UNIT_WORDS = 1_000_000
@@ -327,18 +327,20 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_col: s
     bits = bucket_bits(size, 12_000_000)
     probes = slim.mapInArrow(_probe(block, bits), PROBE_SCHEMA)
     met = probes.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_meet, HIT_SCHEMA)
-    hits = materialize(met.groupBy("unit").applyInArrow(_to_texts, MARK_SCHEMA), "hits")
+    found = materialize(met.groupBy("unit").applyInArrow(_to_texts, MARK_SCHEMA), "hits")
     # equal rows give one row of hits each; their union is the same
-    hits = hits.groupBy("id", "rk").agg(F.max("marks").alias("marks"))
+    hits = found.groupBy("id", "rk").agg(F.max("marks").alias("marks"))
 
-    wide = hits.join(slim, ["id", "rk"]).select("id", "rk", "text", "marks")
+    # texts are joined by sorting at every size: what they meet grows with the corpus
+    wide = hits.hint("merge").join(slim, ["id", "rk"]).select("id", "rk", "text", "marks")
     bits, parts = bucket_bits(size, 20_000_000), -(-max(1, size) // 100_000_000)
     windows = materialize(wide.mapInArrow(_around(block, window, bits, parts), WINDOW_SCHEMA), "windows")
     late = windows.where("kind = 0").repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_later(parts), DEALT_SCHEMA)
     late = late.unionByName(windows.where("kind = 1").select((-1 - F.col("bucket")).alias("part"), "a", "b"))
     marks = materialize(late.groupBy("part").applyInArrow(_gather, MARK_SCHEMA), "marks")
+    forget(found, windows)
 
-    joined = keyed.join(marks, ["id", "rk"], "left").select("row", "text", "marks")
+    joined = keyed.join(marks.hint("merge"), ["id", "rk"], "left").select("row", "text", "marks")
     schema = joined.selectExpr("row", "0L n_words", "0L n_removed", "'' text", "'' kept_sha256", "array(named_struct('first', 0L, 'last', 0L)) spans").schema
     return joined.mapInArrow(_apply(window, to_arrow_schema(schema)), schema)
 
