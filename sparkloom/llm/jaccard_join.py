@@ -343,7 +343,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
         """Links (a, b: class representatives) among pairs (a, b: signatures): by cell bound, then by whole sets."""
         few = sets.select("sig", F.col("size").alias("n"), "cells")
         few_a, few_b = (few.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(c)) for s, c in (("a", "left"), ("b", "right")))
-        near = materialize(pairs.join(few_a, "a").join(few_b, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(_bound(percent), "a long, b long"), "near", free=False)
+        near = materialize(pairs.join(few_a, "a").join(few_b, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(_bound(percent), "a long, b long"), "near")
         # only sets of such pairs are shuffled; their ids are broadcast if few, else shuffled too
         ids = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
         whole = sets.join(F.broadcast(ids) if near.count() <= BROADCAST_PAIRS else ids.hint("merge"), "sig", "left_semi")
@@ -361,8 +361,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
 
     heads = entries.where("sig = pivot").select("list", F.col("size").alias("size2"), F.col("place").alias("place2"))
     stars = entries.where("sig <> pivot").join(heads, "list").where(fits("size", "size2", "place", "place2", "kind"))
-    pairs = materialize(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars", free=False)
-    links = materialize(linked(pairs), "links", free=False)
+    pairs = materialize(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars")
+    links = materialize(linked(pairs), "links")
     def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Entries of lists that touch several components, with each list's largest component."""
         named = sets.select("sig", F.col("rep").alias("node")).join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
@@ -371,18 +371,15 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
         split = shares.agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
         return materialize(placed.join(split, "list"), "open")
 
-    def across(one: DataFrame, other: DataFrame, bounded: bool) -> DataFrame:
-        """Pairs of one list and different components that sizes, places and, if `bounded`, folded counts allow to link."""
-        names = ["sig", "comp", "size", "place"]
-        if bounded:
-            cells = sets.select("sig", "fold")
-            one, other, names = one.join(cells, "sig"), other.join(cells, "sig"), [*names, "fold"]
-        two = other.select("list", *[F.col(c).alias(f"{c}2") for c in names])
+    def across(one: DataFrame, other: DataFrame) -> DataFrame:
+        """Pairs of one list and different components that sizes, places and folded counts allow to link."""
+        cells = sets.select("sig", "fold")
+        one, other = (x.join(cells, "sig") for x in (one, other))
+        two = other.select("list", *[F.col(c).alias(f"{c}2") for c in ("sig", "comp", "size", "place", "fold")])
+        most = F.aggregate(F.zip_with("fold", "fold2", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
         met = one.join(two, "list").where("comp <> comp2 and pivot <> sig and pivot <> sig2").where(fits("size", "size2", "place", "place2", "kind"))
-        if bounded:
-            most = F.aggregate(F.zip_with("fold", "fold2", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
-            met = met.where(most * (100 + percent) >= percent * (F.col("size") + F.col("size2")))
-        return materialize(met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct(), "across", free=bounded)
+        met = met.where(most * (100 + percent) >= percent * (F.col("size") + F.col("size2")))
+        return materialize(met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct(), "across")
 
     # more pivots: a few further members of each list, of its largest component and of the others
     labels, tried, open_ = components(links), pairs, entries
@@ -398,9 +395,9 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col
             one = minor.groupBy("sig", "major").agg(F.min(F.struct(draw.alias("draw"), "list", "kind", "pivot", "size", "place", "comp")).alias("e")).select("sig", "major", "e.*")
             place = F.row_number().over(Window.partitionBy("list", F.col("comp") == F.col("major")).orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
             met = open_.where("sig <> pivot").join(one.select("list").distinct(), "list", "left_semi")
-            found = across(one, met.withColumn("turn", place).where(F.col("turn") <= PIVOTS), False)
+            found = across(one, met.withColumn("turn", place).where(F.col("turn") <= PIVOTS))
         else:  # then all pairs between components: each has an end outside its list's largest one
-            found = across(open_, minor, True)
+            found = across(open_, minor)
         new = materialize(linked(found.join(tried, ["a", "b"], "left_anti")), "links")
         tried = tried.unionByName(found)
         if not new.isEmpty():

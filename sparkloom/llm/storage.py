@@ -23,11 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: later stages read it again after a loss instead of recomputing.
 
-    With `free`, shuffle files of the finished stages are released at once, not at some later garbage collection;
-    small tables of many rounds do without. The table goes at the end of the process, or by release().
+    Shuffle files of the finished stages are released at once, not at some later garbage collection. The table goes at the end of the process, or by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{uuid.uuid4().hex}/{name}"
@@ -35,9 +34,8 @@ def materialize(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     _WRITTEN.append((spark, path.rpartition("/")[0]))
     schema = df.schema
     del df
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path.rpartition("/")[0]
     return out
