@@ -69,11 +69,11 @@ def leakage(lines: DataFrame, split: str, text: str) -> DataFrame:
     return n.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("leaked"))
 
 
-def length_histogram(lines: DataFrame, text: str) -> DataFrame:
-    """(bucket, lines) in tens from 20 on, empty buckets included, 80 counted in the last."""
+def length_histogram(lines: DataFrame, text: str, least: int = MIN_LEN) -> DataFrame:
+    """(bucket, lines) in tens from `least` on, empty buckets included, 80 counted in the last."""
     spark = lines.sparkSession
     got = lines.groupBy((F.floor(F.least(F.length(text), F.lit(MAX_LEN - 1)) / 10) * 10).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    wanted = spark.range(MIN_LEN, MAX_LEN, 10).select(F.col("id").alias("bucket"))
+    wanted = spark.range(least, MAX_LEN, 10).select(F.col("id").alias("bucket"))
     return wanted.join(got, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("lines"))
 
 

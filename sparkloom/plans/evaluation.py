@@ -15,104 +15,104 @@ R9 = lambda c: F.round(c, 9)
 SUMMARY_SQL = "count(*) AS lines, round(sum(levenshtein(ref, a)) / greatest(1, sum(length(ref))), 9) AS cer, round(sum(levenshtein(ref, a)) / greatest(1, sum(greatest(length(ref), length(a)))), 9) AS ned, round(sum(levenshtein(ref, replace(a, ' ', ''))) / greatest(1, sum(length(ref))), 9) AS cer_no_space, round(avg((ref = a)::INT), 9) AS exact"
 
 
-def eval_summary_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    return O.summary_sets(readings(spark, d), ["lang"], "ref", "a")
+def eval_summary_by_lang(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.summary_sets(rows_of(spark, d), ["lang"], "ref", "a")
 
 
-def eval_summary_by_lang_source(spark: SparkSession, d: str) -> DataFrame:
-    return O.summary_sets(readings(spark, d), ["lang", "source"], "ref", "a")
+def eval_summary_by_lang_source(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.summary_sets(rows_of(spark, d), ["lang", "source"], "ref", "a")
 
 
-def eval_worst_lines(spark: SparkSession, d: str) -> DataFrame:
-    return O.worst(readings(spark, d), "ref", "a", ["page", "line_no"])
+def eval_worst_lines(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.worst(rows_of(spark, d), "ref", "a", ["page", "line_no"])
 
 
-def eval_gate_parts(spark: SparkSession, d: str) -> DataFrame:
+def eval_gate_parts(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
     kind = F.when(F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 10, "print").otherwise("hand")
-    return O.parts(readings(spark, d).withColumn("kind", kind), "kind", "page", "ref", "a")
+    return O.parts(rows_of(spark, d).withColumn("kind", kind), "kind", "page", "ref", "a")
 
 
-def gate_report(spark: SparkSession, d: str) -> DataFrame:
-    return O.gates(readings(spark, d), "ref", {"G1": ("a", 0.02), "G2": ("b", 0.12)})
+def gate_report(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.gates(rows_of(spark, d), "ref", {"G1": ("a", 0.02), "G2": ("b", 0.12)})
 
 
-def method_scores(spark: SparkSession, d: str) -> DataFrame:
-    return O.method_scores(readings(spark, d), "page", "lang", "ref", {"first": "a", "second": "b"}, "first")
+def method_scores(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.method_scores(rows_of(spark, d), "page", "lang", "ref", {"first": "a", "second": "b"}, "first")
 
 
-def paired_counts_lines(spark: SparkSession, d: str) -> DataFrame:
-    return O.paired_lines(readings(spark, d), ["lang"], "ref", "a", "b")
+def paired_counts_lines(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.paired_lines(rows_of(spark, d), ["lang"], "ref", "a", "b")
 
 
-def paired_counts_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return O.paired_clusters(readings(spark, d), "page", "ref", "a", "b")
+def paired_counts_clusters(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.paired_clusters(rows_of(spark, d), "page", "ref", "a", "b")
 
 
-def sign_test_pairs(spark: SparkSession, d: str) -> DataFrame:
-    counts = O.paired_lines(readings(spark, d), ["lang"], "ref", "a", "b")
+def sign_test_pairs(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    counts = O.paired_lines(rows_of(spark, d), ["lang"], "ref", "a", "b")
     return counts.select("lang", "a_better", "b_better", R9(S.sign_test("a_better", "b_better")).alias("p"))
 
 
-def _sums(spark, d):
+def _sums(spark, d, rows_of=readings):
     n = F.length("ref").cast("long")
-    return readings(spark, d).select("page", "source", "line_no", M.edits("ref", "a").alias("ea"), n.alias("na"), M.edits("ref", "b").alias("eb"), n.alias("nb"))
+    return rows_of(spark, d).select("page", "source", "line_no", M.edits("ref", "a").alias("ea"), n.alias("na"), M.edits("ref", "b").alias("eb"), n.alias("nb"))
 
 
 SUMS = ("ea", "na", "eb", "nb")
 
 
-def bootstrap_ci_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return S.interval(S.bootstrap_multinomial(_sums(spark, d), "source", SUMS, 200))
+def bootstrap_ci_cluster(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return S.interval(S.bootstrap_multinomial(_sums(spark, d, rows_of), "source", SUMS, 200))
 
 
-def bootstrap_ci_stepwise(spark: SparkSession, d: str) -> DataFrame:
-    return S.interval_stepwise(S.bootstrap_multinomial(_sums(spark, d), "source", SUMS, 200))
+def bootstrap_ci_stepwise(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return S.interval_stepwise(S.bootstrap_multinomial(_sums(spark, d, rows_of), "source", SUMS, 200))
 
 
-def bootstrap_ci_row(spark: SparkSession, d: str) -> DataFrame:
-    rows = _sums(spark, d).withColumn("unit", F.concat_ws("-", "page", "line_no"))
+def bootstrap_ci_row(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    rows = _sums(spark, d, rows_of).withColumn("unit", F.concat_ws("-", "page", "line_no"))
     return S.interval(S.bootstrap_poisson(rows, "unit", SUMS, 50))
 
 
-def paired_integrity_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = readings(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), "page", "ref", "a", "b")
+def paired_integrity_violations(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    rows = rows_of(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), "page", "ref", "a", "b")
     lines = rows.select("id", "ref")
     preds = rows.where("page % 7 <> 0").select("id", F.lit("a").alias("pipeline"), F.col("a").alias("text"), R9(M.line_cer("ref", "a")).alias("cer")).unionByName(rows.select("id", F.lit("b").alias("pipeline"), F.col("b").alias("text"), R9(M.line_cer("ref", "b") + F.when(F.col("page") % 11 == 0, 0.5).otherwise(0.0)).alias("cer")))
     preds = preds.unionByName(preds.where("pipeline = 'b' and id like '1-%'")).unionByName(spark.sql("SELECT 'ghost' AS id, 'a' AS pipeline, 'x' AS text, 0.0D AS cer"))
     return O.integrity_violations(lines, preds, "a", "b").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_chars(spark: SparkSession, d: str) -> DataFrame:
-    return O.confusion(readings(spark, d), "ref", "a")
+def confusion_chars(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.confusion(rows_of(spark, d), "ref", "a")
 
 
-def align_recall_precision(spark: SparkSession, d: str) -> DataFrame:
-    return O.recall_precision(readings(spark, d), "ref", "a")
+def align_recall_precision(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.recall_precision(rows_of(spark, d), "ref", "a")
 
 
-def align_edit_identity(spark: SparkSession, d: str) -> DataFrame:
-    ops = readings(spark, d).select("page", "line_no", M.edits("ref", "b").alias("distance"), A.n_edits(A.alignment(F.col("ref"), F.col("b"))).cast("long").alias("steps"))
+def align_edit_identity(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    ops = rows_of(spark, d).select("page", "line_no", M.edits("ref", "b").alias("distance"), A.n_edits(A.alignment(F.col("ref"), F.col("b"))).cast("long").alias("steps"))
     return ops.groupBy((F.col("distance") == F.col("steps")).alias("same")).agg(F.count(F.lit(1)).alias("lines"))
 
 
-def gap_pairing(spark: SparkSession, d: str) -> DataFrame:
-    return O.gap_pairing(readings(spark, d), ["lang"], "ref", "a")
+def gap_pairing(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.gap_pairing(rows_of(spark, d), ["lang"], "ref", "a")
 
 
-def top_misreads(spark: SparkSession, d: str) -> DataFrame:
-    return O.top_misreads(readings(spark, d), "ref", "a", 3)
+def top_misreads(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.top_misreads(rows_of(spark, d), "ref", "a", 3)
 
 
-def explorer_scores(spark: SparkSession, d: str) -> DataFrame:
-    return O.explorer(readings(spark, d), 0, 40)
+def explorer_scores(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.explorer(rows_of(spark, d), 0, 40)
 
 
-def beam_delta(spark: SparkSession, d: str) -> DataFrame:
-    return O.delta_signs(readings(spark, d), ["lang"], "ref", "a", "b")
+def beam_delta(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.delta_signs(rows_of(spark, d), ["lang"], "ref", "a", "b")
 
 
-def dose_response(spark: SparkSession, d: str) -> DataFrame:
-    return O.dose(readings(spark, d), "line_no", 5, "ref", "a", "b")
+def dose_response(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return O.dose(rows_of(spark, d), "line_no", 5, "ref", "a", "b")
 
 
 QUERIES = {f.__name__: f for f in (eval_summary_by_lang, eval_summary_by_lang_source, eval_worst_lines, eval_gate_parts, gate_report, method_scores, paired_counts_lines, paired_counts_clusters, sign_test_pairs, bootstrap_ci_cluster, bootstrap_ci_stepwise, bootstrap_ci_row, paired_integrity_violations, confusion_chars, align_recall_precision, align_edit_identity, gap_pairing, top_misreads, explorer_scores, beam_delta, dose_response)}

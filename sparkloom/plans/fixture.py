@@ -1,7 +1,15 @@
-"""Evaluation lines out of the documents table: ASCII lines of 20 to 80 characters and two corrupted readings."""
+"""Evaluation lines out of the documents table and two corrupted readings of each.
+
+lines() keeps what the DuckDB SQL can follow: raw ASCII lines of 20 to 80 characters, a small part of the texts.
+whole_lines() has all the text; queries named ..._whole run on it.
+"""
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +22,17 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(F.length("ref").between(20, 80) & F.col("ref").rlike("^[ -~]*$")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def readings(spark: SparkSession, d: str) -> DataFrame:
+def whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    """As lines(), but of every line of every text: longer ones are wrapped at spaces to 80 characters at most.
+
+    A run of more than 80 characters without a space is cut at 80. Nothing goes but the space at a wrap; empty lines hold nothing.
+    """
+    parts = F.flatten(F.transform(F.split("text", "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(r"(?s)(.{1,80}(?= |\z)|.{1,80}) ?"), F.lit(1))))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), "lang", "source", F.posexplode(parts).alias("line_no", "ref"))
+    return docs.where("ref <> ''").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def readings(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
     """lines() and the readings a and b: some rows substituted, some with inserted, some with deleted characters."""
     h = F.md5(F.concat_ws(":", "page", "line_no"))
     x, y = F.substring(h, 1, 1), F.substring(h, 2, 1)
@@ -22,7 +40,18 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     put = lambda find, new: F.replace(ref, F.lit(find), F.lit(new))
     a = F.when(x < "8", F.translate(ref, "aeiou", "bcdfg")).when(x < "c", put("e", "ee")).otherwise(ref)
     b = F.when(y < "6", put("th", "")).when(y < "a", put(" ", "")).otherwise(ref)
-    return lines(spark, d).withColumn("a", a).withColumn("b", b)
+    return rows_of(spark, d).withColumn("a", a).withColumn("b", b)
+
+
+def whole_readings(spark: SparkSession, d: str) -> DataFrame:
+    return readings(spark, d, whole_lines)
+
+
+def whole_variants(queries: dict[str, Callable]) -> dict[str, Callable]:
+    """Each query with `rows_of`, as <name>_whole on whole texts; these have no SQL."""
+    other = {lines: whole_lines, readings: whole_readings}
+    rows = {name: p.default for name, f in queries.items() if (p := inspect.signature(f).parameters.get("rows_of"))}
+    return {f"{name}_whole": partial(queries[name], rows_of=other[r]) for name, r in rows.items()}
 
 
 LINES_SQL = r"""lines AS (

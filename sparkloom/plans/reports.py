@@ -23,9 +23,9 @@ def slant_groups(spark: SparkSession, d: str) -> DataFrame:
     return O.in_ranges(rows, "v", list(O.SLANTS)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
 
 
-def line_tags(spark: SparkSession, d: str) -> DataFrame:
+def line_tags(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
     t = O.tags(short=F.length("ref") < 40, comma=F.col("ref").contains(","), exact=F.col("ref") == F.col("a"))
-    return readings(spark, d).select(F.array_join(t, "+").alias("tags")).groupBy("tags").agg(F.count(F.lit(1)).alias("n"))
+    return rows_of(spark, d).select(F.array_join(t, "+").alias("tags")).groupBy("tags").agg(F.count(F.lit(1)).alias("n"))
 
 
 def matrix_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -53,13 +53,13 @@ def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
     return O.nearest_valid(G.ancestry(n, "n_nationkey", "parent").where("status = 'ok'"), valid, "node", "ancestor", "distance")
 
 
-def homoglyph_table(spark: SparkSession, d: str) -> DataFrame:
-    steps = readings(spark, d).where("a = translate(ref, 'aeiou', 'bcdfg')").select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
+def homoglyph_table(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    steps = rows_of(spark, d).where("a = translate(ref, 'aeiou', 'bcdfg')").select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
     return O.homoglyphs(steps, [("a", "b"), ("e", "c"), ("x", "y")])
 
 
-def subpopulation_rates(spark: SparkSession, d: str) -> DataFrame:
-    rows = readings(spark, d).select("lang", "ref", M.edits("ref", "a").alias("e"), F.length("ref").alias("n"))
+def subpopulation_rates(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    rows = rows_of(spark, d).select("lang", "ref", M.edits("ref", "a").alias("e"), F.length("ref").alias("n"))
     return O.subpopulation(rows, "lang", F.col("ref").contains(","), "e", "n")
 
 

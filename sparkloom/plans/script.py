@@ -14,63 +14,63 @@ from sparkloom.plans.fixture import LINES_SQL, READINGS_SQL, lines, readings
 from sparkloom.sources.tables import table
 
 
-def _written(spark, d):
+def _written(spark, d, rows_of=lines):
     latin = F.regexp_replace(F.lower("ref"), "[^a-z ]", "")
-    return lines(spark, d).select("page", "line_no", latin.alias("latin")).withColumn("script", S.script_of("latin"))
+    return rows_of(spark, d).select("page", "line_no", latin.alias("latin")).withColumn("script", S.script_of("latin"))
 
 
-def script_round_trip(spark: SparkSession, d: str) -> DataFrame:
+def script_round_trip(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
     """Latin lines written in the script and read again; edits per character without glottal h."""
-    r = _written(spark, d).withColumn("cer", X.roundtrip_cer(F.col("latin"), F.translate(S.latin_of("script"), "ê", "e")))
+    r = _written(spark, d, rows_of).withColumn("cer", X.roundtrip_cer(F.col("latin"), F.translate(S.latin_of("script"), "ê", "e")))
     return r.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("cer") <= 0.05).alias("passed"), F.count_if(X.is_well_formed(F.col("script"))).alias("well_formed"), F.max(X.longest_chain(F.col("script"))).alias("deepest"))
 
 
-def script_syllables(spark: SparkSession, d: str) -> DataFrame:
-    return O.syllable_counts(_written(spark, d), "script")
+def script_syllables(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
+    return O.syllable_counts(_written(spark, d, rows_of), "script")
 
 
-def tokenizer_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return O.vocabulary(lines(spark, d), "ref")
+def tokenizer_vocabulary(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
+    return O.vocabulary(rows_of(spark, d), "ref")
 
 
-def tokenizer_encoded(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
+def tokenizer_encoded(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
+    rows = rows_of(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
     out = O.encoded(rows, "key", "ref", O.vocabulary(rows, "ref"))
     return out.select("key", F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("digest"))
 
 
-def reorder_patterns(spark: SparkSession, d: str) -> DataFrame:
+def reorder_patterns(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
     """The reorder table of the written lines, with canonical orders of the taling signs as votes."""
-    counts = O.syllable_counts(_written(spark, d), "script")
+    counts = O.syllable_counts(_written(spark, d, rows_of), "script")
     order = X.canonical_permutation(F.col("syllable"), F.array(F.lit("ꦺ"), F.lit("ꦻ")))
     votes = counts.select("syllable", order.alias("perm"), F.lit(2).alias("votes")).unionByName(counts.select("syllable", F.sequence(F.lit(0), F.length("syllable") - 1).alias("perm"), F.lit(1).alias("votes")))
     table_ = O.reorder_table(counts, O.before_base(counts, O.consensus(votes)))
     return table_.select("pattern", "visual", F.array_join(F.transform("perm", lambda i: i.cast("string")), ",").alias("perm"), "n", "kept")
 
 
-def syllable_segments(spark: SparkSession, d: str) -> DataFrame:
-    r = readings(spark, d).withColumn("seg", D.syllable_diff("ref", "b"))
+def syllable_segments(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    r = rows_of(spark, d).withColumn("seg", D.syllable_diff("ref", "b"))
     whole = F.array_join(F.transform(F.filter("seg", lambda s: s["s"] != "del"), lambda s: s["t"]), "") == F.col("b")
     return r.select(whole.alias("whole"), F.explode("seg.s").alias("status")).groupBy("whole", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def segments_rebuild_text(spark: SparkSession, d: str) -> DataFrame:
+def segments_rebuild_text(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
     seg = D.syllable_diff("ref", "b")
     text = F.array_join(F.transform(F.filter(seg, lambda s: s["s"] != "del"), lambda s: s["t"]), "")
-    return readings(spark, d).groupBy("lang").agg(F.count_if(text == F.col("b")).alias("same"))
+    return rows_of(spark, d).groupBy("lang").agg(F.count_if(text == F.col("b")).alias("same"))
 
 
-def chrf_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    return D.corpus_chrf(readings(spark, d), "lang", "ref", "a")
+def chrf_by_lang(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    return D.corpus_chrf(rows_of(spark, d), "lang", "ref", "a")
 
 
-def rare_line_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = readings(spark, d).select("lang", D.rare_line_stats(A.alignment(F.col("ref"), F.col("a")), ["k", "v", "b"]).alias("s"))
+def rare_line_stats(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    s = rows_of(spark, d).select("lang", D.rare_line_stats(A.alignment(F.col("ref"), F.col("a")), ["k", "v", "b"]).alias("s"))
     return s.groupBy("lang").agg(*[F.sum(f"s.{c}").alias(c) for c in ("ref", "hits", "emitted", "touched")])
 
 
-def rare_reference_counts(spark: SparkSession, d: str) -> DataFrame:
-    s = readings(spark, d).select("lang", D.rare_line_stats(A.alignment(F.col("ref"), F.col("a")), ["k", "v", "b"]).alias("s"))
+def rare_reference_counts(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+    s = rows_of(spark, d).select("lang", D.rare_line_stats(A.alignment(F.col("ref"), F.col("a")), ["k", "v", "b"]).alias("s"))
     return s.groupBy("lang").agg(F.sum("s.ref").alias("ref"), F.sum("s.emitted").alias("emitted"))
 
 
@@ -79,8 +79,8 @@ def greedy_spans(spark: SparkSession, d: str) -> DataFrame:
     return D.greedy_spans(frames, "user_id", "event_id", "token")
 
 
-def spelling_standard(spark: SparkSession, d: str) -> DataFrame:
-    w = _written(spark, d).select("page", "line_no", "script", X.standardize(F.col("script")).alias("standard"))
+def spelling_standard(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
+    w = _written(spark, d, rows_of).select("page", "line_no", "script", X.standardize(F.col("script")).alias("standard"))
     return w.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("script") != F.col("standard")).alias("changed"), F.count_if(X.is_well_formed(F.col("standard"))).alias("well_formed"))
 
 
