@@ -32,6 +32,24 @@ def lm_witten_bell_scores(spark: SparkSession, d: str) -> DataFrame:
     return L.score(texts, "key", "text", L.grams(train, "text", 3), 3, _vocab_size(train)).select("key", "chars", F.round("logp", 6).alias("logp"))
 
 
+# the whole job: all documents, at the reference's default order
+ORDER = 5
+
+
+def ngram_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return L.grams(table(spark, d, "documents"), "text", ORDER).select("k", F.hex("gram").alias("gram"), "n")
+
+
+def ngram_contexts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return L.contexts(L.grams(table(spark, d, "documents"), "text", ORDER)).select("k", F.hex("ctx").alias("ctx"), "total", "types")
+
+
+def lm_witten_bell_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+    train = table(spark, d, "documents")
+    texts = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    return L.score(texts, "key", "text", L.grams(train, "text", ORDER), ORDER, _vocab_size(train)).select("key", "chars", F.round("logp", 6).alias("logp"))
+
+
 def lexicon_argmax_share(spark: SparkSession, d: str) -> DataFrame:
     return O.build(O.tokens(table(spark, d, "documents"), "doc_id", "text"))
 
@@ -67,7 +85,7 @@ def inherit_unique_value(spark: SparkSession, d: str) -> DataFrame:
     return O.inherit_unique(s, "s_nationkey", "spelling")
 
 
-QUERIES = {f.__name__: f for f in (ngram_counts, ngram_contexts, lm_witten_bell_scores, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
+QUERIES = {f.__name__: f for f in (ngram_counts, ngram_contexts, lm_witten_bell_scores, ngram_counts_whole, ngram_contexts_whole, lm_witten_bell_scores_whole, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
 GRAMS = "s AS (SELECT chr(2) || chr(2) || text || chr(3) AS s FROM benchmark), g AS (SELECT k::INT AS k, substr(s, e - k + 1, k) AS gram, count(*) AS n FROM s, unnest(range(3, length(s) + 1)) t(e), range(1, 4) q(k) GROUP BY ALL), c AS (SELECT k, substr(gram, 1, k - 1) AS ctx, sum(n)::BIGINT AS total, count(*) AS types FROM g WHERE k > 1 GROUP BY ALL)"
 PLAIN = "translate(word, 'éèêáàíóúñç', 'eeeaaiounc')"
 TOKENS = r"tk AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)"

@@ -1,5 +1,8 @@
 """Queries on whole texts, by brute force on small tables."""
 
+import math
+from collections import Counter
+
 import pytest
 
 from sparkloom.plans.catalogue import QUERIES
@@ -24,6 +27,8 @@ def small(spark, tmp_path_factory):
     rows = [(i, t, "en" if i % 2 else "fr", f"site_{i}") for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([("abcdefghijkl ÉéxyzßK",)], "text string").write.parquet(f"{d}/benchmark.parquet")
+    turns = [(0, 0, "Köln a short turn"), (0, 1, ""), (1, 0, "ŋ never seen")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -49,3 +54,27 @@ def test_eval_summary_counts_whole_texts(spark, small):
 def test_length_histogram_counts_every_line(spark, small):
     got = QUERIES["corpus_length_histogram_whole"](spark, small).collect()
     assert sum(r["lines"] for r in got) == whole_lines(spark, small).count()
+
+
+def test_language_model_of_all_documents(spark, small):
+    padded = ["\x02" * 4 + t + "\x03" for t in TEXTS if t is not None]
+    grams = Counter((k, s[e - k : e]) for s in padded for e in range(5, len(s) + 1) for k in range(1, 6))
+    got = {(r["k"], bytes.fromhex(r["gram"]).decode()): r["n"] for r in QUERIES["ngram_counts_whole"](spark, small).collect()}
+    assert got == grams
+    total, types = Counter(), Counter()
+    for (k, g), n in grams.items():
+        total[g[:-1]] += n * (k > 1)
+        types[g[:-1]] += k > 1
+    got = {bytes.fromhex(r["ctx"]).decode(): (r["total"], r["types"]) for r in QUERIES["ngram_contexts_whole"](spark, small).collect()}
+    assert got == {c: (total[c], types[c]) for c in total if total[c]}
+    every, v = sum(n for (k, _), n in grams.items() if k == 1), len(set("".join(t or "" for t in TEXTS)))
+    for r in QUERIES["lm_witten_bell_scores_whole"](spark, small).collect():
+        text = {"0-0": "Köln a short turn", "0-1": "", "1-0": "ŋ never seen"}[r["key"]]
+        s, logp = "\x02" * 4 + text + "\x03", 0.0
+        for e in range(5, len(s) + 1):
+            p = (grams[1, s[e - 1]] + 1) / (every + v + 1)
+            for k in range(2, 6):
+                if c := s[e - k : e - 1]:
+                    p = (grams[k, s[e - k : e]] + types[c] * p) / (total[c] + types[c]) if total[c] else p
+            logp += math.log(p)
+        assert r["chars"] == len(text) + 1 and abs(r["logp"] - logp) < 1e-5
