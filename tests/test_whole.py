@@ -78,3 +78,10 @@ def test_language_model_of_all_documents(spark, small):
                     p = (grams[k, s[e - k : e]] + types[c] * p) / (total[c] + types[c]) if total[c] else p
             logp += math.log(p)
         assert r["chars"] == len(text) + 1 and abs(r["logp"] - logp) < 1e-5
+
+
+def test_labels_are_checked_past_60_characters(spark, tmp_path):
+    rows = [(3, "a" * 60 + "é"), (6, "b" * 70 + "ꦴ"), (9, "fine " * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["problem"]: r["n"] for r in QUERIES["label_violations_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"unknown characters": 1, "stray mark": 1}
