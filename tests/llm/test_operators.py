@@ -246,6 +246,13 @@ def test_line_dedup_counts_near_the_threshold_exactly(spark):
     assert {r["k"]: r["n"] for r in got} == {k: (k if k + 1 >= 12 else 0) for k in range(30)}
 
 
+def test_line_dedup_of_few_sites(spark, tmp_path):
+    rows = [(k * 10 + i, f"line {k} stands here", f"site{i}") for k in range(4, 7) for i in range(k)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = line_dedup.op8_line_dedup_5_sites(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {k * 10 + i for k in (5, 6) for i in range(1, k)}
+
+
 def paragraphs(t):
     return Counter(p.strip() for p in re.split(r"(?<=\n)|(?<=[.!?])(?= )", t) if re.search(WS, p))
 
