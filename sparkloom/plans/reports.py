@@ -9,7 +9,7 @@ from sparkloom.functions import alignment as A
 from sparkloom.functions import metrics as M
 from sparkloom.operators import lineage as G
 from sparkloom.operators import reports as O
-from sparkloom.plans.fixture import READINGS_SQL, readings
+from sparkloom.plans.fixture import READINGS_SQL, readings, whole_readings
 from sparkloom.sources.tables import table
 
 
@@ -58,8 +58,14 @@ def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
     return O.nearest_valid(G.ancestry(n, "n_nationkey", "parent").where("status = 'ok'"), valid, "node", "ancestor", "distance")
 
 
-def homoglyph_table(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
-    steps = rows_of(spark, d).where("a = translate(ref, 'aeiou', 'bcdfg')").select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
+def homoglyph_table(spark: SparkSession, d: str) -> DataFrame:
+    steps = readings(spark, d).where("a = translate(ref, 'aeiou', 'bcdfg')").select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
+    return O.homoglyphs(steps, [("a", "b"), ("e", "c"), ("x", "y")])
+
+
+def homoglyph_table_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As homoglyph_table, of all readings of whole texts, those with inserted characters too."""
+    steps = whole_readings(spark, d).select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
     return O.homoglyphs(steps, [("a", "b"), ("e", "c"), ("x", "y")])
 
 
@@ -109,12 +115,18 @@ def name_entries(spark: SparkSession, d: str) -> DataFrame:
     return O.name_entries(words.withColumn("spelling", F.reverse("word")), "word", "spelling", "[kvb]", "doc_id").select("name", "ordinary")
 
 
+def name_entries_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As name_entries, of all languages and all letters."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))).alias("at", "word"))
+    return O.name_entries(words.withColumn("spelling", F.reverse("word")), "word", "spelling", "[kvb]", "doc_id").select("name", "ordinary")
+
+
 def wiki_text(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("== Java ==\n=== Noun ===\n# a [[link|shown]] of {{t|{{u}}}}'''"), F.col("r_name"), F.lit("'''\n#* not this\n# [[two]]<ref>x</ref>\n== Other ==\n# three"))
     return O.wiki_senses(table(spark, d, "region").select("r_name", body.alias("src")), "r_name", "src")
 
 
-QUERIES = {f.__name__: f for f in (label_violations, label_violations_whole, slant_groups, line_tags, matrix_violations, review_import, pending_conditions, nearest_valid, homoglyph_table, subpopulation_rates, best_setting, run_usage, warm_mean, estimate_full, cumulative_configs, last_validation, stale_cards, name_entries, wiki_text)}
+QUERIES = {f.__name__: f for f in (label_violations, label_violations_whole, slant_groups, line_tags, matrix_violations, review_import, pending_conditions, nearest_valid, homoglyph_table, homoglyph_table_whole, subpopulation_rates, best_setting, run_usage, warm_mean, estimate_full, cumulative_configs, last_validation, stale_cards, name_entries, name_entries_whole, wiki_text)}
 RD = "WITH " + READINGS_SQL
 SEGMENTS_SQL = """log AS (SELECT event_id, user_id, ts, trunc(value * 10)::BIGINT AS step, event_type = 'view' AS start FROM events), s AS (SELECT *, count(*) FILTER (start) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM log),
 e AS (SELECT user_id, segment, min(step) FILTER (start) AS first, max(step) AS last FROM s WHERE segment > 0 GROUP BY ALL),

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from sparkloom.functions.alignment import align_batch
 from sparkloom.plans.catalogue import QUERIES
 from sparkloom.plans.fixture import whole_lines, whole_readings
 
@@ -85,3 +86,17 @@ def test_labels_are_checked_past_60_characters(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["problem"]: r["n"] for r in QUERIES["label_violations_whole"](spark, str(tmp_path)).collect()}
     assert got == {"unknown characters": 1, "stray mark": 1}
+
+
+def test_names_of_all_languages_and_letters(spark, tmp_path):
+    rows = [(1, "Kévin sieht Öbb", "de"), (2, "kévin Kurt zu", "fr"), (3, "Bob", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["name"]: r["ordinary"] for r in QUERIES["name_entries_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"kévin": True, "öbb": False, "bob": False}
+
+
+def test_homoglyphs_of_all_readings(spark, small):
+    own = whole_readings(spark, small).collect()
+    steps = [s for r in own for s in align_batch([r["ref"]], [r["a"]])[0]]
+    got = {(r["ref"], r["hyp"]): r["n"] for r in QUERIES["homoglyph_table_whole"](spark, small).collect()}
+    assert got == {(x, y): sum(s[3] == x and s[4] == y for s in steps) for p in (("a", "b"), ("e", "c"), ("x", "y")) for x, y in (p, p[::-1])}
