@@ -61,12 +61,12 @@ def _sums(spark, d, rows_of=readings):
 SUMS = ("ea", "na", "eb", "nb")
 
 
-def bootstrap_ci_cluster(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
-    return S.interval(S.bootstrap_multinomial(_sums(spark, d, rows_of), "source", SUMS, 200))
+def bootstrap_ci_cluster(spark: SparkSession, d: str, rows_of=readings, reps: int = 200) -> DataFrame:
+    return S.interval(S.bootstrap_multinomial(_sums(spark, d, rows_of), "source", SUMS, reps))
 
 
-def bootstrap_ci_stepwise(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
-    return S.interval_stepwise(S.bootstrap_multinomial(_sums(spark, d, rows_of), "source", SUMS, 200))
+def bootstrap_ci_stepwise(spark: SparkSession, d: str, rows_of=readings, reps: int = 200) -> DataFrame:
+    return S.interval_stepwise(S.bootstrap_multinomial(_sums(spark, d, rows_of), "source", SUMS, reps))
 
 
 def bootstrap_ci_row(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:

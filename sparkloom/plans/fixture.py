@@ -48,10 +48,11 @@ def whole_readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whole_variants(queries: dict[str, Callable]) -> dict[str, Callable]:
-    """Each query with `rows_of`, as <name>_whole on whole texts; these have no SQL."""
+    """Each query with `rows_of`, as <name>_whole on whole texts, with 10,000 resamples if it has `reps`; these have no SQL."""
     other = {lines: whole_lines, readings: whole_readings}
     rows = {name: p.default for name, f in queries.items() if (p := inspect.signature(f).parameters.get("rows_of"))}
-    return {f"{name}_whole": partial(queries[name], rows_of=other[r]) for name, r in rows.items()}
+    more = {name: {"reps": 10_000} if "reps" in inspect.signature(queries[name]).parameters else {} for name in rows}
+    return {f"{name}_whole": partial(queries[name], rows_of=other[r], **more[name]) for name, r in rows.items()}
 
 
 LINES_SQL = r"""lines AS (

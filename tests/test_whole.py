@@ -100,3 +100,8 @@ def test_homoglyphs_of_all_readings(spark, small):
     steps = [s for r in own for s in align_batch([r["ref"]], [r["a"]])[0]]
     got = {(r["ref"], r["hyp"]): r["n"] for r in QUERIES["homoglyph_table_whole"](spark, small).collect()}
     assert got == {(x, y): sum(s[3] == x and s[4] == y for s in steps) for p in (("a", "b"), ("e", "c"), ("x", "y")) for x, y in (p, p[::-1])}
+
+
+def test_cluster_bootstrap_has_10000_resamples(spark, small):
+    assert QUERIES["bootstrap_ci_cluster_whole"](spark, small).first()["valid"] == 10_000
+    assert QUERIES["bootstrap_ci_stepwise_whole"](spark, small).first()["low"] is not None
