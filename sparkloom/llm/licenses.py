@@ -10,6 +10,7 @@ template. Beside the method, fixed phrases give base labels, which always stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,11 @@ TEMPLATES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights to this work"),
     ("rights-reserved", "all rights reserved no part of this publication may be reproduced"),
 )
-_SCAN_FIELDS = [("id", pa.int64()), ("rk", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64())])))]
-_SCAN = pa.schema(_SCAN_FIELDS)
-SCAN_SCHEMA = "id long, rk long, n_words long, n_base long, first_word long, last_word long, base array<string>, hits array<struct<gram: long, at: long>>"
+_SCAN = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string()))])
+SCAN_SCHEMA = "id long, rk long, n_words long, n_base long, first_word long, last_word long, base array<string>"
+_GRAMS = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("grams", pa.list_(pa.int64()))])
+#: Template windows that are broadcast at most (32 bytes each); more are joined by shuffle.
+BROADCAST_WINDOWS = 200_000
 
 
 def _hashes(text: str) -> tuple[np.ndarray, np.ndarray, K.Texts]:
@@ -63,11 +66,25 @@ def template_grams(templates=TEMPLATES) -> list[tuple[int, str, int, int]]:
     return [(int(h), label, i, len(g)) for label, text in templates for g in [_hashes(text)[1]] for i, h in enumerate(g)]
 
 
-def _scan(grams: np.ndarray, phrases: tuple):
-    """Base figures of each text and the windows that stand in some template."""
-    sorted_grams = np.unique(grams)
-    mask = np.zeros(1 << 16, dtype=bool)
-    mask[(sorted_grams.view(np.uint64) >> np.uint64(48)).astype(np.int64)] = True
+def templates_of(folder: str) -> list[tuple[str, str]]:
+    """(label, text) of each file of a folder of licence texts, read on the driver: the label is the file's name in lower case."""
+    return [(p.stem.lower(), p.read_text(errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file()]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all rolling windows of each text, in order."""
+    for batch in batches:
+        ids, keys = K.column(batch, "id"), K.column(batch, "rk")
+        for x in K.texts(K.column(batch, "text"), K.ALNUM, True):
+            docs = x.doc_of_word()
+            g, at = K.grams(x.words(), docs, K_WORDS, 1)
+            bounds = np.searchsorted(docs[at], np.arange(x.n + 1)).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(bounds), pa.array(g.view(np.int64)))
+            yield K.batch_of(_GRAMS, {"id": ids.slice(x.first, x.n), "rk": keys.slice(x.first, x.n), "grams": grams})
+
+
+def _scan(phrases: tuple):
+    """Base figures of each text."""
     base = [(_hashes(p)[0], label) for p, label in phrases]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,20 +100,11 @@ def _scan(grams: np.ndarray, phrases: tuple):
                         at = at[words[at + j] == hs[j]]
                     for i in at[docs[at] == docs[at + k - 1]]:
                         found[docs[i]].append((int(i - x.bounds[docs[i]]), label))
-                g, at = K.grams(words, docs, K_WORDS, 1)
-                maybe = np.flatnonzero(mask[(g >> np.uint64(48)).astype(np.int64)])
-                h = g[maybe].view(np.int64)
-                maybe = maybe[sorted_grams[np.minimum(np.searchsorted(sorted_grams, h), len(sorted_grams) - 1)] == h]
-                hits: list[list[dict]] = [[] for _ in range(x.n)]
-                for i in maybe:
-                    d = docs[at[i]]
-                    hits[d].append({"gram": int(g[i].view(np.int64)), "at": int(at[i] - x.bounds[d])})
                 parts["n_words"] += np.diff(x.bounds).tolist()
                 parts["n_base"] += [len(f) for f in found]
                 parts["first_word"] += [min(f)[0] if f else None for f in found]
                 parts["last_word"] += [max(f)[0] if f else None for f in found]
                 parts["base"] += [sorted({label for _, label in f}) for f in found]
-                parts["hits"] += hits
             yield K.batch_of(_SCAN, parts | {"id": K.column(batch, "id"), "rk": K.column(batch, "rk")})
 
     return scan
@@ -112,23 +120,28 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, slack:
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters. Diagonals at most `slack`
     apart merge; a span needs `cover` of its template's windows. Defined cases: a null text is empty and has no
     labels; null ids stay null; rows that repeat an id are figured each; an empty table gives an empty table; other
-    columns are not read. The templates are few and fixed, so their windows are broadcast.
+    columns are not read; very long texts are scanned whole; of equal covers all labels stand. The join of all rolling windows with
+    the template places decides alone what votes. `templates` are (label, text) pairs of any length, as templates_of()
+    reads them from a folder; their windows are broadcast up to BROADCAST_WINDOWS of them.
     """
     spark = docs.sparkSession
     text = docs[text_col].cast("string")
     base = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("rk"), text.alias("text"))
     rows = template_grams(templates)
-    places = F.broadcast(spark.createDataFrame(rows, "gram long, label string, place long, size long"))
-    seen = materialize(base.mapInArrow(_scan(np.array([r[0] for r in rows], dtype=np.int64), tuple(phrases)), SCAN_SCHEMA), "scan")
-    hits = seen.where(F.size("hits") > 0).dropDuplicates(["id", "rk"]).select("id", "rk", F.inline("hits"))
-    votes = hits.join(places, "gram").groupBy("id", "rk", "label", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("votes"), F.collect_set("place").alias("places"))
+    places = spark.createDataFrame(rows, "gram long, label string, place long, size long")
+    places = F.broadcast(places) if len(rows) <= BROADCAST_WINDOWS else places.hint("merge")
+    seen = materialize(base.mapInArrow(_scan(tuple(phrases)), SCAN_SCHEMA), "scan")
+    grams = base.mapInArrow(_windows, "id long, rk long, grams array<long>").select("id", "rk", F.posexplode("grams").alias("at", "gram"))
+    # rows that repeat an id and its text vote once: each pair of places counts once
+    votes = grams.join(places, "gram").groupBy("id", "rk", "label", "size", (F.col("at") - F.col("place")).cast("long").alias("diagonal"))
+    votes = votes.agg(F.min("at").cast("long").alias("first"), F.max("at").cast("long").alias("last"), F.count_distinct("at").alias("votes"), F.collect_set("place").alias("places"))
     line = Window.partitionBy("id", "rk", "label").orderBy("diagonal", "first")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > slack, F.lit(True))
     bands = votes.withColumn("band", F.sum(fresh.cast("int")).over(line))
     spans = bands.groupBy("id", "rk", "label", "size", "band").agg(F.min("first").alias("first_word"), (F.max("last") + K_WORDS - 1).alias("last_word"), F.sum("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
     spans = spans.withColumn("cover", F.col("places") / F.col("size")).where(F.col("cover") >= cover)
     named = spans.groupBy("id", "rk").agg(F.collect_set("label").alias("own"), F.max("cover").alias("best"))
-    out = seen.drop("hits").join(named, ["id", "rk"], "left")
+    out = seen.join(named, ["id", "rk"], "left")
     back = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", none))))

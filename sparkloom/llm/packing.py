@@ -22,9 +22,9 @@ CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 8
 SHARD_PIECES = 8192
 TRUST = (0.0, 0.5, 0.8, 0.95, 1.0)
-_PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int64()), ("first_word", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64())])
+_PIECE = pa.schema([("id", pa.int64()), ("piece", pa.int64()), ("first_word", pa.int64()), ("n_tokens", pa.int64()), ("key", pa.int64())])
 _PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("first_word", pa.int64()), ("n_tokens", pa.int64()), ("bin_id", pa.int64()), ("start", pa.int64()), ("capacity", pa.int64())])
-PIECE_SCHEMA = "id long, piece long, first_word long, n_tokens long, n_words long"
+PIECE_SCHEMA = "id long, piece long, first_word long, n_tokens long, key long"
 PLACED_SCHEMA = "doc_id long, piece long, first_word long, n_tokens long, bin_id long, start long, capacity long"
 
 
@@ -69,12 +69,22 @@ def pack_lengths(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, o
 def _pieces(cap: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.concatenate([np.zeros(0, dtype=np.int64)] + [np.diff(x.bounds) for x in K.texts(K.column(batch, "text"))])
+            if "n" in batch.schema.names:
+                words = K.column(batch, "n").fill_null(0).to_numpy(zero_copy_only=False)
+            else:
+                words = np.concatenate([np.zeros(0, dtype=np.int64)] + [np.diff(x.bounds) for x in K.texts(K.column(batch, "text"))])
+            # rows that repeat each other take turns, so that they too are dealt over the shards
+            h = K.column(batch, "h").to_numpy(zero_copy_only=False)
+            order = np.argsort(h, kind="stable")
+            fresh = np.r_[True, h[order][1:] != h[order][:-1]][: len(h)]
+            turn = np.empty(len(h), dtype=np.int64)
+            turn[order] = np.arange(len(h)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(h) else 0
             parts = np.maximum(1, -(-words // cap))
             at = np.repeat(np.arange(len(words)), parts)
             piece = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
             tokens = np.minimum(words[at] - piece * cap, cap)
-            yield K.batch_of(_PIECE, {"id": K.column(batch, "id").take(pa.array(at)), "piece": piece, "first_word": piece * cap, "n_tokens": tokens, "n_words": words[at]})
+            key = K.mix(h.view(K.U64)[at] + turn.view(K.U64)[at] * K._GRAM[0, 11] + piece.view(K.U64) * K._GRAM[0, 12], 81)
+            yield K.batch_of(_PIECE, {"id": K.column(batch, "id").take(pa.array(at)), "piece": piece, "first_word": piece * cap, "n_tokens": tokens, "key": key.view(np.int64)})
 
     return pieces
 
@@ -93,25 +103,42 @@ def _pack(capacities: tuple[int, ...], overhead: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, id_col: str = "doc_id", text_col: str = "text", ids_col: str | None = None) -> DataFrame:
     """(doc_id, piece, first_word, n_tokens, bin_id, start, capacity): where each piece of each row stands.
 
-    Tokens are words (runs of characters other than space and U+0009..U+000D). A text longer than the largest
+    Tokens are words (runs of characters other than space and U+0009..U+000D), or with `ids_col` the token ids of that
+    array column, as encode() of the pieces gives them; sequences() then builds the packed ids. A text longer than the largest
     capacity is cut into pieces of that length and a rest; nothing is dropped. start is the piece's place in its
     bin, capacity the bin's final length. Defined cases: a text without words (or null) gives one row of 0 tokens
     with null bin_id, start and capacity; null ids are packed like others; repeated rows are packed each; ties
-    of length go by id and piece; an empty table gives an empty table; other columns are not read.
+    of length go by id and piece; an empty table gives an empty table; other columns are not read. Shards are dealt by hash
+    of id, content and turn among equal rows of a batch, so neither a null or repeated id nor a repeated row fills one.
     """
-    text = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    own = docs[ids_col] if ids_col else docs[text_col].cast("string")
+    size = [F.when(own.isNotNull(), F.size(own)).cast("long").alias("n")] if ids_col else [own.alias("text")]
+    text = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[id_col].cast("long"), own).alias("h"), *size)
     rows = text.mapInArrow(_pieces(max(capacities)), PIECE_SCHEMA)
     shards = max(1, -(-docs.count() // SHARD_PIECES))
-    some = rows.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("id", "piece", "n_words"), F.lit(shards)))
+    some = rows.where("n_tokens > 0").withColumn("shard", F.pmod("key", F.lit(shards)))
     placed = some.groupBy("shard").applyInArrow(_pack(tuple(capacities), overhead), PLACED_SCHEMA)
     none = F.lit(None).cast("long")
     empty = rows.where("n_tokens = 0").select(F.col("id").alias("doc_id"), "piece", "first_word", "n_tokens", none.alias("bin_id"), none.alias("start"), none.alias("capacity"))
     return placed.unionByName(empty)
 
 
+def sequences(placed: DataFrame, encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(bin_id, capacity, n_tokens, starts, ids): the packed token sequences of pack_documents(encoded, ids_col=...).
+
+    Each sequence holds its pieces' ids in order of their starts; n_tokens <= capacity, the rest is padding. Ids of rows
+    must be unique and not null here, as pieces are looked up by id. Empty documents are in no sequence.
+    """
+    met = placed.where("bin_id is not null").join(encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("_ids")), "doc_id")
+    part = F.slice("_ids", (F.col("first_word") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    got = met.groupBy("bin_id", "capacity").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), part.alias("ids")))).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
+    return got.select("bin_id", "capacity", F.size(ids).cast("long").alias("n_tokens"), F.transform("parts", lambda p: p["start"]).alias("starts"), ids.alias("ids"))
+
+
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 512, 1024, 2048 or 4096 words."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with sampled segmentations.
 
-A text's words (each from a space on; the model writes it as U+2581) form lattices of vocabulary pieces. Forward
+A text's words (each from a run of spaces on; the model writes it as U+2581) form lattices of vocabulary pieces. Forward
 filtering sums the weight of all segmentations up to each byte, backward sampling then draws pieces from the
 end of each word, with random numbers made from the row key, the word's place and the step alone: a row gets the
 same segmentation on any cluster. Characters without a piece go byte by byte, so decoding gives back every
@@ -45,11 +45,11 @@ class Vocabulary:
     offsets: np.ndarray
 
 
-def load(path: str = MODEL, temperature: float = TEMPERATURE) -> Vocabulary:
+def load(path: str = MODEL, temperature: float = TEMPERATURE, ranked: bool = True) -> Vocabulary:
     """The vocabulary of a SentencePiece model with byte fallback.
 
-    Log weights are the model's scores for a unigram model. A BPE model's scores only rank its pieces; there the log
-    weight of rank r is -ln(r + 3). Both are multiplied by `temperature`: lower values spread the samples.
+    A BPE model's scores only rank its pieces (`ranked`); there the log weight of rank r is -ln(r + 3). Those of a unigram
+    model are log weights themselves. Both are multiplied by `temperature`: lower values spread the samples.
     """
     import sentencepiece
 
@@ -64,14 +64,14 @@ def load(path: str = MODEL, temperature: float = TEMPERATURE) -> Vocabulary:
             byte_ids[byte], all_bytes[i] = i, bytes([byte])
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             own = piece.replace("▁", " ")
-            if " " not in own[1:]:  # spaces begin words
+            if " " not in own.lstrip(" "):  # spaces begin words, alone or in runs
                 ids.append(i), pieces.append(own), scores.append(sp.get_score(i))
                 all_bytes[i] = own.encode()
     if (byte_ids < 0).any():
         raise ValueError("the model has no byte fallback, so it cannot encode every text")
     scores = np.array(scores)
     ranks = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
-    logs = -np.log(ranks + 3.0) if (scores == np.round(scores)).all() else scores
+    logs = -np.log(ranks + 3.0) if ranked else scores
     x = next(K.texts(pa.array(pieces, type=pa.large_string()), limit=1 << 30))
     h = _piece_hash(x, x.offs[:-1], x.offs[1:])
     order = np.argsort(h)
@@ -144,10 +144,11 @@ class Lattice:
             alpha[nodes[first]] = np.logaddexp.reduceat(alpha[self.origin[own]] + weight[own], first)
         chance = np.exp(alpha[self.origin] + weight - alpha[self.node])
         first = np.flatnonzero(np.r_[True, self.node[1:] != self.node[:-1]]) if len(self.node) else np.empty(0, dtype=np.int64)
-        # cumulative chances within each node
-        run = np.cumsum(chance)
-        base = np.repeat(run[first] - chance[first], np.diff(np.r_[first, len(chance)]))
-        within = np.minimum(run - base, 1.0)
+        # chances summed up inside each node, from its own arcs alone: neighbours in a batch must not touch their last bits
+        within, degree = chance.copy(), np.diff(np.r_[first, len(chance)])
+        for k in range(1, int(degree.max()) if len(degree) else 0):
+            own = first[degree > k] + k
+            within[own] += within[own - 1]
         turn = np.zeros(total, dtype=np.int64)
         turn[self.node[first]] = np.arange(len(first))
         self.turn = turn
@@ -167,7 +168,10 @@ def encode_run(texts: K.Texts, keys: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     data, offs = texts.raw, texts.offs
     if not len(data):
         return np.empty(0, dtype=np.int32), np.zeros(texts.n + 1, dtype=np.int64)
-    starts = np.flatnonzero(data == 0x20)
+    space = data == 0x20
+    after = np.r_[False, space[:-1]]
+    after[offs[:-1][offs[:-1] < len(data)]] = False  # each text begins anew
+    starts = np.flatnonzero(space & ~after)  # a run of spaces begins one word
     ends = np.r_[starts[1:], len(data)]
     doc = np.searchsorted(offs, starts, "right") - 1
     _, first, which = np.unique(texts.range_hash(starts, ends, 70), return_index=True, return_inverse=True)
@@ -241,7 +245,7 @@ def _decode(shared, schema: pa.Schema):
     return decode
 
 
-def encode(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE, with_ids: bool = True, ranked: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every input row with a sampled segmentation of its text.
 
     Returns: row (struct: the input row), n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), lossless
@@ -251,7 +255,7 @@ def encode(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE
     ids differ. Defined cases: a null or empty text has no pieces; a null id is a key of its own; very long words are
     one lattice, never cut; an empty table gives an empty table. `model` is read on the driver and sent once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load(model, temperature))
+    shared = docs.sparkSession.sparkContext.broadcast(load(model, temperature, ranked))
     text = docs[text_col].cast("string")
     wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("key"), text.alias("text"))
     extra = ["array(0) ids"] if with_ids else []
@@ -268,9 +272,9 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op2_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """Sampled segmentations of all documents, by digest, each decoded again and compared."""
-    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), model, with_ids=False)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_pieces", "ids_sha256", "lossless")
+    """Sampled segmentations of all documents, with their digests, each decoded again and compared."""
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), model)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_pieces", "ids", "ids_sha256", "lossless")
 
 
 QUERIES = {"op2_sentencepiece": op2_sentencepiece}

@@ -146,7 +146,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     Returns: row (struct: the input row), score (0 to 1), attention (weight of each passage of 64 words).
 
     The model is fitted on at most `per_class` ids of either label that are not held out (crc32 of the id mod 5 not
-    0) and has a fixed size. Defined cases: a null text or one without words is one blank passage and gets the
+    0), one text each and `labelled.MOST_BYTES` of text together, and has a fixed size. Very long texts are scored whole; equal
+    texts tie and get equal scores. Defined cases: a null text or one without words is one blank passage and gets the
     model's score for it; null ids are not held out and never train; labels that disagree or are null are not
     used; with labels of one kind only, every score is that label's; repeated rows are scored each; an empty table
     gives an empty table.

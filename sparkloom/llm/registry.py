@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from sparkloom.llm import fingerprints, jaccard_join, licenses, line_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity
+from sparkloom.llm import fingerprints, jaccard_join, licenses, line_dedup, packing, pieces, pipeline, quality_classifier, quality_rules, substring_dedup, toxicity
 
 _MODULES = (substring_dedup, pieces, packing, quality_classifier, toxicity, licenses, jaccard_join, line_dedup, fingerprints, quality_rules)
-QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": pipeline.run}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = pipeline.ORACLE_SQL

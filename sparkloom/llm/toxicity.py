@@ -21,7 +21,7 @@ from sparkloom.llm.labelled import held_out, sample
 
 BITS = 18
 #: Bytes of word beginnings that are features, beside the whole word.
-STEMS = (4, 5, 6, 7)
+STEMS = (3, 4, 5, 6, 7, 8, 9)
 PER_CLASS = 3000
 BREAK = np.zeros(256, dtype=bool)
 BREAK[list(b".!?")] = True
@@ -88,7 +88,7 @@ def telling(groups: list, least: float = 4.0, most_always: int = 64) -> np.ndarr
     return chosen
 
 
-def fit(rows: list, epochs: int = 25, rate: float = 0.2, decay: float = 1e-4, batch: int = 64) -> Model:
+def fit(rows: list, epochs: int = 60, rate: float = 0.2, decay: float = 1e-4, batch: int = 64) -> Model:
     """Weights from (text, label, weight) rows, by AdaGrad on the weighted likelihood; deterministic.
 
     Only telling features get weights; a rare word that happens to stand in one toxic text does not.
@@ -158,7 +158,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     `floor`, in order of the text).
 
     The model is fitted on at most `per_class` ids of either label that are not held out (crc32 of the id mod 5 not
-    0) and has a fixed size. Defined cases: a null text or one without words has no sentences and score 0; null ids
+    0), one text each and `labelled.MOST_BYTES` of text together, and has a fixed size. Very long texts are scored whole; ties
+    of features go by their number. Defined cases: a null text or one without words has no sentences and score 0; null ids
     are not held out and never train; labels that disagree or are null are not used; without toxic labels every
     score is near 0; repeated rows are scored each; an empty table gives an empty table.
     """
