@@ -1,12 +1,41 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table: a forest per partition, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import kernel as K
+from sparkloom.llm.overlaps import forest
 from sparkloom.llm.storage import forget, materialize
 
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+#: Links that a task holds at once while it makes its forest.
+RUN = 1_000_000
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition by forests of at most RUN links each: fewer links that connect the same."""
+    held, count = [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, count
+        table = pa.Table.from_batches(held)
+        held, count = [], 0
+        u, v = forest(*(table.column(c).to_numpy() for c in ("u", "v")))
+        return K.batch_of(_EDGE, {"u": u, "v": v})
+
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count >= RUN:
+            yield flush()
+    if held:
+        yield flush()
+
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """One step over links (u > v): point each neighbour of a node at the smallest node around it."""
@@ -27,17 +56,15 @@ def components(links: DataFrame) -> DataFrame:
     any node is left to move reaches the driver.
     """
     a, b = links.columns[:2]
-    now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    last = None
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    now = materialize(edges.mapInArrow(_forests, "u long, v long").distinct(), "forest")
     while True:
-        now = materialize(_stars(_stars(now, True), False), "stars")
-        if last is not None:
-            forget(last)
-        last = now
         # done when every node has one link and it leads to a node that has none
-        several = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-        deep = now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        if several.unionByName(deep).isEmpty():
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("root")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("root")))
+        left = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("root").alias("root")).where("n > 1 or (n = 1 and root = 1)")
+        if left.isEmpty():
             break
-    roots = now.groupBy("v").agg(F.count(F.lit(1))).select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        last, now = now, materialize(_stars(_stars(now, True), False), "stars")
+        forget(last)
+    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

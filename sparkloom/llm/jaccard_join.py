@@ -9,9 +9,11 @@ with lists its rarest |A| - ceil(t |A|) + 1 shingles, and pairs with a heavy sid
 boundary x is the one of least estimated cost. "Rarest" follows one global order: by the cell of a count table over all
 documents, then by hash. Any order gives the same links; this one keeps common passages out of the lists.
 
-Within a list, pairs are not enumerated at first: each entry pairs with the list's pivot, pairs are verified on
-the whole sets, and components follow. Then only pairs of one list that still lie in different components are
-enumerated and verified. A pair inside a component cannot change it, so no link is lost to the components.
+Pairs of a list are never rows. Each entry meets a pivot of its list, and components follow. Then the whole sets of
+lists that still touch several components meet in blocks of bounded size, where all pairs of different components are
+compared by matrix products and only spanning ties come out; a pair inside a component cannot change it, so no
+link is lost. Counts of items in hash cells, an upper bound of what two sets share, go first, so that whole sets
+travel only where they can link. The same blocks, over the sets of each component, count every set's links.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
+from sparkloom.llm import overlaps as O
 from sparkloom.llm.components import components
 from sparkloom.llm.sketches import SLICES, gathered
 from sparkloom.llm.storage import bucket_bits, forget, materialize
@@ -32,18 +35,12 @@ NULL_ID = -(2**63)
 SKETCH_BITS = 20
 LADDER = (0, 2, 4, 8, 12, 16, 24, 32, 48, 64)
 UNIT_POSTINGS = 500_000
-PIVOT_ROUNDS = 3
-PIVOTS = 16
-FOLD = 256
-#: Pairs whose signatures are broadcast: at most 3.2 MB.
-BROADCAST_PAIRS = 200_000
 _PROFILE = pa.schema([("slice", pa.int32()), ("counts", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 PROFILE_SCHEMA = "slice int, counts binary, id long, n long, s1 long, s2 long"
 _POST = pa.schema([("bucket", pa.int64()), ("sets", pa.binary()), ("tags", pa.binary()), ("places", pa.binary())])
 POST_SCHEMA = "bucket long, sets binary, tags binary, places binary"
-_ENTRY = pa.schema([("list", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64()), ("pivot", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
-ENTRY_COLUMNS = ("list", "kind", "sig", "pivot", "size", "place")
-ENTRY_SCHEMA = "list long, kind int, sig long, pivot long, size int, place int"
+_ENTRY = pa.schema([("list", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64()), ("size", pa.int64()), ("place", pa.int32()), ("pivot", pa.int64())])
+ENTRY_SCHEMA = "list long, kind int, sig long, size long, place int, pivot long"
 
 
 class Sets:
@@ -207,11 +204,7 @@ def _partnered(t: np.ndarray, n: np.ndarray, p: np.ndarray, light: bool, x_light
         own = starts[run == m]
         for lo in range(0, len(own), max(1, 1_000_000 // (m * m))):
             at = own[lo : lo + max(1, 1_000_000 // (m * m))][:, None] + np.arange(m)
-            a, b = n[at][:, :, None], n[at][:, None, :]
-            ok = 100 * np.minimum(a, b) >= pct * np.maximum(a, b)
-            if not light:
-                left = (n - p)[at]
-                ok &= (np.maximum(a, b) > x_light) & (np.minimum(left[:, :, None], left[:, None, :]) >= overlap(a, b, pct))
+            ok = fits(n[at][:, :, None], n[at][:, None, :], p[at][:, :, None], p[at][:, None, :], light, x_light, pct)
             ok[:, np.arange(m), np.arange(m)] = False
             keep[at] = ok.any(axis=2)
     return keep
@@ -220,7 +213,10 @@ def _partnered(t: np.ndarray, n: np.ndarray, p: np.ndarray, light: bool, x_light
 def _lists(x_light: int, pct: int):
     """One bucket of keys: its lists of two or more different sets, named by a hash of their members.
 
-    The pivot is the set of least mixed signature. Were two lists to share a name, they would be searched as one.
+    Sizes that can link differ by a third at most, so each size class of a list (a power of 4/3) has a pivot, the set
+    whose key stands first among its own (the one with the fewest rare shingles), then the one of least mixed signature.
+    Members meet the pivot of their class, pivots that of the next lower one. Were two lists to share a name, they
+    would be searched as one.
     """
 
     def lists(key: tuple, table: pa.Table) -> pa.Table:
@@ -237,12 +233,8 @@ def _lists(x_light: int, pct: int):
         t, s, n, p = tag[order], sig[order], size[order], place[order]
         some = _partnered(t, n, p, bool(bucket & 1), x_light, pct)
         t, s, n, p = t[some], s[some], n[some], p[some]
-        turn = K.mix(s.view(K.U64), 21)
-        order = np.lexsort((turn, t))
-        t, s, n, p = t[order], s[order], n[order], p[order]
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[: len(t)] if len(t) else np.empty(0, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])[: len(t)]
         run = np.diff(np.r_[starts, len(t)])
-        lead = np.repeat(s[starts], run)
         # near copies share most of their lists: lists of the same members are one, at the least of their places
         members = np.add.reduceat(K.mix(s.view(K.U64), 22), starts) if len(t) else np.empty(0, dtype=K.U64)
         members = K.mix(members + run.astype(K.U64), 23 + (bucket & 1))
@@ -252,173 +244,167 @@ def _lists(x_light: int, pct: int):
         least = p.copy()
         np.minimum.at(least, home, p)
         own = np.flatnonzero(home == np.arange(len(t)))
-        return pa.Table.from_batches([K.batch_of(_ENTRY, {"list": members.view(np.int64)[of[own]], "kind": np.full(len(own), bucket & 1), "sig": s[own], "pivot": lead[own], "size": n[own], "place": least[own]})])
+        of, s, n, p = of[own], s[own], n[own], least[own]
+        level = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
+        order = np.lexsort((K.mix(s.view(K.U64), 21), p, level, of))
+        of, s, n, p, level = (x[order] for x in (of, s, n, p, level))
+        head = np.r_[True, (of[1:] != of[:-1]) | (level[1:] != level[:-1])][: len(of)]
+        heads = np.flatnonzero(head)
+        to = heads[np.cumsum(head) - 1] if len(of) else of
+        to[heads] = np.r_[heads[:1], heads[:-1]]
+        alone = (to == np.arange(len(of))) | (of[to] != of)
+        met = ~alone & fits(n, n[to], p, p[to], bool(bucket & 1), x_light, pct)
+        return pa.Table.from_batches([K.batch_of(_ENTRY, {"list": members.view(np.int64)[of], "kind": np.full(len(of), bucket & 1), "sig": s, "size": n, "place": p, "pivot": pa.array(s[to], mask=~met)})])
 
     return lists
 
 
-def spread(h: np.ndarray) -> bytes:
-    """How many shingles fall into each of 2^k cells, one byte each; empty if a cell overflows."""
-    bits = max(4, min(10, int(len(h)).bit_length() - 1))
-    cells = np.bincount((h & K.U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-    return cells.astype(np.uint8).tobytes() if cells.max() < 256 else b""
+def fits(n, n2, p, p2, light: bool, x_light: int, pct: int):
+    """Whether sizes and places allow two entries of a list to link (and, of a scanned list, whether one set is heavy)."""
+    ok = 100 * np.minimum(n, n2) >= pct * np.maximum(n, n2)
+    return ok if light else ok & (np.maximum(n, n2) > x_light) & (np.minimum(n - p, n2 - p2) >= overlap(n, n2, pct))
 
 
-def folded(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Counts of each text's shingles in FOLD cells, for the bound inside a join."""
-    cells = of.astype(np.int64) * FOLD + ((h >> K.U64(20)) & K.U64(FOLD - 1)).astype(np.int64)
-    return np.bincount(cells, minlength=n * FOLD).astype(np.int32)
-
-
-def _bound(pct: int):
-    """Pairs whose cells allow enough common shingles: in a cell at most the lesser count is common."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for batch in batches:
-            left, right = K.binaries(batch, "left"), K.binaries(batch, "right")
-            sa, sb = (K.column(batch, c).to_numpy() for c in ("na", "nb"))
-            ok = np.ones(len(batch), dtype=bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if not x or not y:
-                    continue
-                u, v = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-                m = min(len(u), len(v))
-                u, v = (w if len(w) == m else w.reshape(-1, m).sum(axis=0) for w in (u, v))
-                ok[i] = np.minimum(u, v).sum(dtype=np.int64) >= -(-pct * (int(sa[i]) + int(sb[i])) // (100 + pct))
-            yield pa.RecordBatch.from_arrays([K.column(batch, c).filter(pa.array(ok)) for c in ("a", "b")], schema=schema)
-
-    return bound
-
-
-def _blobs(k: int):
-    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("size", pa.int32()), ("cells", pa.binary()), ("fold", pa.list_(pa.int32())), ("set", pa.list_(pa.int64()))])
+def _whole(k: int):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("sig", pa.int64()), ("cells", pa.binary()), ("set", pa.list_(pa.int64()))])
         for batch in batches:
-            ids = K.column(batch, "rep").to_numpy(zero_copy_only=False)
             for x in K.texts(K.column(batch, "text"), lower=True):
                 s = Sets(x, k)
-                sets = pa.ListArray.from_arrays(pa.array(s.bounds.astype(np.int32)), pa.array(s.h.view(np.int64)))
-                cells = [spread(s.h[lo:hi]) for lo, hi in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
-                fold = pa.ListArray.from_arrays(pa.array(np.arange(x.n + 1, dtype=np.int32) * FOLD), pa.array(folded(s.h, s.of, x.n)))
-                yield K.batch_of(schema, {"fold": fold, "sig": s.sig[0], "rep": ids[x.first : x.first + x.n], "size": s.sizes, "cells": cells, "set": sets})
+                spread = [O.cells(s.h[lo:hi]) for lo, hi in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+                yield K.batch_of(schema, {"sig": s.sig[0], "cells": spread, "set": pa.ListArray.from_arrays(pa.array(s.bounds.astype(np.int32)), pa.array(s.h.view(np.int64)))})
+
+    return whole
+
+
+def _fit_in_list(x_light: int, pct: int):
+    def may(table: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size, place, kind = (table.column(c).to_numpy() for c in ("size", "place", "kind"))
+        light = (kind[a] == 1)[:, None]
+        x, y, p, q = size[a][:, None], size[b][None, :], place[a][:, None], place[b][None, :]
+        return np.where(light, fits(x, y, p, q, True, x_light, pct), fits(x, y, p, q, False, x_light, pct))
 
-    return blobs
+    return may
+
+
+def _star_groups(found: DataFrame, named: DataFrame) -> DataFrame:
+    """The members of each pivot, in blocks, against the pivot. Only sizes decide which pairs may link."""
+    pairs = found.where("pivot is not null").select("pivot", "sig", "size").distinct()
+    many = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).select("pivot", O.chunks(F.col("n"), F.col("s")).alias("count"))
+    placed = pairs.join(many, "pivot").select(F.xxhash64("pivot", F.pmod(F.hash("sig"), F.col("count"))).alias("grp"), "pivot", "sig", "size")
+    members = placed.select("grp", F.lit(0).alias("side"), "sig", "size")
+    heads = placed.groupBy("grp", F.col("pivot").alias("sig")).agg(F.max("size").alias("size")).select("grp", F.lit(1).alias("side"), "sig", "size")
+    out = members.unionByName(heads).join(named.withColumnRenamed("rep", "comp"), "sig")
+    return out.select("grp", F.lit(False).alias("inner"), "side", "sig", "comp", "size", F.lit(0).alias("place"), F.lit(1).alias("kind"))
+
+
+def _open_groups(placed: DataFrame) -> DataFrame:
+    """Entries of lists that touch several components, in blocks.
+
+    Pairs of a list's largest component say nothing new, so its blocks meet those of the other members only; a list
+    that fits into one block is one group.
+    """
+    shares = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).groupBy("list")
+    split = shares.agg(F.max(F.struct("n", "comp", "s")).alias("major"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    whole = O.chunks(F.col("n"), F.col("s")) == 1
+    split = split.select(
+        "list",
+        F.when(~whole, F.col("major.comp")).alias("major"),
+        F.when(whole, 1).otherwise(O.chunks(F.col("n") - F.col("major.n"), F.col("s") - F.col("major.s"))).alias("minors"),
+        F.when(whole, 1).otherwise(O.chunks(F.col("major.n"), F.col("major.s"))).alias("majors"),
+    )
+    met = placed.join(split, "list").withColumn("is_major", F.coalesce(F.col("comp") == F.col("major"), F.lit(False)))
+    kept = ("sig", "comp", "size", "place", "kind")
+    minor = met.where(~F.col("is_major"))
+    own = F.pmod(F.hash("sig"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors")))
+    among = O.paired(minor, [F.col("list"), F.lit(0)], own, F.col("minors"), *kept)
+    # a minor block meets every major block of its list
+    cross = met.where("major is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_major"), F.col("minors")).otherwise(F.col("majors")) - 1)))
+    i, j = F.when(F.col("is_major"), F.col("other")).otherwise(F.col("own")), F.when(F.col("is_major"), F.col("own")).otherwise(F.col("other"))
+    across = cross.select(F.xxhash64("list", F.lit(1), i, j).alias("grp"), F.lit(False).alias("inner"), F.col("is_major").cast("int").alias("side"), *kept)
+    return among.unionByName(across)
+
+
+def _component_groups(nodes: DataFrame) -> DataFrame:
+    """The sets of each component of three or more, in blocks; of two, each links with the other."""
+    sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).where("n > 2")
+    met = nodes.join(sizes.select("comp", O.chunks(F.col("n"), F.col("s")).alias("count")), "comp")
+    return O.paired(met, [F.col("comp")], F.pmod(F.hash("sig"), F.col("count")), F.col("count"), "sig", "size", "weight")
 
 
 def jaccard_classes(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every input row.
+    """(doc_id, n_shingles, component_id, n_links) for every input row.
 
     Words are runs of characters other than space and U+0009..U+000D, A-Z lower-cased; a set holds the distinct
     `shingle`-word windows of a text, or its whole word sequence if shorter. component_id is the smallest id
-    reachable by links of Jaccard similarity >= percent / 100. Defined cases: texts that are null or have no words
-    have size 0 and link with nothing; a null id takes part as the smallest id and is given back as null; rows that
-    repeat an id are one node, each with its own size; an empty table gives an empty table; other columns are not read.
-    Sets are known by 64-bit signatures in the lists and 128-bit ones in classes of equal sets.
+    reachable by links of Jaccard similarity >= percent / 100; n_links tells with how many other documents this row's
+    set links, equal ones included. Defined cases: texts that are null or have no words have size 0 and link with
+    nothing; a null id takes part as the smallest id and is given back as null; rows that repeat an id are one node,
+    each with its own size and links (for n_links, an id counts once for each different set); very long texts are sets
+    like any other; ties of rank go by hash and change no result; an empty table gives an empty table; other columns
+    are not read. Sets are known by 64-bit signatures in the lists and 128-bit ones in classes of equal sets.
     """
     base = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), docs[text_col].cast("string").alias("text"))
     profile = materialize(base.mapInArrow(_profile(shingle), PROFILE_SCHEMA), "profile")
     table = gathered(profile.where("slice is not null").select("slice", "counts"), (1 << SKETCH_BITS,))
     sizes = profile.where("slice is null").select("id", "n", "s1", "s2")
-    classes = sizes.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    classes = materialize(sizes.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count_distinct("id").alias("weight")), "classes")
     histogram = {r["n"]: r["c"] for r in classes.where(F.col("n") <= 2 * LADDER[-1]).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     rest = classes.where(F.col("n") > 2 * LADDER[-1]).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("k")).first()
     x_light, keys = boundary(histogram, table, percent)
     keys += int(rest["k"] or 0)
 
-    # the count table has a fixed size (2^20 cells), whatever the corpus
+    # the count table has a fixed size (2^20 cells, 4 MB), whatever the corpus
     ranks = docs.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
     posts = base.mapInArrow(_post(shingle, x_light, percent, bucket_bits(keys, 1_500_000), ranks), POST_SCHEMA)
     found = posts.groupBy("bucket").applyInArrow(_lists(x_light, percent), ENTRY_SCHEMA)
-    entries = materialize(found.groupBy("list", "kind", "sig", "pivot", "size").agg(F.min("place").alias("place")).select(*ENTRY_COLUMNS), "lists")
-
-    # classes of candidate sets, with their sets in whole
-    wanted = entries.select("sig").distinct()
-    reps = classes.select(F.col("s1").alias("sig"), "rep").join(wanted, "sig", "left_semi").select("rep")
-    texts = base.join(reps.hint("merge"), base["id"] == reps["rep"], "left_semi").select(F.col("id").alias("rep"), "text")
-    stored = materialize(texts.mapInArrow(_blobs(shingle), "sig long, rep long, size int, cells binary, fold array<int>, set array<long>"), "sets")
-    sets = stored.dropDuplicates(["sig"])
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Links (a, b: class representatives) among pairs (a, b: signatures): by cell bound, then by whole sets."""
-        few = sets.select("sig", F.col("size").alias("n"), "cells")
-        few_a, few_b = (few.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(c)) for s, c in (("a", "left"), ("b", "right")))
-        near = materialize(pairs.join(few_a, "a").join(few_b, "b").select("a", "b", "na", "nb", "left", "right").mapInArrow(_bound(percent), "a long, b long"), "near")
-        # only sets of such pairs are shuffled; their ids are broadcast if few, else shuffled too
-        ids = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct()
-        whole = sets.join(F.broadcast(ids) if near.count() <= BROADCAST_PAIRS else ids.hint("merge"), "sig", "left_semi")
-        one, two = (whole.select(F.col("sig").alias(s), F.col("rep").alias(f"r{s}"), F.col("set").alias(c)) for s, c in (("a", "left"), ("b", "right")))
-        met = near.join(one, "a").join(two, "b")
-        both = F.size(F.array_intersect("left", "right"))
-        return met.where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-    def fits(a: str, b: str, at: str, bt: str, kind: str):
-        na, nb = F.col(a), F.col(b)
-        need = F.ceil((na + nb) * percent / (100 + percent) - 1e-9)
-        reach = F.least(na - F.col(at), nb - F.col(bt)) >= need
-        heavy = F.greatest(na, nb) > x_light
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & ((F.col(kind) == 1) | (reach & heavy))
-
-    heads = entries.where("sig = pivot").select("list", F.col("size").alias("size2"), F.col("place").alias("place2"))
-    stars = entries.where("sig <> pivot").join(heads, "list").where(fits("size", "size2", "place", "place2", "kind"))
-    pairs = materialize(stars.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b")).distinct(), "stars")
-    links = materialize(linked(pairs), "links")
-    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Entries of lists that touch several components, with each list's largest component."""
-        named = sets.select("sig", F.col("rep").alias("node")).join(labels, "node", "left").select("sig", F.coalesce("component", "node").alias("comp"))
-        placed = rows.select(*ENTRY_COLUMNS).join(named, "sig")
-        shares = placed.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list")
-        split = shares.agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("list", "major")
-        return materialize(placed.join(split, "list"), "open")
-
-    def across(one: DataFrame, other: DataFrame) -> DataFrame:
-        """Pairs of one list and different components that sizes, places and folded counts allow to link."""
-        cells = sets.select("sig", "fold")
-        one, other = (x.join(cells, "sig") for x in (one, other))
-        two = other.select("list", *[F.col(c).alias(f"{c}2") for c in ("sig", "comp", "size", "place", "fold")])
-        most = F.aggregate(F.zip_with("fold", "fold2", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
-        met = one.join(two, "list").where("comp <> comp2 and pivot <> sig and pivot <> sig2").where(fits("size", "size2", "place", "place2", "kind"))
-        met = met.where(most * (100 + percent) >= percent * (F.col("size") + F.col("size2")))
-        return materialize(met.select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct(), "across")
-
-    # more pivots: a few further members of each list, of its largest component and of the others
-    labels, tried, open_ = components(links), pairs, entries
-    for turn in range(PIVOT_ROUNDS + 1):
-        before, open_ = open_, still_open(open_, labels)
-        forget(before)
-        if open_.isEmpty():
-            break
-        minor = open_.where("comp <> major")
-        if turn < PIVOT_ROUNDS:
-            # each set outside a list's largest component meets it in one of their common lists, another in each round
-            draw = F.xxhash64("list", F.lit(turn))
-            one = minor.groupBy("sig", "major").agg(F.min(F.struct(draw.alias("draw"), "list", "kind", "pivot", "size", "place", "comp")).alias("e")).select("sig", "major", "e.*")
-            place = F.row_number().over(Window.partitionBy("list", F.col("comp") == F.col("major")).orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
-            met = open_.where("sig <> pivot").join(one.select("list").distinct(), "list", "left_semi")
-            found = across(one, met.withColumn("turn", place).where(F.col("turn") <= PIVOTS))
-        else:  # then all pairs between components: each has an end outside its list's largest one
-            found = across(open_, minor)
-        new = materialize(linked(found.join(tried, ["a", "b"], "left_anti")), "links")
-        tried = tried.unionByName(found)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
-
-    forget(open_, stored)
-    own = sizes.where("n > 0").select("id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"])
+    # lists of the same members in several buckets are one, at the least of their places
+    lists = found.groupBy("list", "kind", "sig", "size").agg(F.min(F.struct("place", "pivot")).alias("at"))
+    entries = materialize(lists.select("list", "kind", "sig", "size", F.col("at.place").alias("place"), F.col("at.pivot").alias("pivot")), "lists")
+
+    # the sets of all entries, in whole
+    reps = classes.select(F.col("s1").alias("sig"), "rep").join(entries.select("sig").distinct().hint("merge"), "sig", "left_semi").select("rep").distinct()
+    texts = base.join(reps.hint("merge"), base["id"] == reps["rep"], "left_semi").select("text")
+    sets = materialize(texts.mapInArrow(_whole(shingle), "sig long, cells binary, set array<long>"), "sets")
+
+    may = _fit_in_list(x_light, percent)
+    named = classes.select(F.col("s1").alias("sig"), "rep")
+    stars = materialize(_star_groups(entries, named), "stars")
+    near = materialize(O.screened(stars, sets, percent, may), "near")
+    labels = components(materialize(O.compared(near, sets, O.ties(percent, may), O.TIE_SCHEMA), "links"))
+    known = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("comp"))
+    open_ = materialize(_open_groups(entries.select("list", "kind", "sig", "size", "place").join(known, "sig")), "open")
+    left = materialize(O.screened(open_, sets, percent, may), "left")
+    more = materialize(O.compared(left, sets, O.ties(percent, may), O.TIE_SCHEMA), "ties")
+    # what the first links connect is known: the new ties join components
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    labels = components(links)
+    forget(entries, stars, near, open_, left)
+
+    # links of each set: all lie inside its component
+    nodes = classes.select(F.col("s1").alias("sig"), "rep", F.col("n").alias("size"), "weight").join(labels.withColumnRenamed("node", "rep"), "rep").select("sig", "size", "weight", F.col("component").alias("comp"))
+    groups = materialize(_component_groups(nodes), "groups")
+    counted = O.compared(groups, sets, O.degrees(percent), O.DEGREE_SCHEMA)
+    twos = nodes.groupBy("comp").agg(F.sum("weight").alias("both"), F.count(F.lit(1)).alias("n")).where("n = 2").select("comp", "both")
+    counted = counted.unionByName(nodes.join(twos, "comp").select("sig", (F.col("both") - F.col("weight")).alias("links")))
+    linked = materialize(counted.groupBy(F.col("sig").alias("s1")).agg(F.sum("links").alias("links")), "degrees")
+    forget(sets, groups)
+
+    own = sizes.where("n > 0").join(classes.select("s1", "s2", "rep", "weight"), ["s1", "s2"])
     # a node is a class; ids that repeat with other texts tie their classes together
     least = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a <> most").select("id", "a")
-    tied = own.join(least, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    if tied.limit(1).count():
+    tied = materialize(own.join(least, "id").select("a", F.col("rep").alias("b")).where("a <> b"), "tied")
+    if not tied.isEmpty():
         labels = components(links.unionByName(tied))
-    out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
-    out = out.unionByName(sizes.where("n = 0").select("id", "n", F.col("id").alias("c")))
+    out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "s1", "left")
+    out = out.select("id", "n", F.coalesce("component", "rep").alias("c"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = out.unionByName(sizes.where("n = 0").select("id", "n", F.col("id").alias("c"), F.lit(0).cast("long").alias("links")))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("c").alias("component_id"))
+    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("c").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """Components of all documents at 5-word shingles and Jaccard 0.75."""
+    """Components and numbers of links of all documents at 5-word shingles and Jaccard 0.75."""
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

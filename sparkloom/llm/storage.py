@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark then deletes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none, as in tests."""
+    """The folder in spark.checkpoint.dir. Only a session of this one machine may go without: its tables are then in its temporary folder."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/checkpoints"
     return path.rstrip("/")
 
@@ -26,17 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: later stages read it again after a loss instead of recomputing.
 
-    Shuffle files of the finished stages are released at once, not at some later garbage collection. The table goes at the end of the process, or by release().
+    The shuffle files of the write go when it ends. The table goes at the end of the process, by release() or by forget().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _WRITTEN.append((spark, path.rpartition("/")[0]))
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path.rpartition("/")[0]
     return out
 
@@ -72,9 +76,6 @@ def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"])
 
 
-def bucket_bits(total: int, each: int, most: int = 20) -> int:
+def bucket_bits(total: int, each: int) -> int:
     """Bits of the number of buckets that hold about `each` of `total` items."""
-    bits = 0
-    while (each << bits) < total and bits < most:
-        bits += 1
-    return bits
+    return max(0, (-(-total // each) - 1).bit_length())

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import fingerprints, jaccard_join, kernel, labelled, licenses, line_dedup, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity
+from sparkloom.llm import components, fingerprints, jaccard_join, kernel, labelled, licenses, line_dedup, overlaps, packing, pieces, quality_classifier, quality_rules, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, marks int, n_words string, score double"
 WS = "[^\x20\x09-\x0d]+"
@@ -216,6 +216,50 @@ def test_jaccard_join_chains_and_short_texts(spark):
     assert got == brute_jaccard(rows)
 
 
+def brute_links(texts, k=5):
+    words = {i: re.findall(WS, (t or "").lower()) for i, t in texts.items()}
+    sets = {i: {tuple(w[p : p + k]) for p in range(max(1, len(w) - k + 1))} for i, w in words.items() if w}
+    return {i: sum(i != j and i in sets and 100 * len(sets[i] & s) >= 75 * len(sets[i] | s) for j, s in sets.items()) for i in texts}
+
+
+@pytest.mark.parametrize("rows,items", [(1024, 400_000), (3, 400_000), (1024, 250)])
+def test_jaccard_join_counts_links_in_blocks_of_any_size(spark, monkeypatch, rows, items):
+    monkeypatch.setattr(overlaps, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(overlaps, "BLOCK_ITEMS", items)
+    rng = random.Random(8)
+    texts, base = {}, prose(rng, 100).split(" ")
+    for i in range(60):  # copies of one text with none to six changes: some pairs link, some do not
+        own = base[:]
+        for _ in range(rng.randrange(7)):
+            own[rng.randrange(100)] = f"n{rng.randrange(40)}"
+        texts[i] = " ".join(own)
+    for i in range(60, 70):
+        texts[i] = texts[i - 60]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(frame(spark, texts.items())).collect()}
+    links = brute_links(texts)
+    assert got == {i: (*x, links[i]) for i, x in brute_jaccard(texts).items()}
+
+
+def test_common_items_of_blocks_by_both_ways():
+    rng = np.random.default_rng(3)
+    for n, vocab in ((2, 50), (30, 40), (80, 4000)):
+        sets = [np.unique(rng.integers(0, vocab, rng.integers(1, 60))) for _ in range(n)]
+        bounds = np.cumsum([0] + [len(x) for x in sets])
+        a, b = np.arange(n // 2 + 1), np.arange(n // 3, n)
+        want = [[len(set(sets[i]) & set(sets[j])) for j in b] for i in a]
+        assert overlaps.common(np.concatenate(sets), bounds, a, b).tolist() == want
+        cells = [overlaps.cells(kernel.mix(x.astype(np.uint64))) for x in sets]
+        assert (overlaps.at_most([cells[i] for i in a], [cells[j] for j in b]) >= want).all()
+
+
+def test_components_of_long_paths_and_repeats(spark):
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(50)] + [(5, 5), (None, 3), (7, 6)]
+    rng.shuffle(pairs)
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}}
+
+
 def test_jaccard_join_odd(odd, none):
     got = jaccard_join.jaccard_classes(odd).collect()
     assert len(got) == 6
@@ -387,3 +431,129 @@ def test_held_out_rule(spark):
 
     got = spark.range(200).select("id", labelled.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_pieces_do_not_depend_on_their_batch(spark, texts):
+    rows = [(i, t) for i, t in texts.items() if t] + [(900 + i, " ".join(["if  x:", "   return  y"] * (i + 1))) for i in range(5)]
+    got = []
+    for parts, size in ((1, 10_000), (3, 2), (7, 11)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = pieces.encode(frame(spark, rows).repartition(parts))
+        got.append({r["row"]["doc_id"]: list(r["ids"]) for r in out.collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2]
+    back = spark.createDataFrame(list(got[0].items()), "doc_id long, ids array<int>")
+    assert {r["row"]["doc_id"]: r["text"] for r in pieces.decode(back).collect()} == dict(rows)
+
+
+def test_pieces_with_inner_spaces_take_part():
+    v = pieces.load()
+    x = next(kernel.texts(pa.array([" if" + " " * 16 + "x"])))
+    drawn = {i for k in range(60) for i in pieces.encode_run(x, np.array([k]), v)[0].tolist()}
+    assert any(v.data[v.offsets[i] : v.offsets[i + 1]].tobytes().startswith(b"  ") for i in drawn)
+
+
+def test_packing_of_token_ids_gives_whole_sequences(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(1000) for _ in range(rng.choice([0, 3, 40, 130]))]) for i in range(50)] + [(99, None)]
+    encoded = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    placed = packing.pack_documents(encoded, (32, 64), 2, ids_col="ids")
+    packed = {r["bin_id"]: r for r in packing.sequences(placed, encoded).collect()}
+    parts = {}
+    for r in placed.where("bin_id is not null").collect():
+        one = packed[r["bin_id"]]
+        assert len(one["ids"]) == one["n_tokens"] <= one["capacity"] == r["capacity"]
+        parts.setdefault(r["doc_id"], []).append((r["piece"], one["ids"][r["start"] : r["start"] + r["n_tokens"]]))
+    assert {i: [x for _, p in sorted(ps) for x in p] for i, ps in parts.items()} == {i: x for i, x in rows if x}
+
+
+def test_packing_deals_repeated_rows_over_shards(spark):
+    rows = spark.createDataFrame([(None, "a b c")] * 400, "doc_id long, text string").coalesce(1)
+    key = [r["key"] for r in rows.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(packing._pieces(4096), packing.PIECE_SCHEMA).collect()]
+    assert len(set(key)) == 400
+
+
+def brute_spans(text, templates, k=3, slack=4, cover=0.6):
+    """Labels and best cover of the diagonal votes of one text."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = {}
+    for label, template in templates:
+        t = template.split(" ")
+        places = defaultdict(list)
+        for j in range(len(t) - k + 1):
+            places[tuple(t[j : j + k])].append(j)
+        votes = sorted((i - j, j) for i in range(len(w) - k + 1) for j in places.get(tuple(w[i : i + k]), ()))
+        band, last = set(), None
+        for d, j in [*votes, (None, None)]:
+            if last is not None and (d is None or d - last > slack):
+                share = len(band) / (len(t) - k + 1)
+                if share >= cover:
+                    out[label] = max(out.get(label, 0), share)
+                band = set()
+            if d is not None:
+                band.add(j)
+                last = d
+    return out
+
+
+def test_license_scan_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = {}
+    for i in range(120):
+        t = prose(rng, rng.randrange(60)).split(" ")
+        for label, notice in rng.sample(licenses.TEMPLATES, rng.randrange(3)):
+            n = notice.split(" ")
+            for _ in range(rng.randrange(4)):  # words changed, dropped or put in
+                p = rng.randrange(len(n))
+                n[p : p + rng.randrange(2)] = rng.choice([[], ["Other"], [n[p].upper()]])
+            t += n + prose(rng, rng.randrange(9)).split(" ")
+        rows[i] = " ".join(t)
+    rows[120], rows[121] = None, " ".join([licenses.TEMPLATES[0][1]] * 3)
+    out, spans = licenses.scan_licenses(frame(spark, rows.items()))
+    want = {i: brute_spans(t, licenses.TEMPLATES) for i, t in rows.items()}
+    assert any(want.values()) and not all(want.values())
+    for r in out.collect():
+        own = want[r["doc_id"]]
+        assert r["labels"] == sorted(set(own) | set(r["base"]))
+        assert r["score"] == pytest.approx(1.0 if r["n_base"] else max(own.values(), default=0.0))
+    best = {(r["doc_id"], r["label"]): r["c"] for r in spans.groupBy("doc_id", "label").agg(F.max("cover").alias("c")).collect()}
+    assert best == {(i, label): pytest.approx(c) for i, own in want.items() for label, c in own.items()}
+
+
+def test_license_templates_come_from_a_folder_too(spark, tmp_path):
+    (tmp_path / "My-License.txt").write_text("You may do all that you like, with this text; and nothing else!\nNo warranty is given.")
+    rows = [(1, "well: you may do all that you like with this text and nothing else no warranty is given. bye"), (2, "nothing of it")]
+    out, _ = licenses.scan_licenses(frame(spark, rows), licenses.templates_of(str(tmp_path)))
+    assert {r["doc_id"]: r["labels"] for r in out.collect()} == {1: ["my-license"], 2: []}
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    rows = [(i, "x" * 100) for i in range(200)] + [(7, "other text of 7")] * 50
+    y = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = labelled.sample(frame(spark, rows).select("doc_id", "text"), y, "quality", 50, 4_000)
+    assert Counter(label for _, label, _ in got) == {0: 20, 1: 20}
+    assert len(labelled.sample(frame(spark, rows).select("doc_id", "text"), y, "quality", 1000)) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(200))
+
+
+def test_registered_queries_keep_their_contracts(spark, tmp_path, docs, labels):
+    """Columns, hold-out, thresholds and one row per document of the opN_ wrappers."""
+    from sparkloom.llm import registry
+
+    d = str(tmp_path)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    want = {
+        "op1_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"}, "op4_quality_classifier": {"doc_id", "held_out", "score", "predicted"}, "op5_toxicity": {"doc_id", "held_out", "score", "predicted"},
+        "op6_license_scan": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}, "op7_jaccard_join": {"doc_id", "n_shingles", "component_id"}, "op2_sentencepiece": {"doc_id", "ids"},
+        "op9_document_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+        "op10_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+    }
+    n = docs.count()
+    for name, columns in want.items():
+        rows = registry.QUERIES[name](spark, d).collect()
+        assert len(rows) == n and columns <= set(rows[0].asDict()), name
+        if "held_out" in columns:
+            least = 0.3 if name.startswith("op4") else 0.5
+            for r in rows:
+                assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least)
+    assert registry.QUERIES["op3_best_fit_packing"](spark, d).select("doc_id").distinct().count() == n

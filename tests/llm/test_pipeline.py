@@ -12,8 +12,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from sparkloom.llm import quality_rules
+from sparkloom.llm import pipeline as corpus_pipeline
 from tests.llm.test_operators import WS, brute_figures, brute_jaccard, prose
 
 
