@@ -6,24 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ancestry(nodes: DataFrame, node: str, parent: str, deepest: int = 64) -> DataFrame:
-    """(node, ancestor, distance, status) by following parent pointers to the root.
+def ancestry(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, ancestor, distance, status) by following parent pointers to the root, however long the chain.
 
-    status: ok, cycle (the pointer leads back), missing (a parent that is no node). Each round doubles nothing but
-    follows one pointer for all nodes that still climb, so rounds are as many as the longest chain.
+    status: ok, cycle (the pointer leads back), missing (a parent that is no node). Paths double in each round: after k
+    rounds every node knows its next 2^k ancestors, so a chain of n takes about log2 n rounds. Rounds are cut by checkpoint()
+    where the session has spark.checkpoint.dir.
     """
+    spark = nodes.sparkSession
     edge = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    rows = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"), F.lit("ok").alias("status"), F.col(parent).alias("next"), F.array(F.col(node)).alias("path"))
-    found, now = rows, rows
-    for step in range(1, deepest + 1):
-        up = now.where("next is not null and status = 'ok'").join(edge, F.col("next") == F.col("_n"), "left")
-        status = F.when(F.array_contains("path", F.col("next")), "cycle").when(F.col("_n").isNull(), "missing").otherwise("ok")
-        now = up.select("node", F.col("next").alias("ancestor"), F.lit(step).alias("distance"), status.alias("status"), F.col("_p").alias("next"), F.concat("path", F.array("next")).alias("path"))
-        now = now.checkpoint() if step % 16 == 0 else now
-        if now.isEmpty():
+    known = edge.select(F.col("_n").alias("_k"))
+    first = edge.join(known, F.col("_p") == F.col("_k"), "left").select(F.col("_n").alias("node"), F.array_compact(F.array("_p")).alias("path"), F.when(F.col("_p").isNotNull() & F.col("_k").isNull(), "missing").when(F.col("_p") == F.col("_n"), "cycle").when(F.col("_p").isNull(), "root").otherwise("ok").alias("end"))
+    now = first
+    while True:
+        onward = now.select(F.col("node").alias("_last"), F.col("path").alias("_path"), F.col("end").alias("_end"))
+        met = now.join(onward, (F.col("end") == "ok") & (F.try_element_at("path", F.lit(-1)) == F.col("_last")), "left")
+        both = F.concat("path", F.coalesce("_path", F.slice("path", 1, 0)))
+        # the first pointer that leads to a node seen before, or to the node itself, ends the path there
+        again = F.array_position(F.transform(both, lambda x, i: (x == F.col("node")) | F.array_contains(F.slice(both, F.lit(1), i), x)), True)
+        end = F.when(F.col("end") != "ok", F.col("end")).when(again > 0, "cycle").otherwise(F.col("_end"))
+        now = met.select("node", F.when((F.col("end") == "ok") & (again > 0), F.slice(both, F.lit(1), again.cast("int"))).otherwise(both).alias("path"), end.alias("end"))
+        now = now.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else now.persist()
+        if now.where("end = 'ok'").isEmpty():
             break
-        found = found.unionByName(now)
-    return found.select("node", "ancestor", "distance", "status")
+    size = F.size("path")
+    up = now.select("node", F.posexplode("path").alias("i", "ancestor"), (size - 1).alias("last"), "end")
+    status = F.when((F.col("i") == F.col("last")) & F.col("end").isin("cycle", "missing"), F.col("end")).otherwise("ok")
+    own = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance"), F.lit("ok").alias("status"))
+    return own.unionByName(up.select("node", "ancestor", (F.col("i") + 1).alias("distance"), status.alias("status")))
 
 
 def as_of_last(events: DataFrame, probes: DataFrame, key: str, at: str, value: str, seq: str) -> DataFrame:

@@ -154,14 +154,29 @@ def name_entries(entries: DataFrame, word: str, spelling: str, special: str, seq
     return first.join(plain, "name", "left").select("name", "spelling", F.coalesce("o", F.lit(False)).alias("ordinary"))
 
 
-def wiki_to_text(source: Column) -> Column:
-    """Plain text of wiki markup: templates (four levels), references, files, links, tags and quotes."""
-    out = F.regexp_replace(source, r"(?s)<!--.*?-->|<ref[^>]*/>|<ref.*?</ref>", "")
-    for _ in range(4):
+WIKI_LINK = r"\[\[([^\[\]]*)\]\]"
+WIKI_MEDIA = ("file", "image", "category", "berkas", "kategori")
+
+
+def wiki_to_text(source: Column, depth: int = 8) -> Column:
+    """Plain text of wiki markup: comments, references, templates (up to `depth` levels), links, tags and quotes.
+
+    A link shows what follows its last bar; links into media and category spaces show nothing; an outer link its caption.
+    """
+    out = source
+    for gone in (r"(?s)<!--.*?-->", r"(?s)<ref\b[^>/]*>.*?</ref\s*>", r"<ref\b[^>]*/\s*>"):
+        out = F.regexp_replace(out, gone, "")
+    for _ in range(depth):
         out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
-    out = F.regexp_replace(out, r"\[\[(?:File|Image|Category|Berkas|Kategori):[^\[\]]*\]\]", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\[\[(?:[^|\[\]]*\|)?([^\[\]]*)\]\]", "$1"), r"\[https?://\S+ ?([^\]]*)\]", "$1")
-    return X.markup_to_text(F.regexp_replace(out, r"'{2,}", ""))
+    for space in WIKI_MEDIA:
+        out = F.regexp_replace(out, rf"(?i)\[\[\s*{space}\s*:[^\[\]]*\]\]", "")
+    # the text between links and the links themselves take turns
+    plain, links = F.split(out, WIKI_LINK, -1), F.regexp_extract_all(out, F.lit(WIKI_LINK), F.lit(1))
+    shown = F.transform(links, lambda x: F.element_at(F.split(x, r"\|", -1), -1))
+    out = F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(F.get(shown, i), F.lit("")))), "")
+    out = F.regexp_replace(out, r"\[(?:https?:)?//[^\s\]]+\s*", "[").cast("string")
+    out = F.translate(out, "[]", "")
+    return X.markup_to_text(F.regexp_replace(out, "''+", ""))
 
 
 def wiki_senses(pages: DataFrame, title: str, source: str) -> DataFrame:

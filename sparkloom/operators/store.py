@@ -78,9 +78,10 @@ def first_reason(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(c, F.lit(why)) for c, why in rules])
 
 
-def keep_or_drop(rows: DataFrame, key: str, reason: Column) -> DataFrame:
-    """(key, reason): a line goes for all its conditions if one of them gives a reason; the least reason is told."""
-    return rows.groupBy(key).agg(F.min(reason).alias("reason"))
+def keep_or_drop(rows: DataFrame, key: str, *rules: tuple[Column, str]) -> DataFrame:
+    """(key, reason): a line goes for all its conditions if a rule holds in one of them; the first rule in order is told."""
+    first = F.coalesce(*[F.when(c, F.struct(F.lit(i).alias("i"), F.lit(why).alias("why"))) for i, (c, why) in enumerate(rules)])
+    return rows.groupBy(key).agg(F.min(first)["why"].alias("reason"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, a: str, b: str, tolerance: float = 1e-9) -> DataFrame:

@@ -91,8 +91,7 @@ def first_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keep_or_drop(spark: SparkSession, d: str) -> DataFrame:
-    why = O.first_reason((F.col("l_discount") > 0.09, "discount"), (F.col("l_quantity") < 2, "few"))
-    return O.keep_or_drop(table(spark, d, "lineitem"), "l_orderkey", why)
+    return O.keep_or_drop(table(spark, d, "lineitem"), "l_orderkey", (F.col("l_discount") > 0.09, "discount"), (F.col("l_quantity") < 2, "few"))
 
 
 def reconcile_tolerance(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkloom.operators.reports import wiki_to_text
 from sparkloom.functions import alignment as A
 from sparkloom.functions import diffs as D
 from sparkloom.functions import script as S
@@ -155,6 +157,31 @@ def test_beam_without_model_beats_greedy():
     assert L.beam_decode(np.log(np.array([[0.1, 0.9, 1e-9], [0.9, 0.1, 1e-9], [0.1, 0.9, 1e-9]]))) == [1, 1]
 
 
+def test_wide_beam_finds_the_most_probable_sequence():
+    rng = np.random.default_rng(2)
+    for _ in range(12):
+        logs = np.log(rng.dirichlet(np.ones(3), size=4))
+        every = [list(x) for n in range(5) for x in itertools.product((1, 2), repeat=n)]
+        score = lambda ids: D.ctc_log_probability(logs, ids)
+        assert L.beam_decode(logs, width=1000, floor=-99.0) == max(every, key=score)
+        bonus = lambda prefix, token: 0.3 * (token == 1) - 0.1 * len(prefix)
+        model = lambda ids: sum(bonus(tuple(ids[:i]), t) for i, t in enumerate([*ids, 0]))
+        best = max(score(ids) + 0.5 * model(ids) + 0.2 * len(ids) for ids in every)
+        got = L.beam_decode(logs, bonus, 0.5, 0.2, width=1000, floor=-99.0)
+        assert score(got) + 0.5 * model(got) + 0.2 * len(got) == pytest.approx(best)
+
+
+def test_script_is_read_sign_by_sign():
+    assert S.to_latin("ꦲꦤꦕꦫꦏ") == "anacaraka" and S.to_latin("ꦏꦺꦴꦏꦿꦶꦢꦽ꧈ ꧑꧒x") == "kokridrê, 12x"
+    assert S.to_latin("ꦥ꦳ꦱꦃ ꦥꦚ꧀ꦗꦁ") == "fasah panjang"
+    assert S.from_latin("omah-omah 1.250, a-") == "ꦲꦺꦴꦩꦃꦲꦺꦴꦩꦃ ꧇꧑.꧒꧕꧐꧇꧈ ꦲ-"
+
+
+def test_wiki_links_show_their_captions(spark):
+    source = "a [[b|c]] [[d]] [[File:x.png|thumb|cap]]{{t|{{u}}}} [https://x.y z] ''q''<ref name=a/> <ref>r</ref>e"
+    assert spark.createDataFrame([(source,)], "s string").select(wiki_to_text(F.col("s"))).first()[0] == "a c d z q e"
+
+
 def test_ctc_probability_sums_over_paths():
     logs = np.log(np.array([[0.5, 0.5], [0.25, 0.75]]))
     assert math.exp(D.ctc_log_probability(logs, [1])) == pytest.approx(1 - 0.5 * 0.25)

@@ -54,6 +54,21 @@ def test_ancestry_tells_cycles_and_missing_parents(spark):
     assert {("a", "b", "ok"), ("a", "a", "cycle"), ("c", "x", "missing"), ("e", "d", "ok")} <= got
 
 
+def test_ancestry_of_long_chains_and_rings(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(200)] + [(1000 + i, 1000 + (i + 1) % 70) for i in range(70)] + [(2000, 1000)], "k long, p long")
+    got = lineage.ancestry(n, "k", "p")
+    own = {(r["ancestor"], r["distance"], r["status"]) for r in got.where("node = 199").collect()}
+    assert own == {(199 - i, i, "ok") for i in range(200)}
+    assert [(r["ancestor"], r["distance"]) for r in got.where("node = 1000 and status = 'cycle'").collect()] == [(1000, 70)]
+    assert [(r["ancestor"], r["distance"]) for r in got.where("node = 2000 and status = 'cycle'").collect()] == [(1000, 71)]
+
+
+def test_keep_or_drop_tells_the_first_rule(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 9), (2, 0)], "k int, v int")
+    got = store.keep_or_drop(rows, "k", (F.col("v") > 8, "zz"), (F.col("v") > 4, "aa"))
+    assert {r["k"]: r["reason"] for r in got.collect()} == {1: "zz", 2: None}
+
+
 def test_as_of_is_strictly_before(spark):
     e = spark.createDataFrame([("k", 1, 1, "a"), ("k", 5, 2, "b")], "k string, at int, seq int, v string")
     p = spark.createDataFrame([("k", 1, 9), ("k", 5, 9), ("k", 6, 9), ("z", 6, 9)], "k string, at int, seq int")
