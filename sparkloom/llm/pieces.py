@@ -217,7 +217,7 @@ def _encode(shared, schema: pa.Schema, with_ids: bool):
             text = pc.fill_null(K.column(batch, "text").cast(pa.large_string()), "")
             spaced = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), text, pa.scalar(" ", pa.large_string())))
             out: dict = {"n_pieces": [], "ids_sha256": [], "lossless": []}
-            lists: list = []
+            parts, ends, base = [np.empty(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)], 0
             for x in K.texts(spaced, limit=1 << 21):
                 ids, bounds = encode_run(x, keys[x.first : x.first + x.n], v)
                 back = decode_ids(ids, v)
@@ -228,8 +228,11 @@ def _encode(shared, schema: pa.Schema, with_ids: bool):
                     out["n_pieces"].append(hi - lo)
                     out["ids_sha256"].append(hashlib.sha256(data[4 * lo : 4 * hi]).hexdigest())
                     out["lossless"].append(bool(same[x.offs[d]] == same[x.offs[d + 1]]) if same is not None else decode_ids(ids[lo:hi], v).tobytes() == x.raw[x.offs[d] : x.offs[d + 1]].tobytes())
-                    if with_ids:
-                        lists.append(ids[lo:hi])
+                if with_ids:
+                    parts.append(ids)
+                    ends.append(bounds[1:] + base)
+                    base += len(ids)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
             yield K.batch_of(schema, {"row": K.column(batch, "row"), **out} | ({"ids": lists} if with_ids else {}))
 
     return encode
