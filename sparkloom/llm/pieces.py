@@ -216,24 +216,20 @@ def _encode(shared, schema: pa.Schema, with_ids: bool):
             keys = K.column(batch, "key").to_numpy(zero_copy_only=False)
             text = pc.fill_null(K.column(batch, "text").cast(pa.large_string()), "")
             spaced = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), text, pa.scalar(" ", pa.large_string())))
-            out: dict = {"n_pieces": [], "ids_sha256": [], "lossless": []}
-            parts, ends, base = [np.empty(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)], 0
-            for x in K.texts(spaced, limit=1 << 21):
+            rows = K.column(batch, "row")
+            for x in K.texts(spaced, limit=1 << 21):  # a run of texts at a time is given back, never a whole batch
                 ids, bounds = encode_run(x, keys[x.first : x.first + x.n], v)
                 back = decode_ids(ids, v)
                 same = np.r_[0, np.cumsum(back != x.raw)] if len(back) == len(x.raw) else None
                 data = ids.astype("<i4").tobytes()
+                out: dict = {"n_pieces": np.diff(bounds), "ids_sha256": [], "lossless": []}
                 for d in range(x.n):
                     lo, hi = int(bounds[d]), int(bounds[d + 1])
-                    out["n_pieces"].append(hi - lo)
                     out["ids_sha256"].append(hashlib.sha256(data[4 * lo : 4 * hi]).hexdigest())
                     out["lossless"].append(bool(same[x.offs[d]] == same[x.offs[d + 1]]) if same is not None else decode_ids(ids[lo:hi], v).tobytes() == x.raw[x.offs[d] : x.offs[d + 1]].tobytes())
                 if with_ids:
-                    parts.append(ids)
-                    ends.append(bounds[1:] + base)
-                    base += len(ids)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
-            yield K.batch_of(schema, {"row": K.column(batch, "row"), **out} | ({"ids": lists} if with_ids else {}))
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                yield K.batch_of(schema, {"row": rows.slice(x.first, x.n), **out})
 
     return encode
 
@@ -248,10 +244,10 @@ def _decode(shared, schema: pa.Schema):
     return decode
 
 
-def encode(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE, with_ids: bool = True, ranked: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE, with_ids: bool = True, ranked: bool = True, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every input row with a sampled segmentation of its text.
 
-    Returns: row (struct: the input row), n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), lossless
+    Returns: row (struct: the input row, or its columns `keep`, which spares sending texts twice), n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), lossless
     (decoding gave the text back) and, if `with_ids`, ids.
 
     The row key is the id: rows that repeat an id and its text get the same segmentation, equal texts of different
@@ -260,7 +256,7 @@ def encode(docs: DataFrame, model: str = MODEL, temperature: float = TEMPERATURE
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model, temperature, ranked))
     text = docs[text_col].cast("string")
-    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("key"), text.alias("text"))
+    wide = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("key"), text.alias("text"))
     extra = ["array(0) ids"] if with_ids else []
     schema = wide.selectExpr("row", "0L n_pieces", "'' ids_sha256", "true lossless", *extra).schema
     return wide.mapInArrow(_encode(shared, to_arrow_schema(schema), with_ids), schema)
@@ -276,7 +272,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op2_sentencepiece(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
     """Sampled segmentations of all documents, with their digests, each decoded again and compared."""
-    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), model)
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), model, keep=("doc_id",))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_pieces", "ids", "ids_sha256", "lossless")
 
 
