@@ -14,7 +14,7 @@ def gate_problems(spark: SparkSession, d: str) -> DataFrame:
     return O.first_problem(table(spark, d, "orders"), "o_orderkey", rules)
 
 
-def optional_run_violations(spark: SparkSession, d: str) -> DataFrame:
+def switch_violations(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("track"), (F.col("p_size") % 3).alias("track_prob"), (F.col("p_size") % 4).alias("track_max"), F.when(F.col("p_size") > 25, F.col("p_size") > 40).alias("slant"), F.when(F.col("p_size") > 45, 1).alias("slant_prob"))
     return O.switch_violations(runs, "p_partkey", {"track": ("track", ["track_prob", "track_max"]), "slant": ("slant", ["slant_prob"])})
 
@@ -114,10 +114,10 @@ def signed_points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", O.signed_points((F.col("l_discount") - F.col("l_tax"))).alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (gate_problems, optional_run_violations, source_inputs, reference_dump, checkpoint_pairs, sum_by_kind, counted_down, joined_texts, value_spread, distinct_lists, either_total, inserted_after, long_metrics, method_kinds, step_evidence, best_report, environment_fingerprints, boundary_counts, marked_texts, repeated_rows, training_schedule, gloss_texts, signed_points)}
+QUERIES = {f.__name__: f for f in (gate_problems, switch_violations, source_inputs, reference_dump, checkpoint_pairs, sum_by_kind, counted_down, joined_texts, value_spread, distinct_lists, either_total, inserted_after, long_metrics, method_kinds, step_evidence, best_report, environment_fingerprints, boundary_counts, marked_texts, repeated_rows, training_schedule, gloss_texts, signed_points)}
 ORACLE_SQL = {
     "gate_problems": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'status ' || o_orderstatus WHEN o_totalprice > 300000 THEN 'price' WHEN starts_with(o_orderpriority, '5') THEN 'priority' ELSE '' END AS problem FROM orders",
-    "optional_run_violations": """WITH r AS (SELECT p_partkey, p_size % 2 = 0 AS t, p_size % 3 AS a, p_size % 4 AS b, coalesce(CASE WHEN p_size > 25 THEN p_size > 40 END, false) AS s, CASE WHEN p_size > 45 THEN 1 ELSE 0 END AS c FROM part)
+    "switch_violations": """WITH r AS (SELECT p_partkey, p_size % 2 = 0 AS t, p_size % 3 AS a, p_size % 4 AS b, coalesce(CASE WHEN p_size > 25 THEN p_size > 40 END, false) AS s, CASE WHEN p_size > 45 THEN 1 ELSE 0 END AS c FROM part)
 SELECT p_partkey, 'track declared, option off' AS problem FROM r WHERE t AND (a = 0 OR b = 0) UNION ALL SELECT p_partkey, 'track not declared, option on' FROM r WHERE NOT t AND (a <> 0 OR b <> 0)
 UNION ALL SELECT p_partkey, 'slant declared, option off' FROM r WHERE s AND c = 0 UNION ALL SELECT p_partkey, 'slant not declared, option on' FROM r WHERE NOT s AND c <> 0""",
     "source_inputs": "SELECT n_nationkey::BIGINT AS k, 'label' AS source, n_name AS input FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'model', c_name FROM nation JOIN customer ON c_custkey = n_nationkey WHERE (c_custkey < 20 OR c_acctbal > 0) AND c_custkey % 4 <> 0",
