@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernel as K
@@ -199,6 +199,17 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _figures(0, K.column(batch, "id").to_pylist(), K.column(batch, "text").to_pylist(), K.column(batch, "following").to_pylist())
 
 
+def _following(pids: DataFrame) -> DataFrame:
+    """(tail, pid): the next partition that has rows, after the last one the first. Found by blocks of 4096 partitions, so one task orders blocks only."""
+    own = pids.select("pid", F.shiftright("pid", 12).alias("block"))
+    line = Window.orderBy("block")
+    firsts = own.groupBy("block").agg(F.min("pid").alias("first"))
+    around = F.first("first").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = firsts.select("block", F.coalesce(F.lead("first").over(line), around).alias("after"))
+    within = own.withColumn("next", F.lead("pid").over(Window.partitionBy("block").orderBy("pid")))
+    return within.join(after, "block").select(F.col("pid").alias("tail"), F.coalesce("next", "after").alias("pid"))
+
+
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = 24_000_000) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
@@ -210,15 +221,13 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, size = corpus_size(docs, text_col)
     base = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     parts = max(8, -(-size // partition_bytes))
-    dealt = base.repartitionByRange(parts, F.col("id").desc()).sortWithinPartitions(F.col("id").desc(), "text")
+    # the beginnings of texts only part the rows of a repeated id between tasks, in the order of the whole texts
+    dealt = base.repartitionByRange(parts, F.col("id").desc(), F.substring("text", 1, 64)).sortWithinPartitions(F.col("id").desc(), "text")
     seen = materialize(dealt.mapInArrow(_stream, OUT_SCHEMA), "fingerprints")
     # the last text of each partition goes on with the first of the next partition that has rows
     heads = seen.where("kind = 1").select("pid", F.col("text").alias("following"))
-    order = sorted(r["pid"] for r in heads.select("pid").collect())
-    spark = docs.sparkSession
-    after = spark.createDataFrame([(p, order[(i + 1) % len(order)]) for i, p in enumerate(order)], "tail long, pid long")
     tails = seen.where("kind = 2").select(F.col("pid").alias("tail"), F.col("doc_id").alias("id"), "text")
-    ends = tails.join(F.broadcast(after), "tail").join(heads, "pid").select("id", "text", "following").mapInArrow(_tails, OUT_SCHEMA)
+    ends = tails.join(_following(heads.select("pid")), "tail").join(heads, "pid").select("id", "text", "following").mapInArrow(_tails, OUT_SCHEMA)
     out = seen.where("kind = 0").unionByName(ends)
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), *OUT_COLUMNS)
 
