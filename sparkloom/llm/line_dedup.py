@@ -44,7 +44,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     late = lines.join(gone, ["h1", "h2"]).where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
     late = materialize(late.groupBy("id", "rk").agg(F.collect_set("pos").alias("gone")), "late")
     out = keyed.join(late.hint("merge"), ["id", "rk"], "left")  # grows with the corpus, so never broadcast
-    cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    # array_except hashes, and the split lines are one variable, so a text takes time in proportion to its lines
+    kept = F.transform(F.array(F.split("text", "\n", -1)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone"), lambda i: F.get(ls, i)), "\n"))
+    cut = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.get(kept, F.lit(0)))
     n = F.coalesce(F.length(F.regexp_replace("text", "[^\n]+", "")) + 1, F.lit(0)).cast("long")
     return out.select("row", cut.alias("text"), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
