@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,15 +16,17 @@ MIN_WORDS = 5
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, par, words): paragraphs of at least MIN_WORDS valid words; the word array keeps nulls where a line breaks."""
+    """(doc, par, words): paragraphs of at least MIN_WORDS valid words; the word array keeps nulls where a line breaks.
+
+    The words come out of a generator, through which the filter is not pushed: they are cleaned once, not per use.
+    """
     out = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("par", "raw"))
-    return out.select("doc", F.col("par").cast("long").alias("par"), X.clean_words(F.col("raw")).alias("words")).where(X.n_valid(F.col("words")) >= MIN_WORDS)
+    words = out.select("doc", F.col("par").cast("long").alias("par"), F.inline(F.array(F.struct(X.clean_words(F.col("raw")).alias("words")))))
+    return words.where(X.n_valid(F.col("words")) >= MIN_WORDS)
 
 
 def _target(seed: int, doc, par: int, turn: int) -> int:
     """A line length from 20 to 80 by hash; the same for a paragraph on any cluster."""
-    import hashlib
-
     h = int.from_bytes(hashlib.md5(f"{seed}:{doc}:{par}:{turn}".encode()).digest()[:8], "big")
     return MIN_LEN + h % (MAX_LEN - MIN_LEN + 1)
 
@@ -133,11 +136,18 @@ def inject(rows: DataFrame, text: str, key: str, vocab: DataFrame, least: int, s
 
 
 def funnel(pars: DataFrame, lines: DataFrame) -> DataFrame:
-    """Documents, paragraphs, words, vocabulary, lines, duplicates, kept lines; kept is lines less duplicates."""
-    words = pars.select(F.explode("words").alias("w")).where("w is not null").agg(F.count(F.lit(1)).alias("words"), F.count_distinct("w").alias("vocab"))
-    one = pars.agg(F.count_distinct("doc").alias("articles"), F.count(F.lit(1)).alias("paragraphs"))
+    """Documents, paragraphs, words, vocabulary, lines, duplicates, kept lines; kept is lines less duplicates.
+
+    Paragraphs are read once: each gives its document and its words as items, counted by kind and value.
+    """
+    item = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    words = F.transform(F.filter("words", lambda w: w.isNotNull()), lambda w: item("word", w))
+    items = pars.select(F.inline(F.concat(F.array(item("doc", F.col("doc").cast("string"))), words))).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    doc = F.col("kind") == "doc"
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    one = items.agg(F.count_if(doc & F.col("value").isNotNull()).alias("articles"), total(doc).alias("paragraphs"), total(~doc).alias("words"), F.count_if(~doc).alias("vocab"))
     two = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("first")).alias("duplicates"), F.count_if("first").alias("kept"))
-    return one.crossJoin(words).crossJoin(two)
+    return one.crossJoin(two)
 
 
 def ordered_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
