@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +50,22 @@ def chunk(words: list, seed: int, doc, par: int) -> list[str]:
 
 
 def chunk_lines(pars: DataFrame, seed: int = 1234) -> DataFrame:
-    """(doc, par, line, text) of paragraphs(); sequential inside a paragraph, so one Arrow-batched step."""
+    """(doc, par, line, text) of paragraphs(); sequential inside a paragraph, so one Arrow-batched step.
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, p, i, t) for d, p, w in zip(f["doc"], f["par"], f["words"], strict=True) for i, t in enumerate(chunk(list(w), seed, d, p))]
-            yield pd.DataFrame(rows, columns=["doc", "par", "line", "text"])
-
-    return pars.select("doc", "par", "words").mapInPandas(cut, "doc long, par long, line long, text string")
+    Words hold no white space: a paragraph travels as one string, with a line feed in the place of each break.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("par", pa.int64()), ("line", pa.int64()), ("text", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, par, joined in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = [None if w == "\n" else w for w in joined.split(" ")]
+                found += [(doc, par, i, t) for i, t in enumerate(chunk(words, seed, doc, par))]
+            columns = zip(*found, strict=True) if found else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return pars.select("doc", "par", F.array_join("words", " ", "\n")).mapInArrow(cut, "doc long, par long, line long, text string")
 
 
 def dedup_first(lines: DataFrame, text: str, order: list[str]) -> DataFrame:
