@@ -4,25 +4,38 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def sign_test(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Exact two-sided sign test of two counts; 1 without untied pairs."""
+EXACT_PAIRS = 10_000
 
-    def p(a: int, b: int) -> float:
-        n, k = int(a + b), int(min(a, b))
-        term, tail = 1, 0
-        for i in range(k + 1):
-            tail += term
+
+def binomial_tail(n: int, k: int) -> float:
+    """Two-sided sign test of k against n - k (k the smaller): exact up to EXACT_PAIRS pairs, from logarithms beyond.
+
+    The terms fall from C(n, k) downwards by factors (k - j) / (n - k + j + 1); after 5 sqrt(n) of them the rest is below
+    e**-50 of the first, beyond a double's digits, so work grows with sqrt(n).
+    """
+    if n <= EXACT_PAIRS:
+        term = tail = 1
+        for i in range(k):
             term = term * (n - i) // (i + 1)
+            tail += term
         return min(1.0, 2 * tail / 2**n)
+    j = np.arange(min(k, math.isqrt(25 * n) + 1), dtype=float)
+    terms = 1 + np.cumprod((k - j) / (n - k + j + 1)).sum()
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    return min(1.0, 2 * math.exp(first) * float(terms))
+
 
-    return pd.Series([p(a, b) for a, b in zip(first, second, strict=True)])
+@F.pandas_udf(T.DoubleType())
+def sign_test(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Two-sided sign test of two counts; 1 without untied pairs."""
+    return pd.Series([binomial_tail(int(a + b), int(min(a, b))) for a, b in zip(first, second, strict=True)], dtype=float)
 
 
 def paired_counts(a: str, b: str) -> list[Column]:

@@ -191,3 +191,14 @@ def test_ctc_probability_sums_over_paths():
 def test_chrf_of_equal_texts_is_100(spark):
     rows = spark.createDataFrame([("g", "some text", "some text"), ("h", "abc", "xyz"), ("i", "", "")], "g string, r string, h string")
     assert {r["g"]: r["chrf"] for r in D.corpus_chrf(rows, "g", "r", "h").collect()} == {"g": 100.0, "h": 0.0, "i": 0.0}
+
+
+def test_sign_test_of_many_pairs_equals_the_exact_one():
+    def exact(n, k):
+        row = itertools.accumulate(range(k), lambda c, i: c * (n - i) // (i + 1), initial=1)
+        return min(1.0, 2 * sum(row) / 2**n)
+
+    for n, k in ((10_001, 5_000), (10_001, 4_800), (10_001, 3), (12_000, 6_000), (12_000, 5_700), (12_000, 0)):
+        assert stats.binomial_tail(n, k) == pytest.approx(exact(n, k), rel=1e-9, abs=1e-300)
+    for n, k in ((0, 0), (1, 0), (9, 4), (200, 80)):
+        assert stats.binomial_tail(n, k) == exact(n, k)
