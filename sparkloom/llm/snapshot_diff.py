@@ -1,8 +1,8 @@
 """Snapshot difference with rekeying: what became of each row of a table between two snapshots.
 
 Rows are narrow from the start: long columns travel as SHA-256 digests. The first shuffle deals both snapshots by a hash of the key;
-in each partition DuckDB joins them fully outer over Arrow batches, so equal keys pair. Rows left over are sorted by (content, side, key)
-over ranges that may split a content; DuckDB numbers each range by row_number, and the counts of the ranges before it give a row its
+in each partition DuckDB joins them fully outer over Arrow batches, so equal keys pair. Rows left over are dealt by (content, side, range of the
+key); DuckDB numbers each range of a content by row_number, and the counts of the ranges before it give a row its
 number within its content. The second shuffle deals by a hash of (content, number), and DuckDB pairs equal numbers of equal contents by IS NOT
 DISTINCT FROM. A content, or a key, of a third of all rows is thereby spread over all tasks.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from sparkloom.llm.storage import forget, materialize
 
 #: Most rows of a partition that DuckDB joins in memory, and the least that a partition of its own is worth.
 PART_ROWS, WORTH = 250_000, 2_000
+#: Rows of a range of the order that groups are numbered by, and the least and most ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 20_000, 16, 4_096
 
 
 def _arrow_schema(df: DataFrame) -> pa.Schema:
@@ -50,27 +53,53 @@ def _parts(spark: SparkSession, n: int) -> int:
     return max(n // PART_ROWS, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // WORTH)) + 1
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """`rows` with `name`, from 1 within equal values of `by` (nulls are equal) in the order of `order`: no group is one task's.
+def _splits(rows: DataFrame, n: int, columns: list[str]) -> list[np.ndarray]:
+    """Up to MOST_RANGES values of each column that cut its rows into ranges of about RANGE_ROWS, from a bounded sample: it decides balance, not results."""
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
+    some = rows.where(F.pmod(F.xxhash64("rid"), F.lit(max(1, n // (4 * MOST_RANGES)))) == 0).select(*columns).collect()
+    cuts = []
+    for c in columns:
+        v = np.sort(np.array([r[c] for r in some if r[c] is not None], dtype=np.int64))
+        cuts.append(v[np.linspace(0, len(v) - 1, ranges + 1).astype(int)[1:-1]] if len(v) else v)
+    return cuts
 
-    Ranges over (by, order) may split a group; each is numbered by itself and what earlier ranges hold of its groups is added. Only
-    the groups at the two ends of a range can go on elsewhere, so offsets are at most two per range and group.
+
+def _in_ranges(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """`rows` with `range`, which rises with (order, rid): ranges of `order`, and of `rid` within a value of `order` that fills ranges by itself."""
+    cuts, inner = _splits(rows, n, [order, "rid"])
+    heavy = np.unique(cuts[1:][cuts[1:] == cuts[:-1]])
+    cuts = np.unique(cuts)
+    have = _arrow_schema(rows)
+    want = have.append(pa.field("range", pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            array = batch.column(have.get_field_index(order))
+            v, known = array.fill_null(0).to_numpy(zero_copy_only=False), array.is_valid().to_numpy(zero_copy_only=False)
+            own = np.isin(v, heavy) & known
+            at = np.where(known, 2 * np.searchsorted(cuts, v) + 2 + own, 1)  # nulls come first, and may be many
+            sub = np.where(own | ~known, np.searchsorted(inner, batch.column(have.get_field_index("rid")).to_numpy()), 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at * (MOST_RANGES + 1) + sub)], schema=want)
+
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in rows.dtypes), "range long"]))
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """`rows` with `name`, from 1 within equal values of `by` (nulls are equal) by (order, rid): no group is one task's.
+
+    Rows are dealt by (by, range of the order); DuckDB numbers each group's rows of a range, and what earlier ranges hold of the group is
+    added. A range has about as many rows of all groups together as of a group at most, so a hot group is spread over the ranges.
     """
-    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     n = rows.count()
-    ranged = rows.repartitionByRange(_parts(rows.sparkSession, n), *by, *order).withColumn("range", F.spark_partition_id())
-    over = ", ".join(f'"{c}"' for c in by)
-    sorts = ", ".join(f'"{c}" NULLS FIRST' for c in order)
-    local = in_duckdb(ranged, f"SELECT *, row_number() OVER (PARTITION BY {over} ORDER BY {sorts}) AS local FROM part", f"{fields}, range int, local long")
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    dealt = _in_ranges(rows, order, n).repartition(_parts(rows.sparkSession, n), *by, "range")
+    over = ", ".join(f'"{c}"' for c in [*by, "range"])
+    local = in_duckdb(dealt, f'SELECT *, row_number() OVER (PARTITION BY {over} ORDER BY "{order}" NULLS FIRST, rid) AS local FROM part', f"{fields}, range long, local long")
     local = materialize(local, "numbered")
-    counts = local.groupBy("range", *by).agg(F.max("local").alias("n"))
-    ends = local.groupBy("range").agg(F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi"))
-    edges = ends.select("range", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e")).select("range", *[F.col(f"e.{c}").alias(c) for c in by])
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("range", *by)]
-    held = counts.alias("a").join(edges.alias("b"), _all(same), "left_semi")
     before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.withColumn("offset", F.sum("n").over(before)).where("offset > 0").drop("n")
-    out = local.alias("a").join(offsets.alias("b").hint("merge"), _all(same), "left")
+    counts = local.groupBy(*by, "range").agg(F.max("local").alias("n"))
+    offsets = counts.withColumn("offset", F.sum("n").over(before)).where("offset > 0").drop("n")
+    out = local.alias("a").join(offsets.alias("b").hint("merge"), _all([F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "range")]), "left")
     return out.select(*[F.col(f"a.{c}").alias(c) for c in rows.columns], (F.col("local") + F.coalesce("offset", F.lit(0))).alias(name))
 
 
@@ -91,8 +120,8 @@ def difference(old: DataFrame, new: DataFrame, columns: list[str], key: str = "d
     Rows of equal keys pair (op `same`, or `update` with the differing `columns`, comma-joined in their order). Among the rows left over, the i-th smallest
     earlier key of a content pairs with its i-th smallest later key (`rekey`). The rest is `insert` and `delete`. key is the later
     key, else the earlier one; row_sha256 is of the later row's columns as text, joined by a line feed, null as `~`, and null for `delete`. Defined cases: nulls equal only
-    nulls, in keys, contents and columns; an empty text is a content like any other; rows that repeat a key pair in the order of
-    their digests, and what one snapshot has more of is left over; ties of content and key go by the other columns; very long texts travel as digests; empty
+    nulls, in keys, contents and columns; an empty text is a content like any other; rows that repeat a key pair in the order
+    in which they are read, and what one snapshot has more of is left over; ties of content and key go by that order too; very long texts travel as digests; empty
     snapshots give only inserts or deletes, two of them an empty table; columns that are not named are not read.
     """
     at = columns.index(content)
@@ -103,19 +132,19 @@ def difference(old: DataFrame, new: DataFrame, columns: list[str], key: str = "d
         whole = F.sha2(F.concat_ws("\n", *[F.coalesce(t, F.lit("~")) for t in texts]).cast("binary"), 256)
         return df.select(F.lit(side).alias("side"), df[key].cast("long").alias("key"), *digests, (F.unhex(whole) if side else F.lit(None).cast("binary")).alias("sha"))
 
-    rows = materialize(narrow(old, 0).unionByName(narrow(new, 1)), "rows")
+    rows = materialize(narrow(old, 0).unionByName(narrow(new, 1)).withColumn("rid", F.monotonically_increasing_id()), "rows")
     n = rows.count()
     cs = [f"c{i}" for i in range(len(columns))]
     if rows.groupBy("side", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         ranked = rows.withColumn("nth", F.lit(1).cast("long"))
     else:
-        ranked = numbered(rows, ["key", "side"], cs, "nth")
+        ranked = numbered(rows, ["key", "side"], "rid", "nth")
     binary = ", ".join(f"{c} binary" for c in cs)
-    found = "side int, key long, old_key long, changed string, sha binary, paired boolean"
+    found = "side int, key long, rid long, old_key long, changed string, sha binary, paired boolean"
     joined = in_duckdb(
         ranked.repartition(_parts(rows.sparkSession, n), "key", "nth"),
         f"""
-        SELECT CASE WHEN n.side IS NULL THEN 0 ELSE 1 END::INTEGER AS side, CASE WHEN n.side IS NULL THEN o.key ELSE n.key END AS key, o.key AS old_key,
+        SELECT CASE WHEN n.side IS NULL THEN 0 ELSE 1 END::INTEGER AS side, CASE WHEN n.side IS NULL THEN o.key ELSE n.key END AS key, coalesce(n.rid, o.rid) AS rid, o.key AS old_key,
                CASE WHEN o.side IS NULL OR n.side IS NULL THEN '' ELSE {_compared(columns)} END AS changed, n.sha AS sha, o.side IS NOT NULL AND n.side IS NOT NULL AS paired,
                {", ".join(f"CASE WHEN n.side IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in cs)}
         FROM (SELECT * FROM part WHERE side = 0) o FULL OUTER JOIN (SELECT * FROM part WHERE side = 1) n ON o.key IS NOT DISTINCT FROM n.key AND o.nth = n.nth
@@ -126,9 +155,9 @@ def difference(old: DataFrame, new: DataFrame, columns: list[str], key: str = "d
     forget(rows)
     pairs = joined.where("paired").select("key", "old_key", F.when(F.col("changed") == "", "same").otherwise("update").alias("op"), "changed", "sha")
 
-    left = joined.where("not paired").select("side", "key", "sha", *cs)
+    left = joined.where("not paired").select("side", "key", "rid", "sha", *cs)
     text = f"c{at}"
-    placed = numbered(left, [text, "side"], ["key", *[c for c in cs if c != text]], "nth")
+    placed = numbered(left, [text, "side"], "key", "nth")
     paired = in_duckdb(
         placed.repartition(_parts(left.sparkSession, left.count()), text, "nth"),
         f"""

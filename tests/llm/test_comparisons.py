@@ -171,14 +171,19 @@ def snapshots(seed, n=400):
 @pytest.mark.parametrize("worth", [2000, 20])
 def test_difference_by_brute_force(spark, monkeypatch, worth):
     monkeypatch.setattr(snapshot_diff, "WORTH", worth)
+    monkeypatch.setattr(snapshot_diff, "RANGE_ROWS", worth)
     spark.conf.set("spark.sql.shuffle.partitions", "16" if worth == 20 else "4")
     old, new = snapshots(worth)
     try:
         assert difference(documents(spark, old), documents(spark, new)) == diff_by_hand(old, new)
-        rows = documents(spark, old).select("doc_id", "text", F.lit(1).alias("side"))
-        got = snapshot_diff.numbered(rows, ["text"], ["doc_id"], "nth").collect()
+        rows = documents(spark, old).select("doc_id", "text", F.lit(1).alias("side"), (F.col("doc_id") * 7 % 400).alias("rid"), F.lit(5).cast("long").alias("one"))
+        got = snapshot_diff.numbered(rows, ["text"], "doc_id", "nth").collect()
+        # one value of the order, and none, hold all rows: their ranges go by rid
+        same = {c: sorted(r["nth"] for r in snapshot_diff.numbered(rows.withColumn(c, e), ["side"], c, "nth").collect()) for c, e in (("one", F.lit(5).cast("long")), ("none", F.lit(None).cast("long")))}
+        ranges = {c: snapshot_diff._in_ranges(rows.withColumn(c, e), c, 400).agg(F.count_distinct("range")).first()[0] for c, e in (("one", F.lit(5).cast("long")), ("none", F.lit(None).cast("long")))}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(v == list(range(1, 401)) for v in same.values()) and min(ranges.values()) > 10
     seen = defaultdict(list)
     for r in sorted(got, key=lambda r: r["doc_id"]):
         seen[r["text"]].append(r["nth"])
