@@ -42,6 +42,11 @@ def line_ned(ref: str, hyp: str) -> Column:
     return F.levenshtein(F.col(ref), F.col(hyp)) / F.greatest(F.lit(1), F.length(ref), F.length(hyp))
 
 
-def summary(ref: str, hyp: str) -> list[Column]:
-    """Lines, cer, ned, cer without spaces and exact share of a group."""
-    return [F.count(F.lit(1)).alias("lines"), F.round(cer(ref, hyp), 9).alias("cer"), F.round(ned(ref, hyp), 9).alias("ned"), F.round(cer_no_space(ref, hyp), 9).alias("cer_no_space"), F.round(exact(ref, hyp), 9).alias("exact")]
+def edits_no_space(ref: str, hyp: str) -> Column:
+    return F.levenshtein(F.col(ref), F.replace(F.col(hyp), F.lit(" "), F.lit(""))).cast("long")
+
+
+def summary_of(edits_: str, bare: str, ref: str, longer: str, same: str) -> list[Column]:
+    """Lines, cer, ned, cer without spaces and exact share of a group, from each line's edits, lengths and equality."""
+    rate = lambda a, b: F.round(F.sum(a) / F.greatest(F.lit(1), F.sum(b)), 9)
+    return [F.count(F.lit(1)).alias("lines"), rate(edits_, ref).alias("cer"), rate(edits_, longer).alias("ned"), rate(bare, ref).alias("cer_no_space"), F.round(F.avg(same), 9).alias("exact")]

@@ -69,9 +69,9 @@ def chunk_lines(pars: DataFrame, seed: int = 1234) -> DataFrame:
 
 
 def dedup_first(lines: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """`first`: whether a row is the first of its text in a total order. Only keys are grouped, texts are not sorted."""
-    lead = lines.groupBy(text).agg(F.min(F.struct(*order)).alias("_lead"))
-    return lines.join(lead, text).withColumn("first", F.struct(*order) == F.col("_lead")).drop("_lead")
+    """`first`: whether a row is the first of its text in a total order; null texts are equal. Only keys are grouped, texts are not sorted."""
+    lead = lines.groupBy(F.col(text).alias("_text")).agg(F.min(F.struct(*order)).alias("_lead"))
+    return lines.join(lead, lines[text].eqNullSafe(lead["_text"])).withColumn("first", F.struct(*order).eqNullSafe(F.col("_lead"))).drop("_lead", "_text")
 
 
 def leakage(lines: DataFrame, split: str, text: str) -> DataFrame:

@@ -15,7 +15,9 @@ R9 = lambda c: F.round(c, 9)
 def summary_sets(rows: DataFrame, groups: list[str], ref: str, hyp: str) -> DataFrame:
     """Error rates by each of `groups` and over all, in one pass of grouping sets."""
     sets = [[F.col(g)] for g in groups] + [[]]
-    return rows.groupingSets(sets, *[F.col(g) for g in groups]).agg(*M.summary(ref, hyp))
+    # distances once per row: the grouping sets repeat rows, not work
+    measured = rows.select(*groups, M.edits(ref, hyp).alias("_edits"), M.edits_no_space(ref, hyp).alias("_bare"), F.length(ref).alias("_ref"), F.greatest(F.length(ref), F.length(hyp)).alias("_long"), (F.col(ref) == F.col(hyp)).cast("double").alias("_same"))
+    return measured.groupingSets(sets, *[F.col(g) for g in groups]).agg(*M.summary_of("_edits", "_bare", "_ref", "_long", "_same"))
 
 
 def worst(rows: DataFrame, ref: str, hyp: str, order: list[str], k: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions.metrics import ratio
+from sparkloom.functions.templates import without_templates
 
 # slant groups of the evaluation fixture as (name, from, below)
 SLANTS = (("upright", float("-inf"), 0.1), ("slanted", 0.1, 0.3), ("steep", 0.3, float("inf")))
@@ -158,16 +159,15 @@ WIKI_LINK = r"\[\[([^\[\]]*)\]\]"
 WIKI_MEDIA = ("file", "image", "category", "berkas", "kategori")
 
 
-def wiki_to_text(source: Column, depth: int = 8) -> Column:
-    """Plain text of wiki markup: comments, references, templates (up to `depth` levels), links, tags and quotes.
+def wiki_to_text(source: Column) -> Column:
+    """Plain text of wiki markup: comments, references, templates (of any depth), links, tags and quotes.
 
     A link shows what follows its last bar; links into media and category spaces show nothing; an outer link its caption.
     """
     out = source
     for gone in (r"(?s)<!--.*?-->", r"(?s)<ref\b[^>/]*>.*?</ref\s*>", r"<ref\b[^>]*/\s*>"):
         out = F.regexp_replace(out, gone, "")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
+    out = without_templates(out)
     for space in WIKI_MEDIA:
         out = F.regexp_replace(out, rf"(?i)\[\[\s*{space}\s*:[^\[\]]*\]\]", "")
     # the text between links and the links themselves take turns

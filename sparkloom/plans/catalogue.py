@@ -8,3 +8,4 @@ _MODULES = (evaluation, corpus, script, language, store, reports, events, compos
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 QUERIES |= fixture.whole_variants(QUERIES)
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+ORACLE_SQL |= fixture.whole_sql(ORACLE_SQL, QUERIES)

@@ -1,12 +1,14 @@
 """Evaluation lines out of the documents table and two corrupted readings of each.
 
-lines() keeps what the DuckDB SQL can follow: raw ASCII lines of 20 to 80 characters, a small part of the texts.
-whole_lines() has all the text; queries named ..._whole run on it.
+lines() keeps raw ASCII lines of 20 to 80 characters, a small part of the texts. whole_lines() has all the text; queries named ..._whole run
+on it, and their SQL follows from that of the part: the same wrapping, and edit distances of texts whose characters are renumbered, as
+DuckDB's distance counts bytes.
 """
 
 from __future__ import annotations
 
 import inspect
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -48,13 +50,39 @@ def whole_readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whole_variants(queries: dict[str, Callable]) -> dict[str, Callable]:
-    """Each query with `rows_of`, as <name>_whole on whole texts, with 10,000 resamples if it has `reps`; these have no SQL."""
+    """Each query with `rows_of`, as <name>_whole on whole texts, with 10,000 resamples if it has `reps`."""
     other = {lines: whole_lines, readings: whole_readings}
     rows = {name: p.default for name, f in queries.items() if (p := inspect.signature(f).parameters.get("rows_of"))}
     more = {name: {"reps": 10_000} if "reps" in inspect.signature(queries[name]).parameters else {} for name in rows}
     return {f"{name}_whole": partial(queries[name], rows_of=other[r], **more[name]) for name, r in rows.items()}
 
 
+def whole_sql(sql: dict[str, str], queries: dict[str, Callable]) -> dict[str, str]:
+    """The SQL of the ..._whole queries that have one on the part."""
+    out = {}
+    for name, q in sql.items():
+        if f"{name}_whole" in queries and f"{name}_whole" not in sql and LINES_SQL in q:
+            q = _DISTANCE.sub(lambda m: _distance(m[1], m[2]), q.replace(LINES_SQL, WHOLE_LINES_SQL))
+            out[f"{name}_whole"] = q.replace("range(1, 201)", "range(1, 10001)")
+    return out
+
+
+_DISTANCE = re.compile(r"levenshtein\((\w+), (\w+|replace\(\w+, ' ', ''\))\)")
+
+
+def _distance(x: str, y: str) -> str:
+    """Edit distance by characters: those of a pair are numbered from 1, at most 127 of them, so that each is one byte."""
+    known = f"array_to_string(list_distinct(string_split({x} || {y}, '')), '')"
+    numbers = "array_to_string(list_transform(range(1, 128), lambda i: chr(i::INT)), '')"
+    return f"levenshtein(translate({x}, {known}, {numbers}), translate({y}, {known}, {numbers}))"
+
+
+WRAP = r"(?s)(.{1,80})(?: |\z)|(.{1,80})"
+WHOLE_LINES_SQL = rf"""lines AS (
+  SELECT page, lang, source, (i - 1)::BIGINT AS line_no, ls[i] AS ref
+  FROM (SELECT doc_id AS page, lang, source, flatten(list_transform(string_split(text, chr(10)), lambda s: list_transform(list_zip(regexp_extract_all(s, '{WRAP}', 1), regexp_extract_all(s, '{WRAP}', 2)), lambda p: coalesce(p[1], '') || coalesce(p[2], '')))) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)
+  WHERE ls[i] <> ''
+)"""
 LINES_SQL = r"""lines AS (
   SELECT doc_id AS page, lang, source, (i - 1)::BIGINT AS line_no, ls[i] AS ref
   FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)
