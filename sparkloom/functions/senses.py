@@ -87,7 +87,8 @@ def register_words(text: Column) -> Column:
         words = F.when(both | script | (s["at"] == "word"), put).when(s["at"] == "script", swap).otherwise(s["words"])
         return F.struct(words.alias("words"), F.when(both, "latin").when(script, "script").when(s["at"] == "script", "latin").otherwise(s["at"]).alias("at"))
 
-    return F.aggregate(items, zero, step, lambda s: s["words"])
+    # without any script every item is a word, and long lists need no fold
+    return F.when(~text.rlike(SCRIPT), items).otherwise(F.aggregate(items, zero, step, lambda s: s["words"]))
 
 
 _SYLLABLE = re.compile(f"(?P<c>[{''.join(CONSONANTS)}])(?P<f>{CECAK}?)(?P<m>[ꦿꦾꦽ]*)(?P<v>[{''.join(VOWELS)}{KILLER}]*)|(?P<o>.)", re.S)

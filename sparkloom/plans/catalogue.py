@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import composites, corpus, evaluation, events, fixture, language, reports, script, store
+from sparkloom.plans import comparison, composites, corpus, dictionary, evaluation, events, fixture, language, reports, script, store
 
-_MODULES = (evaluation, corpus, script, language, store, reports, events, composites)
+_MODULES = (evaluation, corpus, script, language, store, reports, events, composites, comparison, dictionary)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 QUERIES |= fixture.whole_variants(QUERIES)
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

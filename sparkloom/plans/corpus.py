@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators import corpus as O
-from sparkloom.plans.fixture import LINES_SQL, lines, whole_lines
+from sparkloom.plans.fixture import LINES_SQL, WHOLE_LINES_SQL, lines, whole_lines
 from sparkloom.sources.tables import table
 
 
@@ -132,3 +132,4 @@ SELECT source, n, CASE WHEN test THEN 'test' WHEN val THEN 'val' ELSE 'train' EN
     "round_trip_rates": "",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
+ORACLE_SQL["corpus_length_histogram_whole"] = ORACLE_SQL["corpus_length_histogram"].replace(LINES_SQL, WHOLE_LINES_SQL).replace("range(20, 80, 10)", "range(0, 80, 10)")

@@ -86,7 +86,30 @@ def inherit_unique_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (ngram_counts, ngram_contexts, lm_witten_bell_scores, ngram_counts_whole, ngram_contexts_whole, lm_witten_bell_scores_whole, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
-GRAMS = "s AS (SELECT chr(2) || chr(2) || text || chr(3) AS s FROM benchmark), g AS (SELECT k::INT AS k, substr(s, e - k + 1, k) AS gram, count(*) AS n FROM s, unnest(range(3, length(s) + 1)) t(e), range(1, 4) q(k) GROUP BY ALL), c AS (SELECT k, substr(gram, 1, k - 1) AS ctx, sum(n)::BIGINT AS total, count(*) AS types FROM g WHERE k > 1 GROUP BY ALL)"
+
+
+def _grams_sql(source: str, order: int) -> str:
+    pad = " || ".join(["chr(2)"] * (order - 1))
+    before = ", ".join(f"lag(ch, {i}) OVER o" for i in range(order - 1, 0, -1))
+    chars = f"SELECT r, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS ch FROM (SELECT row_number() OVER () AS r, string_split({pad} || text || chr(3), '') AS ls FROM {source})"
+    windows = f"SELECT i, concat({before}, ch) AS f FROM ({chars}) WINDOW o AS (PARTITION BY r ORDER BY i)"
+    return f"""w AS (SELECT f, count(*) AS n FROM ({windows}) WHERE i >= {order} GROUP BY f), g AS (SELECT k::INT AS k, substr(f, {order} - k + 1, k) AS gram, sum(n)::BIGINT AS n FROM w, range(1, {order + 1}) q(k) GROUP BY ALL),
+c AS (SELECT k, substr(gram, 1, k - 1) AS ctx, sum(n)::BIGINT AS total, count(*) AS types FROM g WHERE k > 1 GROUP BY ALL)"""
+
+
+def _scores_sql(source: str, order: int) -> str:
+    """Interpolated probabilities of every context and character of the conversations, one order after another."""
+    pad = " || ".join(["chr(2)"] * (order - 1))
+    steps = [f"p1 AS (SELECT f, (coalesce(g.n, 0) + 1) / (a + v + 1) AS p FROM (SELECT DISTINCT f FROM p) LEFT JOIN g ON g.k = 1 AND g.gram = substr(f, {order}, 1), a, v)"]
+    for k in range(2, order + 1):
+        steps.append(f"p{k} AS (SELECT f, CASE WHEN c.total > 0 THEN (coalesce(g.n, 0) + c.types * p) / (c.total + c.types) ELSE p END AS p FROM p{k - 1} LEFT JOIN c ON c.k = {k} AND c.ctx = substr(f, {order - k + 1}, {k - 1}) LEFT JOIN g ON g.k = {k} AND g.gram = substr(f, {order - k + 1}, {k}))")
+    return f"""WITH {_grams_sql(source, order)}, v AS (SELECT count(*) AS v FROM g WHERE k = 1 AND gram <> chr(3)), a AS (SELECT sum(n) AS a FROM g WHERE k = 1),
+p AS (SELECT conv_id || '-' || turn AS key, substr(s, e - {order - 1}, {order}) AS f FROM (SELECT conv_id, turn, {pad} || text || chr(3) AS s FROM conversations), unnest(range({order}, length(s) + 1)) t(e)),
+{", ".join(steps)}
+SELECT key, count(*) AS chars, round(sum(ln(p{order}.p)), 6) AS logp FROM p JOIN p{order} USING (f) GROUP BY key"""
+
+
+GRAMS = _grams_sql("benchmark", 3)
 PLAIN = "translate(word, 'éèêáàíóúñç', 'eeeaaiounc')"
 TOKENS = r"tk AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)"
 LEX = "n AS (SELECT {p} AS plain, word AS form, count(*) AS n FROM {t} GROUP BY ALL), lex AS (SELECT * FROM (SELECT plain, form, n, sum(n) OVER (PARTITION BY plain) AS total, row_number() OVER (PARTITION BY plain ORDER BY n DESC, form) AS r FROM n) WHERE r = 1 AND form <> plain AND n >= 2 AND n / total >= 0.6)"
@@ -96,12 +119,10 @@ cl AS (SELECT *, CASE WHEN ngoko + madya + krama = 0 THEN NULL WHEN ngoko >= 2 A
 ORACLE_SQL = {
     "ngram_counts": f"WITH {GRAMS} SELECT k, hex(gram) AS gram, n FROM g",
     "ngram_contexts": f"WITH {GRAMS} SELECT k, hex(ctx) AS ctx, total, types FROM c",
-    "lm_witten_bell_scores": f"""WITH {GRAMS}, v AS (SELECT count(DISTINCT ch) AS v FROM (SELECT unnest(string_split(text, '')) AS ch FROM benchmark) WHERE ch <> ''), a AS (SELECT sum(n) AS a FROM g WHERE k = 1),
-p AS (SELECT conv_id || '-' || turn AS key, substr(s, e - 2, 3) AS f FROM (SELECT conv_id, turn, chr(2) || chr(2) || text || chr(3) AS s FROM conversations), unnest(range(3, length(s) + 1)) t(e)),
-u AS (SELECT f, (coalesce(g.n, 0) + 1) / (a + v + 1) AS p FROM (SELECT DISTINCT f FROM p) LEFT JOIN g ON g.k = 1 AND g.gram = substr(f, 3, 1), a, v),
-b AS (SELECT f, CASE WHEN c.total > 0 THEN (coalesce(g.n, 0) + c.types * p) / (c.total + c.types) ELSE p END AS p FROM u LEFT JOIN c ON c.k = 2 AND c.ctx = substr(f, 2, 1) LEFT JOIN g ON g.k = 2 AND g.gram = substr(f, 2, 2)),
-t AS (SELECT f, CASE WHEN c.total > 0 THEN (coalesce(g.n, 0) + c.types * p) / (c.total + c.types) ELSE p END AS p FROM b LEFT JOIN c ON c.k = 3 AND c.ctx = substr(f, 1, 2) LEFT JOIN g ON g.k = 3 AND g.gram = f)
-SELECT key, count(*) AS chars, round(sum(ln(t.p)), 6) AS logp FROM p JOIN t USING (f) GROUP BY key""",
+    "lm_witten_bell_scores": _scores_sql("benchmark", 3),
+    "ngram_counts_whole": f"WITH {_grams_sql('documents', ORDER)} SELECT k, hex(gram) AS gram, n FROM g",
+    "ngram_contexts_whole": f"WITH {_grams_sql('documents', ORDER)} SELECT k, hex(ctx) AS ctx, total, types FROM c",
+    "lm_witten_bell_scores_whole": _scores_sql("documents", ORDER),
     "lexicon_argmax_share": f"WITH {TOKENS}, {LEX.format(p=PLAIN, t='tk')} SELECT plain, form, n FROM lex",
     "lexicon_holdout_accuracy": f"WITH {TOKENS}, tr AS (SELECT * FROM tk WHERE key % 5 <> 0), {LEX.format(p=PLAIN, t='tr')}, te AS (SELECT word, {PLAIN} AS plain FROM tk WHERE key % 5 = 0) SELECT count(*) AS tokens, round(avg((word = coalesce(form, plain))::INT), 9) AS with_lexicon, round(avg((word = plain)::INT), 9) AS untouched FROM te LEFT JOIN lex USING (plain)",
     "marker_classify": f"WITH src AS (SELECT conv_id || '-' || turn AS key, text FROM conversations), {CLASSIFY} SELECT key, ngoko, madya, krama, level, confidence FROM cl",
