@@ -110,6 +110,51 @@ def _scan(phrases: tuple):
     return scan
 
 
+_SPAN = pa.schema([("id", pa.int64()), ("rk", pa.int64()), ("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("votes", pa.int64()), ("cover", pa.float64())])
+SPAN_SCHEMA = "id long, rk long, label string, first_word long, last_word long, votes long, cover double"
+
+
+def chains(at: np.ndarray, place: np.ndarray, size: int, slack: int, cover: float) -> list[tuple[int, int, int]]:
+    """(first, last, length) of the longest chains of pairs of places, best first, that cover enough of a template and share no text.
+
+    In a chain both places rise and neighbours' diagonals differ by `slack` at most; a pair can only follow pairs at most
+    size + slack text places before it, so work is linear in the text. Of chains that end at one pair the earlier start wins.
+    """
+    order = np.lexsort((place, at))
+    at, place = at[order].tolist(), place[order].tolist()
+    best, back, lo = [1] * len(at), [-1] * len(at), 0
+    for j in range(len(at)):
+        while at[j] - at[lo] > size + slack:
+            lo += 1
+        for i in range(lo, j):
+            if at[i] < at[j] and place[i] < place[j] and abs((at[j] - place[j]) - (at[i] - place[i])) <= slack and best[i] + 1 > best[j]:
+                best[j], back[j] = best[i] + 1, i
+    found: list[tuple[int, int, int]] = []
+    for j in sorted(range(len(at)), key=lambda j: (-best[j], at[j], place[j])):
+        if best[j] < cover * size:
+            break
+        i = j
+        while back[i] >= 0:
+            i = back[i]
+        if all(at[j] < f or at[i] > t for f, t, _ in found):
+            found.append((at[i], at[j], best[j]))
+    return found
+
+
+def _verified(slack: int, cover: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own in batch.to_pylist():
+                diagonals = np.repeat([h["diagonal"] for h in own["hits"]], [len(h["ats"]) for h in own["hits"]])
+                at = np.concatenate([h["ats"] for h in own["hits"]]).astype(np.int64)
+                for first, last, n in chains(at, at - diagonals, own["size"], slack, cover):
+                    rows.append((own["id"], own["rk"], own["label"], first, last + K_WORDS - 1, n, n / own["size"]))
+            yield K.batch_of(_SPAN, {f.name: [r[i] for r in rows] for i, f in enumerate(_SPAN)})
+
+    return run
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, slack: int = SLACK, cover: float = COVER, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(figures, spans).
 
@@ -118,7 +163,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, slack:
     score is the best cover of any span, 1 if a base phrase stands in the text, else 0.
 
     Words are runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters. Diagonals at most `slack`
-    apart merge; a span needs `cover` of its template's windows. Defined cases: a null text is empty and has no
+    apart merge; a span needs `cover` of its template's windows, in order. Defined cases: a null text is empty and has no
     labels; null ids stay null; rows that repeat an id are figured each; an empty table gives an empty table; other
     columns are not read; very long texts are scanned whole; of equal covers all labels stand. The join of all rolling windows with
     the template places decides alone what votes. `templates` are (label, text) pairs of any length, as templates_of()
@@ -134,12 +179,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, slack:
     grams = base.mapInArrow(_windows, "id long, rk long, grams array<long>").select("id", "rk", F.posexplode("grams").alias("at", "gram"))
     # rows that repeat an id and its text vote once: each pair of places counts once
     votes = grams.join(places, "gram").groupBy("id", "rk", "label", "size", (F.col("at") - F.col("place")).cast("long").alias("diagonal"))
-    votes = votes.agg(F.min("at").cast("long").alias("first"), F.max("at").cast("long").alias("last"), F.count_distinct("at").alias("votes"), F.collect_set("place").alias("places"))
+    votes = votes.agg(F.min("at").cast("long").alias("first"), F.max("at").cast("long").alias("last"), F.collect_set(F.col("at").cast("long")).alias("ats"))
     line = Window.partitionBy("id", "rk", "label").orderBy("diagonal", "first")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(line) > slack, F.lit(True))
     bands = votes.withColumn("band", F.sum(fresh.cast("int")).over(line))
-    spans = bands.groupBy("id", "rk", "label", "size", "band").agg(F.min("first").alias("first_word"), (F.max("last") + K_WORDS - 1).alias("last_word"), F.sum("votes").alias("votes"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
-    spans = spans.withColumn("cover", F.col("places") / F.col("size")).where(F.col("cover") >= cover)
+    # of a band, the pairs of places; those whose places could cover enough in any order are chained
+    pairs = bands.groupBy("id", "rk", "label", "size", "band").agg(F.collect_list(F.struct("diagonal", "ats")).alias("hits"))
+    places = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["ats"], lambda a: a - h["diagonal"])))))
+    spans = pairs.where(places >= cover * F.col("size")).select("id", "rk", "label", "size", "hits").mapInArrow(_verified(slack, cover), SPAN_SCHEMA)
     named = spans.groupBy("id", "rk").agg(F.collect_set("label").alias("own"), F.max("cover").alias("best"))
     out = seen.join(named, ["id", "rk"], "left")
     back = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")

@@ -474,28 +474,50 @@ def test_packing_deals_repeated_rows_over_shards(spark):
 
 
 def brute_spans(text, templates, k=3, slack=4, cover=0.6):
-    """Labels and best cover of the diagonal votes of one text."""
+    """Labels and best cover of one text: the longest chain of equal windows over all pairs of places, both rising, steps shifted by `slack` at most."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     out = {}
     for label, template in templates:
         t = template.split(" ")
-        places = defaultdict(list)
-        for j in range(len(t) - k + 1):
-            places[tuple(t[j : j + k])].append(j)
-        votes = sorted((i - j, j) for i in range(len(w) - k + 1) for j in places.get(tuple(w[i : i + k]), ()))
-        band, last = set(), None
-        for d, j in [*votes, (None, None)]:
-            if last is not None and (d is None or d - last > slack):
-                share = len(band) / (len(t) - k + 1)
-                if share >= cover:
-                    out[label] = max(out.get(label, 0), share)
-                band = set()
-            if d is not None:
-                band.add(j)
-                last = d
+        pairs = [(i, j) for i in range(len(w) - k + 1) for j in range(len(t) - k + 1) if w[i : i + k] == t[j : j + k]]
+        best = []
+        for i, j in pairs:
+            best.append(1 + max((b for b, (p, q) in zip(best, pairs) if p < i and q < j and abs((i - j) - (p - q)) <= slack), default=0))
+        share = max(best, default=0) / (len(t) - k + 1)
+        if share >= cover:
+            out[label] = share
     return out
 
 
+def test_licenses_need_their_words_in_order(spark):
+    """Windows of a notice in reverse or shuffled order, or spread over a long text, are no notice; a sibling's notice is its own only."""
+    rng = random.Random(4)
+    windows = {label: [" ".join(t.split(" ")[i : i + 3]) for i in range(len(t.split(" ")) - 2)] for label, t in licenses.TEMPLATES}
+    rows = {}
+    for n, (_label, w) in enumerate(windows.items()):
+        rows[n] = " ".join(reversed(w))
+        rows[100 + n] = " ".join(rng.sample(w, len(w)))
+        rows[200 + n] = " ".join(x + " " + prose(rng, 9) for x in w)
+        rows[300 + n] = f"{prose(rng, 20)} {licenses.TEMPLATES[n][1]} {prose(rng, 20)}"
+    out, _ = licenses.scan_licenses(frame(spark, rows.items()))
+    got = {r["doc_id"]: set(r["labels"]) - set(r["base"]) for r in out.collect()}
+    for n, (label, w) in enumerate(windows.items()):
+        want = [set(brute_spans(rows[i + n], licenses.TEMPLATES)) for i in (0, 100, 200, 300)]
+        assert [got[i + n] for i in (0, 100, 200, 300)] == want
+        assert want[3] == {label} and want[2] == set()
+        assert len(w) < 9 or not want[0]  # the shortest notices repeat themselves by two windows
+    bsd = [label for label, _ in licenses.TEMPLATES].index("bsd")
+    assert got[bsd] == got[100 + bsd] == set()
+
+
+def test_licence_chains():
+    at, place = np.array([0, 1, 2, 9, 10, 11, 30, 31]), np.array([0, 1, 2, 0, 1, 2, 2, 0])
+    assert licenses.chains(at, place, 3, 4, 0.6) == [(0, 2, 3), (9, 11, 3)]
+    assert licenses.chains(at[::-1], place[::-1], 3, 4, 1.0) == [(0, 2, 3), (9, 11, 3)]
+    assert licenses.chains(at[:0], place[:0], 3, 4, 0.6) == []
+    assert licenses.chains(np.arange(9), np.arange(9)[::-1], 9, 4, 0.3) == []
+
+
 def test_license_scan_by_brute_force(spark):
     rng = random.Random(12)
     rows = {}
