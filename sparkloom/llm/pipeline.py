@@ -28,37 +28,41 @@ def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the likelihood ratio keep; rejected ones go."""
+    """Documents that the rules and the likelihood ratio keep; rejected ones go. Null and empty texts are rejected; repeated rows are judged each; an empty table gives an empty table."""
     judged = apply_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines removed, all but their first place. Every document stays, if only as an empty text."""
+    """Cross-site boilerplate lines removed, all but their first place. Every document stays, if only as an empty text; null texts stay null; an empty table gives an empty table."""
     return _same_columns(remove_boilerplate(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join: the one of smallest id.
 
-    Of rows that repeat its id and text, one stays; documents without an id stay, as none of them is the first.
+    Of rows that repeat its id and text, one stays; documents without an id stay, as none of them is the first. Documents whose texts are null or
+    have no words stay; an empty table gives an empty table; other columns are kept, whatever their names.
     """
     classes = jaccard_classes(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(classes.withColumnRenamed("doc_id", "kept_id").hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    own = "kept_id"
+    while own in docs.columns:
+        own += "_"
+    kept = docs.join(classes.withColumnRenamed("doc_id", own).hint("merge"), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     one = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("one")) if rest else kept.distinct()
     return one.select(*[F.col("one")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of 20-word windows removed. A text that repeats nothing stays as it was, white space included."""
+    """Later repeats of 20-word windows removed. A text that repeats nothing stays as it was, white space included; null texts stay null, an empty table gives an empty table."""
     out = remove_repeats(docs)
     text = F.when(out["n_removed"] == 0, F.col("row")["text"]).otherwise(out["text"])
     return _same_columns(out.withColumn("text", text), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in the packed sequences."""
+    """The place of each piece of each document in the packed sequences; null and empty texts are pieces of no words, an empty table gives an empty table."""
     return pack_documents(docs)
 
 

@@ -489,6 +489,27 @@ def brute_spans(text, templates, k=3, slack=4, cover=0.6):
     return out
 
 
+def test_noisy_or_by_hand():
+    """Scores of texts out of their sentences' logits, word by word, and folds that see only their own rows."""
+    rng = random.Random(3)
+    rows, toxic, _ = marked(6, 120)
+    train = [(rows[i], toxic[i], 1.0) for i in rows]
+    m = toxicity.fit(train, epochs=5)
+    for i in range(0, 120, 7):
+        none = 1.0
+        for sentence in re.split(r"\n|(?<=[.!?]) ", rows[i]):
+            z, some = m.bias, False
+            for w in re.findall(r"[a-z0-9]+", sentence.lower()):
+                x = next(kernel.texts(pa.array([w]), kernel.ALNUM, True))
+                s, some = toxicity.Sentences(x), True
+                z += sum(m.weights[f] for f in s.feats[0] if f >= 0)
+            none *= 1 - 1 / (1 + np.exp(-z)) if some else 1
+        assert toxicity.probabilities(m, [rows[i]])[0] == pytest.approx(1 - none, abs=1e-9)
+    loss, recall = toxicity.fold_loss(train, {"epochs": 30})
+    shuffled = [(t, rng.choice([0, 1]), v) for t, _, v in train]
+    assert loss < 0.5 and recall > 0.5 and toxicity.fold_loss(shuffled, {"epochs": 10})[0] > loss
+
+
 def test_licenses_need_their_words_in_order(spark):
     """Windows of a notice in reverse or shuffled order, or spread over a long text, are no notice; a sibling's notice is its own only."""
     rng = random.Random(4)

@@ -105,3 +105,27 @@ def test_entry_works_without_this_subpackage(tmp_path):
     shutil.copytree(root / "sparkloom", tmp_path / "sparkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls, empties, repeats, ties, empty tables and clashing column names pass every stage, which gives back the columns it got."""
+    from sparkloom.llm import pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, kept_id_ int, row string, one string, text_ string, gone int, rk long, id int, n_links int, component_id int"
+    words = " ".join(f"w{i}" for i in range(70))
+    texts = [words, words, None, "", " \n", words + " more", words.upper(), words]
+    rows = [(None if i == 5 else min(i, 6), t, "en", "s", 1, 7, 8, "r", "o", "t", 1, 2, 3, 4, 5) for i, t in enumerate(texts)]
+    spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    for _name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
+        assert stage(spark, docs.where("false"), str(tmp_path)).collect() == []
+        got = out.collect()
+        assert all((r["row"], r["one"], r["kept_id"], r["n_links"]) == ("r", "o", 7, 4) for r in got)
+        if stage is pipeline.line_dedup or stage is pipeline.substring_dedup:
+            assert len(got) == len(rows)
+        if stage is pipeline.near_duplicates:
+            # ids 0, 1, 6 and the null id are one component, whose first, the null id, stays; null and empty texts stay
+            assert sorted(repr(r["doc_id"]) for r in got) == ["2", "3", "4", "None"]
+    assert pipeline.packing(spark, docs, str(tmp_path)).count() >= 5 and pipeline.packing(spark, docs.where("false"), str(tmp_path)).collect() == []
