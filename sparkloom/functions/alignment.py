@@ -43,36 +43,40 @@ def align_batch(refs: list[str], hyps: list[str]) -> list[list[tuple]]:
     rows, cols = a.shape[1], b.shape[1]
     big = (n + m + 1).astype(np.int64)
     step = big * big
-    table = np.empty((rows + 1, len(refs), cols + 1), dtype=np.int64)
     along = step[:, None] * np.arange(cols + 1)
-    table[0] = along
+    # how each cell is reached: 0 from both, 1 from the reference alone, 2 from the output alone; the first that is least counts
+    moves = np.full((rows + 1, len(refs), cols + 1), 2, dtype=np.uint8)
+    moves[1:, :, 0] = 1
+    last = along
     for i in range(1, rows + 1):
-        prev, now = table[i - 1], table[i]
         same = a[:, i - 1 : i] == b
-        diag = prev[:, :-1] + np.where(same, -big[:, None], step[:, None] - (ca[:, i - 1 : i] == cb))
-        now[:, 0] = i * step
-        now[:, 1:] = np.minimum(diag, prev[:, 1:] + step[:, None])
-        now -= along
-        np.minimum.accumulate(now, axis=1, out=now)
-        now += along
-    out = []
-    for k, (ref, hyp) in enumerate(zip(refs, hyps, strict=True)):
-        i, j, steps, cells, e, g = len(ref), len(hyp), [], table[:, k, :], int(step[k]), int(big[k])
-        while i or j:
-            value = cells[i, j]
-            if i and j:
-                equal = ref[i - 1] == hyp[j - 1]
-                if value == cells[i - 1, j - 1] + (-g if equal else e - int(ca[k, i - 1] == cb[k, j - 1])):
-                    i, j = i - 1, j - 1
-                    steps.append(("equal" if equal else "replace", i, j, ref[i], hyp[j]))
-                    continue
-            if i and value == cells[i - 1, j] + e:
-                i -= 1
-                steps.append(("delete", i, None, ref[i], None))
-            else:
-                j -= 1
-                steps.append(("insert", None, j, None, hyp[j]))
-        out.append(steps[::-1])
+        both = last[:, :-1] + np.where(same, -big[:, None], step[:, None] - (ca[:, i - 1 : i] == cb))
+        alone = last[:, 1:] + step[:, None]
+        cost = np.concatenate([i * step[:, None], np.minimum(both, alone)], axis=1)
+        last = np.minimum.accumulate(cost - along, axis=1) + along
+        moves[i, :, 1:] = np.where(last[:, 1:] == both, 0, np.where(last[:, 1:] == alone, 1, 2))
+    # all pairs walk back together
+    i, j, pair = n.copy(), m.copy(), np.arange(len(refs))
+    walked = []
+    while (i + j).any():
+        went = np.where(i + j > 0, moves[i, pair, j], 3).astype(np.uint8)
+        walked.append(went)
+        i -= went < 2
+        j -= (went == 0) | (went == 2)
+    paths = np.stack(walked[::-1], axis=1) if walked else np.empty((len(refs), 0), dtype=np.uint8)
+    return [_steps(p[p < 3].tolist(), ref, hyp) for p, ref, hyp in zip(paths, refs, hyps, strict=True)]
+
+
+def _steps(moves: list[int], ref: str, hyp: str) -> list[tuple]:
+    out, i, j = [], 0, 0
+    for go in moves:
+        if go == 0:
+            out.append(("equal" if ref[i] == hyp[j] else "replace", i, j, ref[i], hyp[j]))
+        elif go == 1:
+            out.append(("delete", i, None, ref[i], None))
+        else:
+            out.append(("insert", None, j, None, hyp[j]))
+        i, j = i + (go < 2), j + (go != 1)
     return out
 
 

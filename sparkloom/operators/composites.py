@@ -148,10 +148,3 @@ def signed_points(share: Column) -> Column:
     """A difference of shares as signed percentage points with two decimals."""
     p = F.round(share * 100, 2).cast("decimal(20,2)")
     return F.concat(F.when(p >= 0, "+").otherwise(""), p.cast("string"))
-
-
-def markdown(rows: DataFrame, columns: list[str], order: list[str]) -> str:
-    """A small table as markdown; the rows of a report are few and come to the driver. Null shows as a dash."""
-    cell = lambda v: "-" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows.orderBy(*order).select(*columns).collect()]) + "\n"

@@ -173,7 +173,7 @@ def wiki_to_text(source: Column) -> Column:
     # the text between links and the links themselves take turns
     plain, links = F.split(out, WIKI_LINK, -1), F.regexp_extract_all(out, F.lit(WIKI_LINK), F.lit(1))
     shown = F.transform(links, lambda x: F.element_at(F.split(x, r"\|", -1), -1))
-    out = F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(F.get(shown, i), F.lit("")))), "")
+    out = F.array_join(F.zip_with(plain, shown, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     out = F.regexp_replace(out, r"\[(?:https?:)?//[^\s\]]+\s*", "[").cast("string")
     out = F.translate(out, "[]", "")
     return X.markup_to_text(F.regexp_replace(out, "''+", ""))

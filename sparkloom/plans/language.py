@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import augment as A
 from sparkloom.operators import language_model as L
 from sparkloom.operators import lexicon as O
+from sparkloom.operators import schedule as T
+from sparkloom.operators import speech as S
+from sparkloom.plans.fixture import whole_lines
 from sparkloom.sources.tables import table
 
 # marker words for the synthetic conversations: (word, level)
@@ -85,7 +89,27 @@ def inherit_unique_value(spark: SparkSession, d: str) -> DataFrame:
     return O.inherit_unique(s, "s_nationkey", "spelling")
 
 
-QUERIES = {f.__name__: f for f in (ngram_counts, ngram_contexts, lm_witten_bell_scores, ngram_counts_whole, ngram_contexts_whole, lm_witten_bell_scores_whole, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
+def speech_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of all texts by longer markers, every second text without its spaces."""
+    markers = [("nation", "krama"), ("ation", "madya"), ("quand", "krama"), ("estan", "ngoko"), ("ation", "ngoko"), *MARKERS]
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", r"\s+", "")).alias("text"))
+    return S.speech_levels(docs, "doc_id", "text", markers).select("key", "ngoko", "madya", "krama", "level", "confidence", "spaced")
+
+
+def rare_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every text with rare letters and signs put in by share: how many changed, by language, and by how many characters."""
+    rows = whole_lines(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
+    out = A.with_rare_text(rows, "key", "ref", ["ß", "÷", "¶"], ["e", "a", "o"], 0.2, 0.1, attach=True)
+    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("changed") != F.col("ref")).alias("changed"), F.sum(F.length("changed") - F.length("ref")).alias("longer"))
+
+
+def training_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 batches of 8 over a pool of 2000 documents, epoch after epoch."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("length"))
+    return T.schedule(docs, "doc_id", "length", 2000, 8, 200, 7).select("epoch", F.col("step").cast("long").alias("step"), "place", F.col("key").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (speech_levels, rare_text, training_batches, ngram_counts, ngram_contexts, lm_witten_bell_scores, ngram_counts_whole, ngram_contexts_whole, lm_witten_bell_scores_whole, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
 
 
 def _grams_sql(source: str, order: int) -> str:
@@ -117,6 +141,11 @@ CLASSIFY = f"""{MARKERS_SQL}, w AS (SELECT key, unnest(regexp_extract_all(lower(
 n AS (SELECT key, count(*) FILTER (level = 'ngoko') AS ngoko, count(*) FILTER (level = 'madya') AS madya, count(*) FILTER (level = 'krama') AS krama FROM (SELECT key, level FROM l UNION ALL SELECT key, NULL FROM src) GROUP BY key),
 cl AS (SELECT *, CASE WHEN ngoko + madya + krama = 0 THEN NULL WHEN ngoko >= 2 AND madya + krama >= 2 AND least(ngoko, madya + krama) / (ngoko + madya + krama) >= 0.25 THEN 'campur' WHEN ngoko >= greatest(madya, krama) THEN 'ngoko' WHEN madya >= krama THEN 'madya' ELSE 'krama' END AS level, CASE WHEN ngoko + madya + krama >= 3 THEN 'cukup' ELSE 'rendah' END AS confidence FROM n)"""
 ORACLE_SQL = {
+    "training_batches": """WITH p AS (SELECT doc_id, length(text) AS n FROM documents ORDER BY md5('7:' || doc_id), doc_id::VARCHAR LIMIT 2000), c AS (SELECT count(*) AS n, count(*) // 400 * 50 + (count(*) % 400 + 7) // 8 AS per FROM p),
+m AS (SELECT e, doc_id, p.n, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':rows:' || doc_id), doc_id::VARCHAR) - 1 AS at FROM p, c, unnest(range(0, (200 + per - 1) // per)) t(e)),
+g AS (SELECT *, at // 400 AS grp, row_number() OVER (PARTITION BY e, at // 400 ORDER BY n NULLS FIRST, at) - 1 AS i FROM m), b AS (SELECT e, doc_id, grp * 50 + i // 8 AS batch, (i % 8)::INT AS place FROM g),
+s AS (SELECT e, batch, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':batches:' || batch), batch) - 1 AS step FROM (SELECT DISTINCT e, batch FROM b))
+SELECT e::INT AS epoch, step + e * per AS step, place, doc_id FROM b JOIN s USING (e, batch), c WHERE step + e * per < 200""",
     "ngram_counts": f"WITH {GRAMS} SELECT k, hex(gram) AS gram, n FROM g",
     "ngram_contexts": f"WITH {GRAMS} SELECT k, hex(ctx) AS ctx, total, types FROM c",
     "lm_witten_bell_scores": _scores_sql("benchmark", 3),

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.derived import replace_all, write_report
+
+__all__ = ["cache_merge", "content_key", "count_lines", "delimited", "json_document", "jsonl", "jsonl_tolerant", "markdown_rows", "name_facts", "parquet", "pending", "replace_all", "replace_partition", "reports", "table", "text_lines", "upsert", "write_delimited", "write_jsonl", "write_report", "write_sorted_gzip", "write_text", "xml_pages"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,10 +69,15 @@ def markdown_rows(spark: SparkSession, path: str, cells: int = 5) -> DataFrame:
     return rows.where((F.size("cells") == cells) & F.col("cells")[0].rlike("^`.+`$"))
 
 
-def reports(spark: SparkSession, pattern: str, schema: T.StructType | str) -> DataFrame:
-    """One row per JSON document that matches a path pattern, with its path; unreadable ones are left out."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(pattern)
-    return df.withColumn("path", F.col("_metadata.file_path"))
+def reports(spark: SparkSession, pattern: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(one row per JSON document that matches a path pattern, with its path; counts by status): unreadable ones are counted, not lost."""
+    own = T.StructType(list(schema.fields)) if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    wide = T.StructType([*own.fields, T.StructField("_broken", T.StringType())])
+    raw = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    seen = raw.select("path", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._broken").isNotNull()
+    good = seen.where(~bad).select(*[F.col("r")[f.name].alias(f.name) for f in own], "path")
+    return good, seen.groupBy(F.when(bad, "broken").otherwise("loaded").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def name_facts(path: F.Column) -> list[F.Column]:
@@ -98,10 +107,6 @@ def write_sorted_gzip(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").json(path, compression="gzip")
 
 
-def replace_all(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def replace_partition(df: DataFrame, path: str, key: str) -> None:
     """Only the partitions that `df` holds are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
