@@ -142,8 +142,8 @@ n AS (SELECT key, count(*) FILTER (level = 'ngoko') AS ngoko, count(*) FILTER (l
 cl AS (SELECT *, CASE WHEN ngoko + madya + krama = 0 THEN NULL WHEN ngoko >= 2 AND madya + krama >= 2 AND least(ngoko, madya + krama) / (ngoko + madya + krama) >= 0.25 THEN 'campur' WHEN ngoko >= greatest(madya, krama) THEN 'ngoko' WHEN madya >= krama THEN 'madya' ELSE 'krama' END AS level, CASE WHEN ngoko + madya + krama >= 3 THEN 'cukup' ELSE 'rendah' END AS confidence FROM n)"""
 ORACLE_SQL = {
     "training_batches": """WITH p AS (SELECT doc_id, length(text) AS n FROM documents ORDER BY md5('7:' || doc_id), doc_id::VARCHAR LIMIT 2000), c AS (SELECT count(*) AS n, count(*) // 400 * 50 + (count(*) % 400 + 7) // 8 AS per FROM p),
-m AS (SELECT e, doc_id, p.n, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':rows:' || doc_id), doc_id::VARCHAR) - 1 AS at FROM p, c, unnest(range(0, (200 + per - 1) // per)) t(e)),
-g AS (SELECT *, at // 400 AS grp, row_number() OVER (PARTITION BY e, at // 400 ORDER BY n NULLS FIRST, at) - 1 AS i FROM m), b AS (SELECT e, doc_id, grp * 50 + i // 8 AS batch, (i % 8)::INT AS place FROM g),
+m AS (SELECT e, doc_id, p.n, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':rows:' || doc_id), doc_id::VARCHAR) - 1 AS pos FROM p, c, unnest(range(0, (200 + per - 1) // per)) t(e)),
+g AS (SELECT *, pos // 400 AS grp, row_number() OVER (PARTITION BY e, pos // 400 ORDER BY n NULLS FIRST, pos) - 1 AS i FROM m), b AS (SELECT e, doc_id, grp * 50 + i // 8 AS batch, (i % 8)::INT AS place FROM g),
 s AS (SELECT e, batch, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':batches:' || batch), batch) - 1 AS step FROM (SELECT DISTINCT e, batch FROM b))
 SELECT e::INT AS epoch, step + e * per AS step, place, doc_id FROM b JOIN s USING (e, batch), c WHERE step + e * per < 200""",
     "ngram_counts": f"WITH {GRAMS} SELECT k, hex(gram) AS gram, n FROM g",

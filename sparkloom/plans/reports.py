@@ -149,5 +149,6 @@ ORACLE_SQL = {
     "cumulative_configs": "SELECT i AS id, array_to_string((['blur', 'noise', 'shear', 'paper'])[1:i], '+') AS config FROM range(0, 5) t(i)",
     "last_validation": "SELECT user_id, arg_max(value, event_id) AS val FROM events WHERE event_type = 'click' GROUP BY 1",
     "stale_cards": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END AS run, (CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END) IS DISTINCT FROM '2' AS stale FROM nation",
+    "name_entries_whole": r"WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*')) AS word FROM documents), d AS (SELECT DISTINCT word FROM w), o AS (SELECT word FROM d WHERE regexp_full_match(word, '\p{Ll}[\p{L}\p{M}]*')) SELECT DISTINCT lower(word) AS name, lower(word) IN (SELECT word FROM o) AS ordinary FROM d WHERE regexp_full_match(word, '\p{Lu}[\p{L}\p{M}]*') AND regexp_matches(word, '[kvb]')",
     "name_entries": "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents WHERE lang = 'en') SELECT DISTINCT lower(word) AS name, lower(word) IN (SELECT word FROM w WHERE regexp_full_match(word, '[a-z]+')) AS ordinary FROM w WHERE regexp_full_match(word, '[A-Z][A-Za-z]*') AND regexp_matches(word, '[kvb]')",
 }
