@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import alignment as A
 from sparkloom.functions import line_scores as L
+from sparkloom.functions import spans as N
 from sparkloom.operators import comparison as O
+from sparkloom.operators import forms as R
 from sparkloom.plans.fixture import LINES_SQL, READINGS_SQL, WHOLE_LINES_SQL, _DISTANCE, _distance, whole_readings
+from sparkloom.sources.tables import table
 
 #: What stands for rare characters, the line opener and look-alikes in texts that are not in the script.
 RARE, OPENER, PAIRS = ["x", "q", "z", "j", "ß", "É"], "D", (("e", "c"), ("o", "f"))
@@ -54,10 +57,48 @@ def rare_run(spark: SparkSession, d: str) -> DataFrame:
     return O.rare_run(whole_readings(spark, d).select("ref", F.col("a").alias("hyp")), RARE, OPENER, PAIRS)
 
 
-QUERIES = {f.__name__: f for f in (compare_counts, compare_openers, compare_metrics, compare_codepoints, compare_lookalikes, plain_errors, rare_run)}
+#: What stands for the spelling forms: single letters, and n before ch or ct.
+RULES = {"single": {"é": "acute", "ç": "cedilla", "ü": "umlaut"}, "nasal": "n", "followers": ("ch", "ct")}
+
+
+def _lines(spark, d) -> DataFrame:
+    return whole_readings(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), F.col("source").alias("cluster"), "lang", "ref", "a", "b")
+
+
+def form_report(spark: SparkSession, d: str) -> DataFrame:
+    return R.run_report(_lines(spark, d), "ref", "a", **RULES)
+
+
+def form_table(spark: SparkSession, d: str) -> DataFrame:
+    return R.by_form(_lines(spark, d), "ref", "a", ("nya", "acute", "cedilla", "umlaut"), **RULES)
+
+
+def form_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """As form_table, what needs no alignment: occurrences in the lines and in the reading."""
+    return form_table(spark, d).select("form", "in_reference", "emitted")
+
+
+def form_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return R.compared(_lines(spark, d), **RULES)
+
+
+def inserted_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Letters e and b that a reading has and the line lacks, by language."""
+    return R.inserted_marks(_lines(spark, d), ["lang"], "ref", "a", ["e"], ["b"])
+
+
+def character_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """How often each accented Latin letter stands in the texts, absent ones included."""
+    return N.catalogue(table(spark, d, "documents"), "text", 0xC0, 0xFF).select("ch", "code", "n")
+
+
+QUERIES = {f.__name__: f for f in (form_report, form_table, form_occurrences, form_comparison, inserted_marks, character_catalogue, compare_counts, compare_openers, compare_metrics, compare_codepoints, compare_lookalikes, plain_errors, rare_run)}
 _READ = "WITH " + READINGS_SQL.replace(LINES_SQL, WHOLE_LINES_SQL)
 _EDITS = _DISTANCE.sub(lambda m: _distance(m[1], m[2]), "levenshtein(ref, a) AS x, levenshtein(ref, b) AS y")
 ORACLE_SQL = {
+    "character_catalogue": "WITH k AS (SELECT chr(c::INT) AS ch, 'U+' || lpad(upper(to_hex(c)), 4, '0') AS code FROM range(192, 256) t(c)), f AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM f GROUP BY ch) SELECT ch, code, coalesce(n, 0) AS n FROM k LEFT JOIN n USING (ch)",
+    "form_occurrences": _READ + """, f AS (SELECT * FROM (VALUES ('acute', 'é'), ('cedilla', 'ç'), ('umlaut', 'ü')) t(form, ch)), n AS (SELECT form, sum(length(ref) - length(replace(ref, ch, ''))) AS r, sum(length(a) - length(replace(a, ch, ''))) AS h FROM rd, f GROUP BY form
+UNION ALL SELECT 'nya', sum(len(regexp_extract_all(ref, 'nch|nct'))), sum(len(regexp_extract_all(a, 'nch|nct'))) FROM rd) SELECT form, r::BIGINT AS in_reference, h::BIGINT AS emitted FROM n""",
     "compare_counts": _READ + f""", e AS (SELECT *, {_EDITS}, regexp_matches(ref, '[{"".join(RARE)}]') AS rare FROM rd), c AS (SELECT source, count(*) AS n, sum(x) AS x, sum(y) AS y FROM e GROUP BY source),
 k AS (SELECT count(*) AS clusters, min(n) AS least_lines, median(n) AS median_lines, max(n) AS most_lines, count(*) FILTER (x < y) AS clusters_a_better, count(*) FILTER (x > y) AS clusters_b_better, count(*) FILTER (x = y) AS clusters_tie FROM c)
 SELECT count(*) AS lines, any_value(clusters) AS clusters, any_value(least_lines) AS least_lines, any_value(median_lines) AS median_lines, any_value(most_lines) AS most_lines, sum(length(ref))::BIGINT AS reference_chars, count(*) FILTER (NOT rare) AS lines_without_rare,
