@@ -2,7 +2,7 @@
 
 The three criteria are one integer per cell, so a batch of pairs is one dynamic programme over padded arrays: rows
 of all pairs advance together, and insertions along a row are a running minimum. Ties trace back from the end by
-diagonal, delete, insert. One pandas UDF gives all that later counters need.
+diagonal, delete, insert. One Arrow UDF gives all that later counters need.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,16 +28,14 @@ def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     sizes = np.array([len(t) for t in texts])
     codes = np.full((len(texts), max(1, sizes.max(initial=0))), fill, dtype=np.int64)
     for k, t in enumerate(texts):
-        codes[k, : len(t)] = [ord(c) for c in t]
+        codes[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     points, back = np.unique(codes, return_inverse=True)
     classes = np.array([char_class(chr(p)) if p >= 0 else -1 for p in points])[back].reshape(codes.shape)
     return codes, classes, sizes
 
 
-def align_batch(refs: list[str], hyps: list[str]) -> list[list[tuple]]:
-    """For each pair, its steps from the left: (tag, i, j, reference character, hypothesis character)."""
-    if not refs:
-        return []
+def _paths(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(moves, codes of the references, codes of the outputs) of some pairs: 0 from both, 1 from the reference alone, 2 from the output alone, 3 before the path begins."""
     a, ca, n = _codes(refs, -1)
     b, cb, m = _codes(hyps, -2)
     rows, cols = a.shape[1], b.shape[1]
@@ -63,8 +61,37 @@ def align_batch(refs: list[str], hyps: list[str]) -> list[list[tuple]]:
         walked.append(went)
         i -= went < 2
         j -= (went == 0) | (went == 2)
-    paths = np.stack(walked[::-1], axis=1) if walked else np.empty((len(refs), 0), dtype=np.uint8)
-    return [_steps(p[p < 3].tolist(), ref, hyp) for p, ref, hyp in zip(paths, refs, hyps, strict=True)]
+    return np.stack(walked[::-1], axis=1) if walked else np.empty((len(refs), 0), dtype=np.uint8), a, b
+
+
+def align_batch(refs: list[str], hyps: list[str]) -> list[list[tuple]]:
+    """For each pair, its steps from the left: (tag, i, j, reference character, hypothesis character)."""
+    if not refs:
+        return []
+    return [_steps(p[p < 3].tolist(), ref, hyp) for p, ref, hyp in zip(_paths(refs, hyps)[0], refs, hyps, strict=True)]
+
+
+TAGS = ("equal", "replace", "delete", "insert")
+
+
+def _steps_array(refs: list[str], hyps: list[str]) -> pa.Array:
+    """The same steps as an Arrow array of OPS, without a Python object per step."""
+    paths, a, b = _paths(refs, hyps)
+    live = paths < 3
+    n, go = live.sum(axis=1), paths[live]
+    row = np.repeat(np.arange(len(refs)), n)
+    starts = np.r_[0, np.cumsum(n)]
+    place = {}
+    for side, used in (("i", go < 2), ("j", go != 1)):
+        before = np.r_[0, np.cumsum(used)]
+        place[side] = before[:-1] - before[starts[row]]
+    r = np.where(go < 2, a[row, np.minimum(place["i"], a.shape[1] - 1)], -1)
+    h = np.where(go != 1, b[row, np.minimum(place["j"], b.shape[1] - 1)], -1)
+    tag = np.where(go == 0, (r != h).astype(int), go + 1)
+    points, at = np.unique(np.r_[r, h], return_inverse=True)
+    letters = pa.array([chr(p) if p >= 0 else None for p in points], pa.string())
+    columns = [pa.array(TAGS).take(pa.array(tag)), pa.array(place["i"].astype(np.int32), mask=go == 2), pa.array(place["j"].astype(np.int32), mask=go == 1), letters.take(pa.array(at[: len(r)])), letters.take(pa.array(at[len(r) :]))]
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.StructArray.from_arrays(columns, names=["tag", "i", "j", "r", "h"]))
 
 
 def _steps(moves: list[int], ref: str, hyp: str) -> list[tuple]:
@@ -80,12 +107,11 @@ def _steps(moves: list[int], ref: str, hyp: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(OPS)
-def _ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    refs, hyps = ref.fillna("").tolist(), hyp.fillna("").tolist()
+@F.arrow_udf(OPS)
+def _ops(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    refs, hyps = (["" if t is None else t for t in x.to_pylist()] for x in (ref, hyp))
     order = sorted(range(len(refs)), key=lambda k: (len(refs[k]), len(hyps[k])))
-    found: list = [None] * len(refs)
-    lo = 0
+    parts, lo = [], 0
     while lo < len(order):
         hi, wide = lo, 0
         while hi < len(order):
@@ -94,10 +120,13 @@ def _ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
                 break
             hi += 1
         own = order[lo:hi]
-        for k, steps in zip(own, align_batch([refs[k] for k in own], [hyps[k] for k in own]), strict=True):
-            found[k] = [{"tag": t, "i": i, "j": j, "r": r, "h": h} for t, i, j, r, h in steps]
+        parts.append(_steps_array([refs[k] for k in own], [hyps[k] for k in own]))
         lo = hi
-    return pd.Series(found)
+    if not parts:
+        return _steps_array([], [])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return pa.concat_arrays(parts).take(pa.array(back))
 
 
 def alignment(ref: Column, hyp: Column) -> Column:
