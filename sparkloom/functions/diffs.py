@@ -17,25 +17,39 @@ from sparkloom.functions.script import syllables
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("s", T.StringType())]))
 
 
-def segments(ref: str, hyp: str) -> list[dict]:
-    """The reading by syllable: ok, sub, ins, sp (a space the reference lacks); unread syllables as del where they miss.
+def segment_batch(refs: list[str], hyps: list[str]) -> list[list[dict]]:
+    """Each reading by syllable: ok, sub, ins, sp (a space the reference lacks); unread syllables as del where they miss.
 
-    Syllables align as symbols, spaces apart from them; all but del segments joined give the reading again.
+    Syllables align as symbols, spaces apart from them, all pairs in one batch; all but del segments joined give the reading again.
     """
-    own, read = syllables(ref), syllables(hyp)
-    names: dict[str, str] = {}
-    symbol = lambda s: names.setdefault(s, chr(0xF0000 + len(names)))
-    a, b = [s for s in own if s != " "], [s for s in read if s != " "]
+    own, read = [syllables(r) for r in refs], [syllables(h) for h in hyps]
+    bare = lambda parts: [s for s in parts if s != " "]
+    coded = []
+    for r, h in zip(own, read, strict=True):
+        names: dict[str, str] = {}
+        symbol = lambda s, names=names: names.setdefault(s, chr(0xF0000 + len(names)))
+        coded.append(("".join(map(symbol, bare(r))), "".join(map(symbol, bare(h)))))
+    steps = align_batch([r for r, _ in coded], [h for _, h in coded])
+    return [_assembled(r, h, s) for r, h, s in zip(own, read, steps, strict=True)]
+
+
+def segments(ref: str, hyp: str) -> list[dict]:
+    """segment_batch of one pair."""
+    return segment_batch([ref], [hyp])[0]
+
+
+def _assembled(own: list[str], read: list[str], steps: list[tuple]) -> list[dict]:
+    """The segments of one reading out of its syllables, those of the reference, and their alignment."""
+    a = [s for s in own if s != " "]
     after, count = set(), 0
     for s in own:
         after |= {count - 1} if s == " " else set()
         count += s != " "
-    steps = align_batch(["".join(map(symbol, a))], ["".join(map(symbol, b))])[0]
     state, beside, lost, at = {}, {}, {}, -1
     for tag, i, j, _, _ in steps:
         at = i if i is not None else at
         if j is None:
-            lost.setdefault(1 + max(state, default=-1), []).append(a[i])
+            lost.setdefault(len(state), []).append(a[i])
         else:
             state[j], beside[j] = {"equal": "ok", "replace": "sub", "insert": "ins"}[tag], at
     out, j = [], 0
@@ -46,12 +60,12 @@ def segments(ref: str, hyp: str) -> list[dict]:
             continue
         out += [*gone(j), {"t": s, "s": state[j]}]
         j += 1
-    return out + gone(len(b))
+    return out + gone(j)
 
 
 @F.pandas_udf(SEGMENTS)
 def syllable_diff(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([segments(r or "", h or "") for r, h in zip(ref, hyp, strict=True)])
+    return pd.Series(segment_batch([r or "" for r in ref], [h or "" for h in hyp]))
 
 
 def greedy_spans(frames: DataFrame, key: str, at: str, token: str) -> DataFrame:

@@ -10,7 +10,7 @@ from sparkloom.functions import line_scores as L
 from sparkloom.functions import spans as N
 from sparkloom.operators import comparison as O
 from sparkloom.operators import forms as R
-from sparkloom.plans.fixture import LINES_SQL, READINGS_SQL, WHOLE_LINES_SQL, _DISTANCE, _distance, whole_readings
+from sparkloom.plans.fixture import READINGS_SQL, by_characters, readings
 from sparkloom.sources.tables import table
 
 #: What stands for rare characters, the line opener and look-alikes in texts that are not in the script.
@@ -18,7 +18,7 @@ RARE, OPENER, PAIRS = ["x", "q", "z", "j", "ß", "É"], "D", (("e", "c"), ("o",
 
 
 def _scored(spark, d) -> DataFrame:
-    rows = whole_readings(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), F.col("source").alias("cluster"), "ref", "a", "b")
+    rows = readings(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), F.col("source").alias("cluster"), "ref", "a", "b")
     return O.scored(rows, RARE, {"rare": RARE}, OPENER, PAIRS)
 
 
@@ -49,12 +49,12 @@ def compare_lookalikes(spark: SparkSession, d: str) -> DataFrame:
 
 def plain_errors(spark: SparkSession, d: str) -> DataFrame:
     """Edits beside rare characters, by language."""
-    rows = whole_readings(spark, d).select("lang", L.plain_errors(A.alignment(F.col("ref"), F.col("a")), RARE).alias("n"))
+    rows = readings(spark, d).select("lang", L.plain_errors(A.alignment(F.col("ref"), F.col("a")), RARE).alias("n"))
     return rows.groupBy("lang").agg(F.sum("n").alias("plain_edits"), F.count_if(F.col("n") > 0).alias("lines"))
 
 
 def rare_run(spark: SparkSession, d: str) -> DataFrame:
-    return O.rare_run(whole_readings(spark, d).select("ref", F.col("a").alias("hyp")), RARE, OPENER, PAIRS)
+    return O.rare_run(readings(spark, d).select("ref", F.col("a").alias("hyp")), RARE, OPENER, PAIRS)
 
 
 #: What stands for the spelling forms: single letters, and n before ch or ct.
@@ -62,7 +62,7 @@ RULES = {"single": {"é": "acute", "ç": "cedilla", "ü": "umlaut"}, "nasal": "n
 
 
 def _lines(spark, d) -> DataFrame:
-    return whole_readings(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), F.col("source").alias("cluster"), "lang", "ref", "a", "b")
+    return readings(spark, d).select(F.concat_ws("-", "page", "line_no").alias("id"), F.col("source").alias("cluster"), "lang", "ref", "a", "b")
 
 
 def form_report(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +93,8 @@ def character_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (form_report, form_table, form_occurrences, form_comparison, inserted_marks, character_catalogue, compare_counts, compare_openers, compare_metrics, compare_codepoints, compare_lookalikes, plain_errors, rare_run)}
-_READ = "WITH " + READINGS_SQL.replace(LINES_SQL, WHOLE_LINES_SQL)
-_EDITS = _DISTANCE.sub(lambda m: _distance(m[1], m[2]), "levenshtein(ref, a) AS x, levenshtein(ref, b) AS y")
+_READ = "WITH " + READINGS_SQL
+_EDITS = by_characters("levenshtein(ref, a) AS x, levenshtein(ref, b) AS y")
 ORACLE_SQL = {
     "character_catalogue": "WITH k AS (SELECT chr(c::INT) AS ch, 'U+' || lpad(upper(to_hex(c)), 4, '0') AS code FROM range(192, 256) t(c)), f AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM f GROUP BY ch) SELECT ch, code, coalesce(n, 0) AS n FROM k LEFT JOIN n USING (ch)",
     "form_occurrences": _READ + """, f AS (SELECT * FROM (VALUES ('acute', 'é'), ('cedilla', 'ç'), ('umlaut', 'ü')) t(form, ch)), n AS (SELECT form, sum(length(ref) - length(replace(ref, ch, ''))) AS r, sum(length(a) - length(replace(a, ch, ''))) AS h FROM rd, f GROUP BY form

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators import corpus as O
-from sparkloom.plans.fixture import LINES_SQL, WHOLE_LINES_SQL, lines, whole_lines
+from sparkloom.plans.fixture import LINES_SQL, lines
 from sparkloom.sources.tables import table
 
 
@@ -29,21 +29,17 @@ def corpus_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.md5_mod100(F.col("doc_id").cast("string")).alias("bucket"), X.split_of(F.col("doc_id")).alias("split"))
 
 
-def corpus_dedup_first(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
-    seen = O.dedup_first(rows_of(spark, d), "ref", ["page", "line_no"])
+def corpus_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    seen = O.dedup_first(lines(spark, d), "ref", ["page", "line_no"])
     return seen.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.count_if("first").alias("kept"), F.count_if(~F.col("first")).alias("duplicates"))
 
 
-def corpus_split_leakage(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
-    return O.leakage(rows_of(spark, d).select("ref", X.split_of(F.col("page")).alias("split")), "split", "ref")
+def corpus_split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    return O.leakage(lines(spark, d).select("ref", X.split_of(F.col("page")).alias("split")), "split", "ref")
 
 
 def corpus_length_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return O.histogram_shares(O.length_histogram(lines(spark, d), "ref"))
-
-
-def corpus_length_histogram_whole(spark: SparkSession, d: str) -> DataFrame:
-    return O.histogram_shares(O.length_histogram(whole_lines(spark, d), "ref", 0))
+    return O.histogram_shares(O.length_histogram(lines(spark, d), "ref", 0))
 
 
 def corpus_char_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -54,16 +50,16 @@ def _vocab(spark, d):
     return table(spark, d, "benchmark").select(F.explode(F.array_distinct(F.split("text", "", -1))).alias("ch")).where("ch <> ''").distinct()
 
 
-def corpus_rare_chars(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
-    return O.rare_chars(rows_of(spark, d), "ref", _vocab(spark, d), 0.01)
+def corpus_rare_chars(spark: SparkSession, d: str) -> DataFrame:
+    return O.rare_chars(lines(spark, d), "ref", _vocab(spark, d), 0.01)
 
 
-def corpus_deficits(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
-    return O.deficits(rows_of(spark, d), "ref", _vocab(spark, d), 100)
+def corpus_deficits(spark: SparkSession, d: str) -> DataFrame:
+    return O.deficits(lines(spark, d), "ref", _vocab(spark, d), 100)
 
 
-def corpus_inject(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
-    rows = rows_of(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
+def corpus_inject(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
     return O.inject(rows, "ref", "key", _vocab(spark, d), 20)
 
 
@@ -71,8 +67,8 @@ def corpus_chunk_lines(spark: SparkSession, d: str) -> DataFrame:
     return O.chunk_lines(O.paragraphs(_docs(spark, d)))
 
 
-def corpus_funnel(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
-    seen = O.dedup_first(rows_of(spark, d), "ref", ["page", "line_no"])
+def corpus_funnel(spark: SparkSession, d: str) -> DataFrame:
+    seen = O.dedup_first(lines(spark, d), "ref", ["page", "line_no"])
     return O.funnel(O.paragraphs(_docs(spark, d)), seen)
 
 
@@ -91,9 +87,9 @@ def syllable_counts(spark: SparkSession, d: str) -> DataFrame:
     return units.groupBy("lang").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("u").alias("kinds"))
 
 
-def round_trip_rates(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
+def round_trip_rates(spark: SparkSession, d: str) -> DataFrame:
     back = F.replace(F.lower("ref"), F.lit("ha"), F.lit("a"))
-    r = rows_of(spark, d).select("lang", X.roundtrip_cer(F.col("ref"), back).alias("cer"))
+    r = lines(spark, d).select("lang", X.roundtrip_cer(F.col("ref"), back).alias("cer"))
     return r.groupBy("lang").agg(F.count_if(F.col("cer") <= 0.05).alias("passed"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -105,7 +101,7 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_clean_words, corpus_paragraph_filter, corpus_hash_split, corpus_dedup_first, corpus_split_leakage, corpus_length_histogram, corpus_length_histogram_whole, corpus_char_distribution, corpus_rare_chars, corpus_deficits, corpus_inject, corpus_chunk_lines, corpus_funnel, group_split_greedy, ordered_sample, syllable_counts, round_trip_rates, html_to_text, sentence_counts)}
+QUERIES = {f.__name__: f for f in (corpus_clean_words, corpus_paragraph_filter, corpus_hash_split, corpus_dedup_first, corpus_split_leakage, corpus_length_histogram, corpus_char_distribution, corpus_rare_chars, corpus_deficits, corpus_inject, corpus_chunk_lines, corpus_funnel, group_split_greedy, ordered_sample, syllable_counts, round_trip_rates, html_to_text, sentence_counts)}
 L = "WITH " + LINES_SQL
 CLEAN = r"""list_transform(list_filter(string_split_regex(translate(text, 'åÅêÊôÔèÈ-–—/;!?"''“”‘’«»', 'aAeEoOéÉ    ,..'), '[\s\x0B\x1C-\x1F\x{85}\x{2028}\x{2029}\p{Zs}]+'), lambda w: w <> ''), lambda w: CASE WHEN regexp_full_match(w, '[(]*[A-Z]{2,}[,.:)]*') THEN NULL WHEN regexp_full_match(lower(w), '[(]*[a-zé0-9]+[,.:)]*') THEN lower(w) END)"""
 MOD = "((((('0x' || substr(md5(k), 1, 16))::UBIGINT % 100) * 16 + ('0x' || substr(md5(k), 17, 16))::UBIGINT % 100) % 100))::INT"
@@ -119,7 +115,7 @@ ORACLE_SQL = {
     "corpus_hash_split": f"SELECT doc_id, b AS bucket, {SPLIT} AS split FROM (SELECT doc_id, {MOD} AS b FROM (SELECT doc_id, doc_id::VARCHAR AS k FROM documents))",
     "corpus_dedup_first": L + f", {FIRST} SELECT lang, count(*) AS lines, count(*) FILTER (first) AS kept, count(*) FILTER (NOT first) AS duplicates FROM seen GROUP BY lang",
     "corpus_split_leakage": L + f", s AS (SELECT ref, {SPLIT} AS split FROM (SELECT ref, {MOD} AS b FROM (SELECT ref, page::VARCHAR AS k FROM lines))) SELECT ((SELECT count(*) FROM (SELECT ref FROM s WHERE split = 'train' INTERSECT SELECT ref FROM s WHERE split = 'val')) + (SELECT count(*) FROM (SELECT ref FROM s WHERE split = 'train' INTERSECT SELECT ref FROM s WHERE split = 'test')) + (SELECT count(*) FROM (SELECT ref FROM s WHERE split = 'val' INTERSECT SELECT ref FROM s WHERE split = 'test')))::BIGINT AS leaked",
-    "corpus_length_histogram": L + ", h AS (SELECT b AS bucket, count(ref) AS lines FROM range(20, 80, 10) t(b) LEFT JOIN lines ON least(length(ref), 79) // 10 * 10 = b GROUP BY b) SELECT bucket, lines, round(lines / nullif(sum(lines) OVER (), 0)::DOUBLE, 9) AS share, round(lines * 100.0::DOUBLE / nullif(max(lines) OVER (), 0), 2) AS width FROM h",
+    "corpus_length_histogram": L + ", h AS (SELECT b AS bucket, count(ref) AS lines FROM range(0, 80, 10) t(b) LEFT JOIN lines ON least(length(ref), 79) // 10 * 10 = b GROUP BY b) SELECT bucket, lines, round(lines / nullif(sum(lines) OVER (), 0)::DOUBLE, 9) AS share, round(lines * 100.0::DOUBLE / nullif(max(lines) OVER (), 0), 2) AS width FROM h",
     "corpus_char_distribution": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch",
     "corpus_rare_chars": L + f", {VOCAB}, f AS (SELECT ch, count(*) AS df FROM (SELECT unnest(list_distinct(string_split(ref, ''))) AS ch FROM lines) GROUP BY ch) SELECT ch, coalesce(df, 0) AS df FROM vocab LEFT JOIN f USING (ch) WHERE ch <> '' AND coalesce(df, 0) < (SELECT greatest(1, count(*)) FROM lines) * 0.01",
     "corpus_deficits": L + f", {VOCAB}, f AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(ref, '')) AS ch FROM lines) GROUP BY ch) SELECT ch, coalesce(n, 0) AS n, 100 - coalesce(n, 0) AS missing FROM vocab LEFT JOIN f USING (ch) WHERE ch <> '' AND coalesce(n, 0) < 100",
@@ -132,4 +128,3 @@ SELECT source, n, CASE WHEN test THEN 'test' WHEN val THEN 'val' ELSE 'train' EN
     "round_trip_rates": "",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
-ORACLE_SQL["corpus_length_histogram_whole"] = ORACLE_SQL["corpus_length_histogram"].replace(LINES_SQL, WHOLE_LINES_SQL).replace("range(20, 80, 10)", "range(0, 80, 10)")

@@ -1,16 +1,12 @@
 """Evaluation lines out of the documents table and two corrupted readings of each.
 
-lines() keeps raw ASCII lines of 20 to 80 characters, a small part of the texts. whole_lines() has all the text; queries named ..._whole run
-on it, and their SQL follows from that of the part: the same wrapping, and edit distances of texts whose characters are renumbered, as
+The lines hold every text whole, wrapped at spaces. In SQL, edit distances are taken after the characters of a pair are renumbered, as
 DuckDB's distance counts bytes.
 """
 
 from __future__ import annotations
 
-import inspect
 import re
-from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +15,7 @@ from sparkloom.sources.tables import table
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """(page, line_no, lang, source, ref)."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "ref"))
-    return docs.where(F.length("ref").between(20, 80) & F.col("ref").rlike("^[ -~]*$")).withColumn("line_no", F.col("line_no").cast("long"))
-
-
-def whole_lines(spark: SparkSession, d: str) -> DataFrame:
-    """As lines(), but of every line of every text: longer ones are wrapped at spaces to 80 characters at most.
+    """(page, line_no, lang, source, ref) of every line of every text: longer ones are wrapped at spaces to 80 characters at most.
 
     A run of more than 80 characters without a space is cut at 80. Nothing goes but the space at a wrap; empty lines hold nothing.
     """
@@ -34,7 +24,7 @@ def whole_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.where("ref <> ''").withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def readings(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
+def readings(spark: SparkSession, d: str) -> DataFrame:
     """lines() and the readings a and b: some rows substituted, some with inserted, some with deleted characters."""
     h = F.md5(F.concat_ws(":", "page", "line_no"))
     x, y = F.substring(h, 1, 1), F.substring(h, 2, 1)
@@ -42,29 +32,12 @@ def readings(spark: SparkSession, d: str, rows_of=lines) -> DataFrame:
     put = lambda find, new: F.replace(ref, F.lit(find), F.lit(new))
     a = F.when(x < "8", F.translate(ref, "aeiou", "bcdfg")).when(x < "c", put("e", "ee")).otherwise(ref)
     b = F.when(y < "6", put("th", "")).when(y < "a", put(" ", "")).otherwise(ref)
-    return rows_of(spark, d).withColumn("a", a).withColumn("b", b)
-
-
-def whole_readings(spark: SparkSession, d: str) -> DataFrame:
-    return readings(spark, d, whole_lines)
+    return lines(spark, d).withColumn("a", a).withColumn("b", b)
 
 
-def whole_variants(queries: dict[str, Callable]) -> dict[str, Callable]:
-    """Each query with `rows_of`, as <name>_whole on whole texts, with 10,000 resamples if it has `reps`."""
-    other = {lines: whole_lines, readings: whole_readings}
-    rows = {name: p.default for name, f in queries.items() if (p := inspect.signature(f).parameters.get("rows_of"))}
-    more = {name: {"reps": 10_000} if "reps" in inspect.signature(queries[name]).parameters else {} for name in rows}
-    return {f"{name}_whole": partial(queries[name], rows_of=other[r], **more[name]) for name, r in rows.items()}
-
-
-def whole_sql(sql: dict[str, str], queries: dict[str, Callable]) -> dict[str, str]:
-    """The SQL of the ..._whole queries that have one on the part."""
-    out = {}
-    for name, q in sql.items():
-        if f"{name}_whole" in queries and f"{name}_whole" not in sql and LINES_SQL in q:
-            q = _DISTANCE.sub(lambda m: _distance(m[1], m[2]), q.replace(LINES_SQL, WHOLE_LINES_SQL))
-            out[f"{name}_whole"] = q.replace("range(1, 201)", "range(1, 10001)")
-    return out
+def by_characters(sql: str) -> str:
+    """SQL with every edit distance of two texts taken by characters instead of bytes."""
+    return _DISTANCE.sub(lambda m: _distance(m[1], m[2]), sql)
 
 
 _DISTANCE = re.compile(r"levenshtein\((\w+), (\w+|replace\(\w+, ' ', ''\))\)")
@@ -78,16 +51,11 @@ def _distance(x: str, y: str) -> str:
 
 
 WRAP = r"(?s)(.{1,80})(?: |\z)|(.{1,80})"
-WHOLE_LINES_SQL = rf"""lines AS (
+LINES_SQL = rf"""lines AS (
   SELECT page, lang, source, (i - 1)::BIGINT AS line_no, ls[i] AS ref
   FROM (SELECT doc_id AS page, lang, source, flatten(list_transform(string_split(text, chr(10)), lambda s: list_transform(list_zip(regexp_extract_all(s, '{WRAP}', 1), regexp_extract_all(s, '{WRAP}', 2)), lambda p: coalesce(p[1], '') || coalesce(p[2], '')))) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)
   WHERE ls[i] <> ''
 )"""
-LINES_SQL = r"""lines AS (
-  SELECT doc_id AS page, lang, source, (i - 1)::BIGINT AS line_no, ls[i] AS ref
-  FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)
-  WHERE length(ls[i]) BETWEEN 20 AND 80 AND regexp_full_match(ls[i], '[ -~]*')
-)"""
 READINGS_SQL = (
     LINES_SQL
     + r""", keyed AS (SELECT *, md5(concat_ws(':', page, line_no)) AS h FROM lines), rd AS (

@@ -10,7 +10,7 @@ from sparkloom.operators import language_model as L
 from sparkloom.operators import lexicon as O
 from sparkloom.operators import schedule as T
 from sparkloom.operators import speech as S
-from sparkloom.plans.fixture import whole_lines
+from sparkloom.plans.fixture import lines
 from sparkloom.sources.tables import table
 
 # marker words for the synthetic conversations: (word, level)
@@ -18,37 +18,23 @@ MARKERS = (("the", "ngoko"), ("of", "ngoko"), ("and", "madya"), ("to", "krama"),
 MARKERS_SQL = "markers AS (SELECT * FROM (VALUES ('the', 'ngoko'), ('of', 'ngoko'), ('and', 'madya'), ('to', 'krama'), ('in', 'krama')) t(word, level))"
 
 
-def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    return L.grams(table(spark, d, "benchmark"), "text", 3).select("k", F.hex("gram").alias("gram"), "n")
-
-
-def ngram_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return L.contexts(L.grams(table(spark, d, "benchmark"), "text", 3)).select("k", F.hex("ctx").alias("ctx"), "total", "types")
-
-
 def _vocab_size(rows) -> int:
     return rows.select(F.explode(F.split("text", "", -1)).alias("c")).where("c <> ''").agg(F.count_distinct("c").alias("n")).first()["n"]
 
 
-def lm_witten_bell_scores(spark: SparkSession, d: str) -> DataFrame:
-    train = table(spark, d, "benchmark")
-    texts = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
-    return L.score(texts, "key", "text", L.grams(train, "text", 3), 3, _vocab_size(train)).select("key", "chars", F.round("logp", 6).alias("logp"))
-
-
-# the whole job: all documents, at the reference's default order
+# default order of the language model
 ORDER = 5
 
 
-def ngram_counts_whole(spark: SparkSession, d: str) -> DataFrame:
+def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     return L.grams(table(spark, d, "documents"), "text", ORDER).select("k", F.hex("gram").alias("gram"), "n")
 
 
-def ngram_contexts_whole(spark: SparkSession, d: str) -> DataFrame:
+def ngram_contexts(spark: SparkSession, d: str) -> DataFrame:
     return L.contexts(L.grams(table(spark, d, "documents"), "text", ORDER)).select("k", F.hex("ctx").alias("ctx"), "total", "types")
 
 
-def lm_witten_bell_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+def lm_witten_bell_scores(spark: SparkSession, d: str) -> DataFrame:
     train = table(spark, d, "documents")
     texts = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
     return L.score(texts, "key", "text", L.grams(train, "text", ORDER), ORDER, _vocab_size(train)).select("key", "chars", F.round("logp", 6).alias("logp"))
@@ -98,7 +84,7 @@ def speech_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def rare_text(spark: SparkSession, d: str) -> DataFrame:
     """Every line of every text with rare letters and signs put in by share: how many changed, by language, and by how many characters."""
-    rows = whole_lines(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
+    rows = lines(spark, d).withColumn("key", F.concat_ws("-", "page", "line_no"))
     out = A.with_rare_text(rows, "key", "ref", ["ß", "÷", "¶"], ["e", "a", "o"], 0.2, 0.1, attach=True)
     return out.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("changed") != F.col("ref")).alias("changed"), F.sum(F.length("changed") - F.length("ref")).alias("longer"))
 
@@ -109,7 +95,7 @@ def training_batches(spark: SparkSession, d: str) -> DataFrame:
     return T.schedule(docs, "doc_id", "length", 2000, 8, 200, 7).select("epoch", F.col("step").cast("long").alias("step"), "place", F.col("key").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (speech_levels, rare_text, training_batches, ngram_counts, ngram_contexts, lm_witten_bell_scores, ngram_counts_whole, ngram_contexts_whole, lm_witten_bell_scores_whole, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
+QUERIES = {f.__name__: f for f in (speech_levels, rare_text, training_batches, ngram_counts, ngram_contexts, lm_witten_bell_scores, lexicon_argmax_share, lexicon_holdout_accuracy, restore_marks, marker_classify, marker_eval, dictionary_merge, inherit_unique_value)}
 
 
 def _grams_sql(source: str, order: int) -> str:
@@ -133,7 +119,6 @@ p AS (SELECT conv_id || '-' || turn AS key, substr(s, e - {order - 1}, {order})
 SELECT key, count(*) AS chars, round(sum(ln(p{order}.p)), 6) AS logp FROM p JOIN p{order} USING (f) GROUP BY key"""
 
 
-GRAMS = _grams_sql("benchmark", 3)
 PLAIN = "translate(word, 'éèêáàíóúñç', 'eeeaaiounc')"
 TOKENS = r"tk AS (SELECT doc_id AS key, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)"
 LEX = "n AS (SELECT {p} AS plain, word AS form, count(*) AS n FROM {t} GROUP BY ALL), lex AS (SELECT * FROM (SELECT plain, form, n, sum(n) OVER (PARTITION BY plain) AS total, row_number() OVER (PARTITION BY plain ORDER BY n DESC, form) AS r FROM n) WHERE r = 1 AND form <> plain AND n >= 2 AND n / total >= 0.6)"
@@ -146,12 +131,9 @@ m AS (SELECT e, doc_id, p.n, row_number() OVER (PARTITION BY e ORDER BY md5((7 +
 g AS (SELECT *, pos // 400 AS grp, row_number() OVER (PARTITION BY e, pos // 400 ORDER BY n NULLS FIRST, pos) - 1 AS i FROM m), b AS (SELECT e, doc_id, grp * 50 + i // 8 AS batch, (i % 8)::INT AS place FROM g),
 s AS (SELECT e, batch, row_number() OVER (PARTITION BY e ORDER BY md5((7 + e) || ':batches:' || batch), batch) - 1 AS step FROM (SELECT DISTINCT e, batch FROM b))
 SELECT e::INT AS epoch, step + e * per AS step, place, doc_id FROM b JOIN s USING (e, batch), c WHERE step + e * per < 200""",
-    "ngram_counts": f"WITH {GRAMS} SELECT k, hex(gram) AS gram, n FROM g",
-    "ngram_contexts": f"WITH {GRAMS} SELECT k, hex(ctx) AS ctx, total, types FROM c",
-    "lm_witten_bell_scores": _scores_sql("benchmark", 3),
-    "ngram_counts_whole": f"WITH {_grams_sql('documents', ORDER)} SELECT k, hex(gram) AS gram, n FROM g",
-    "ngram_contexts_whole": f"WITH {_grams_sql('documents', ORDER)} SELECT k, hex(ctx) AS ctx, total, types FROM c",
-    "lm_witten_bell_scores_whole": _scores_sql("documents", ORDER),
+    "ngram_counts": f"WITH {_grams_sql('documents', ORDER)} SELECT k, hex(gram) AS gram, n FROM g",
+    "ngram_contexts": f"WITH {_grams_sql('documents', ORDER)} SELECT k, hex(ctx) AS ctx, total, types FROM c",
+    "lm_witten_bell_scores": _scores_sql("documents", ORDER),
     "lexicon_argmax_share": f"WITH {TOKENS}, {LEX.format(p=PLAIN, t='tk')} SELECT plain, form, n FROM lex",
     "lexicon_holdout_accuracy": f"WITH {TOKENS}, tr AS (SELECT * FROM tk WHERE key % 5 <> 0), {LEX.format(p=PLAIN, t='tr')}, te AS (SELECT word, {PLAIN} AS plain FROM tk WHERE key % 5 = 0) SELECT count(*) AS tokens, round(avg((word = coalesce(form, plain))::INT), 9) AS with_lexicon, round(avg((word = plain)::INT), 9) AS untouched FROM te LEFT JOIN lex USING (plain)",
     "marker_classify": f"WITH src AS (SELECT conv_id || '-' || turn AS key, text FROM conversations), {CLASSIFY} SELECT key, ngoko, madya, krama, level, confidence FROM cl",

@@ -9,28 +9,24 @@ from sparkloom.functions import alignment as A
 from sparkloom.functions import metrics as M
 from sparkloom.operators import lineage as G
 from sparkloom.operators import reports as O
-from sparkloom.plans.fixture import READINGS_SQL, readings, whole_readings
+from sparkloom.plans.fixture import READINGS_SQL, readings
 from sparkloom.sources.tables import table
 
 
-def label_violations(spark: SparkSession, d: str, text: str = "substring(text, 1, 60)") -> DataFrame:
-    """Problems of the first 60 characters of each text, as in the SQL; label_violations_whole checks all of them."""
-    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 50 == 0, "").otherwise((F.col("doc_id") / 3).cast("int").cast("string")).alias("key"), F.when(F.col("doc_id") % 40 == 1, "").otherwise(F.expr(text)).alias("text"))
+def label_violations(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys and whole texts have each problem."""
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 50 == 0, "").otherwise((F.col("doc_id") / 3).cast("int").cast("string")).alias("key"), F.when(F.col("doc_id") % 40 == 1, "").otherwise(F.col("text")).alias("text"))
     return O.label_violations(rows, "key", "text", "ꦀ-꧟ -~\\n").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-def label_violations_whole(spark: SparkSession, d: str) -> DataFrame:
-    return label_violations(spark, d, "text")
-
-
 def slant_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select((F.col("l_discount") * 4).alias("v"), "l_quantity")
     return O.in_ranges(rows, "v", list(O.SLANTS)).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
 
 
-def line_tags(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
+def line_tags(spark: SparkSession, d: str) -> DataFrame:
     t = O.tags(short=F.length("ref") < 40, comma=F.col("ref").contains(","), exact=F.col("ref") == F.col("a"))
-    return rows_of(spark, d).select(F.array_join(t, "+").alias("tags")).groupBy("tags").agg(F.count(F.lit(1)).alias("n"))
+    return readings(spark, d).select(F.array_join(t, "+").alias("tags")).groupBy("tags").agg(F.count(F.lit(1)).alias("n"))
 
 
 def matrix_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -59,18 +55,13 @@ def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def homoglyph_table(spark: SparkSession, d: str) -> DataFrame:
-    steps = readings(spark, d).where("a = translate(ref, 'aeiou', 'bcdfg')").select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
-    return O.homoglyphs(steps, [("a", "b"), ("e", "c"), ("x", "y")])
-
-
-def homoglyph_table_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As homoglyph_table, of all readings of whole texts, those with inserted characters too."""
-    steps = whole_readings(spark, d).select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
+    """Look-alike substitutions of all readings, those with inserted characters too."""
+    steps = readings(spark, d).select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
     return O.homoglyphs(steps, [("a", "b"), ("e", "c"), ("x", "y")])
 
 
-def subpopulation_rates(spark: SparkSession, d: str, rows_of=readings) -> DataFrame:
-    rows = rows_of(spark, d).select("lang", "ref", M.edits("ref", "a").alias("e"), F.length("ref").alias("n"))
+def subpopulation_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = readings(spark, d).select("lang", "ref", M.edits("ref", "a").alias("e"), F.length("ref").alias("n"))
     return O.subpopulation(rows, "lang", F.col("ref").contains(","), "e", "n")
 
 
@@ -111,12 +102,7 @@ def stale_cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_entries(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("at", "word"))
-    return O.name_entries(words.withColumn("spelling", F.reverse("word")), "word", "spelling", "[kvb]", "doc_id").select("name", "ordinary")
-
-
-def name_entries_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As name_entries, of all languages and all letters."""
+    """Capitalised words of all languages and all letters, and whether they also stand in lower case."""
     words = table(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))).alias("at", "word"))
     return O.name_entries(words.withColumn("spelling", F.reverse("word")), "word", "spelling", "[kvb]", "doc_id").select("name", "ordinary")
 
@@ -126,14 +112,13 @@ def wiki_text(spark: SparkSession, d: str) -> DataFrame:
     return O.wiki_senses(table(spark, d, "region").select("r_name", body.alias("src")), "r_name", "src")
 
 
-QUERIES = {f.__name__: f for f in (label_violations, label_violations_whole, slant_groups, line_tags, matrix_violations, review_import, pending_conditions, nearest_valid, homoglyph_table, homoglyph_table_whole, subpopulation_rates, best_setting, run_usage, warm_mean, estimate_full, cumulative_configs, last_validation, stale_cards, name_entries, name_entries_whole, wiki_text)}
+QUERIES = {f.__name__: f for f in (label_violations, slant_groups, line_tags, matrix_violations, review_import, pending_conditions, nearest_valid, homoglyph_table, subpopulation_rates, best_setting, run_usage, warm_mean, estimate_full, cumulative_configs, last_validation, stale_cards, name_entries, wiki_text)}
 RD = "WITH " + READINGS_SQL
 SEGMENTS_SQL = """log AS (SELECT event_id, user_id, ts, trunc(value * 10)::BIGINT AS step, event_type = 'view' AS start FROM events), s AS (SELECT *, count(*) FILTER (start) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM log),
 e AS (SELECT user_id, segment, min(step) FILTER (start) AS first, max(step) AS last FROM s WHERE segment > 0 GROUP BY ALL),
 l AS (SELECT user_id, first, least(last, 400, coalesce(min(first) OVER (PARTITION BY user_id ORDER BY segment ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 9223372036854775807)) AS last FROM e)"""
 ORACLE_SQL = {
-    "label_violations": "WITH r AS (SELECT CASE WHEN doc_id % 50 = 0 THEN '' ELSE (doc_id // 3)::VARCHAR END AS k, CASE WHEN doc_id % 40 = 1 THEN '' ELSE substr(text, 1, 60) END AS t FROM documents), p AS (SELECT 'blank key' AS problem FROM r WHERE k = '' UNION ALL SELECT 'repeated key' FROM r WHERE k <> '' AND k IN (SELECT k FROM r GROUP BY k HAVING count(*) > 1) UNION ALL SELECT 'empty text' FROM r WHERE t = '' UNION ALL SELECT 'unknown characters' FROM r WHERE regexp_matches(t, '[^\\x{A980}-\\x{A9DF} -~\\n]')) SELECT problem, count(*) AS n FROM p GROUP BY 1",
-    "label_violations_whole": "WITH r AS (SELECT CASE WHEN doc_id % 50 = 0 THEN '' ELSE (doc_id // 3)::VARCHAR END AS k, CASE WHEN doc_id % 40 = 1 THEN '' ELSE text END AS t FROM documents), p AS (SELECT 'blank key' AS problem FROM r WHERE k = '' UNION ALL SELECT 'repeated key' FROM r WHERE k <> '' AND k IN (SELECT k FROM r GROUP BY k HAVING count(*) > 1) UNION ALL SELECT 'empty text' FROM r WHERE coalesce(t, '') = '' UNION ALL SELECT 'unknown characters' FROM r WHERE regexp_matches(t, '[^\\x{A980}-\\x{A9DF} -~\\n]')) SELECT problem, count(*) AS n FROM p GROUP BY 1",
+    "label_violations": "WITH r AS (SELECT CASE WHEN doc_id % 50 = 0 THEN '' ELSE (doc_id // 3)::VARCHAR END AS k, CASE WHEN doc_id % 40 = 1 THEN '' ELSE text END AS t FROM documents), p AS (SELECT 'blank key' AS problem FROM r WHERE k = '' UNION ALL SELECT 'repeated key' FROM r WHERE k <> '' AND k IN (SELECT k FROM r GROUP BY k HAVING count(*) > 1) UNION ALL SELECT 'empty text' FROM r WHERE coalesce(t, '') = '' UNION ALL SELECT 'unknown characters' FROM r WHERE regexp_matches(t, '[^\\x{A980}-\\x{A9DF} -~\\n]')) SELECT problem, count(*) AS n FROM p GROUP BY 1",
     "slant_groups": "SELECT CASE WHEN l_discount * 4 < 0.1 THEN 'upright' WHEN l_discount * 4 < 0.3 THEN 'slanted' ELSE 'steep' END AS grp, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1",
     "line_tags": RD + " SELECT array_to_string(list_filter([CASE WHEN length(ref) < 40 THEN 'short' END, CASE WHEN contains(ref, ',') THEN 'comma' END, CASE WHEN ref = a THEN 'exact' END], lambda x: x IS NOT NULL), '+') AS tags, count(*) AS n FROM rd GROUP BY 1",
     "matrix_violations": "WITH p AS (SELECT p_brand, p_size, p_size / 40 AS v, p_size / 50 AS lo, CASE WHEN p_partkey % 4 = 0 THEN 0.1 ELSE 2.0 END AS hi, count(*) OVER (PARTITION BY p_brand, p_size) AS c FROM part), q AS (SELECT 'repeated' AS problem FROM p WHERE c > 1 UNION ALL SELECT 'out of range' FROM p WHERE v NOT BETWEEN 0 AND 1 UNION ALL SELECT 'interval' FROM p WHERE lo > hi OR v NOT BETWEEN lo AND hi UNION ALL SELECT 'unknown' FROM p WHERE p_brand = 'Brand#7') SELECT problem, count(*) AS n FROM q GROUP BY 1",
@@ -149,6 +134,5 @@ ORACLE_SQL = {
     "cumulative_configs": "SELECT i AS id, array_to_string((['blur', 'noise', 'shear', 'paper'])[1:i], '+') AS config FROM range(0, 5) t(i)",
     "last_validation": "SELECT user_id, arg_max(value, event_id) AS val FROM events WHERE event_type = 'click' GROUP BY 1",
     "stale_cards": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END AS run, (CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END) IS DISTINCT FROM '2' AS stale FROM nation",
-    "name_entries_whole": r"WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*')) AS word FROM documents), d AS (SELECT DISTINCT word FROM w), o AS (SELECT word FROM d WHERE regexp_full_match(word, '\p{Ll}[\p{L}\p{M}]*')) SELECT DISTINCT lower(word) AS name, lower(word) IN (SELECT word FROM o) AS ordinary FROM d WHERE regexp_full_match(word, '\p{Lu}[\p{L}\p{M}]*') AND regexp_matches(word, '[kvb]')",
-    "name_entries": "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents WHERE lang = 'en') SELECT DISTINCT lower(word) AS name, lower(word) IN (SELECT word FROM w WHERE regexp_full_match(word, '[a-z]+')) AS ordinary FROM w WHERE regexp_full_match(word, '[A-Z][A-Za-z]*') AND regexp_matches(word, '[kvb]')",
+    "name_entries": r"WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*')) AS word FROM documents), d AS (SELECT DISTINCT word FROM w), o AS (SELECT word FROM d WHERE regexp_full_match(word, '\p{Ll}[\p{L}\p{M}]*')) SELECT DISTINCT lower(word) AS name, lower(word) IN (SELECT word FROM o) AS ordinary FROM d WHERE regexp_full_match(word, '\p{Lu}[\p{L}\p{M}]*') AND regexp_matches(word, '[kvb]')",
 }

@@ -3,11 +3,14 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions.alignment import align_batch
 from sparkloom.plans.catalogue import QUERIES
-from sparkloom.plans.fixture import whole_lines, whole_readings
+from sparkloom.plans.evaluation import bootstrap_ci_row
+from sparkloom.plans.fixture import lines, readings
 
 LONG = "Élan vital à Köln, " * 12 + "x" * 200 + " end"
 TEXTS = [LONG, "short\n\n  two  spaces \nniño", "", None, "plain ASCII line of more than twenty\r\u2028" + "y " * 90]
@@ -34,7 +37,7 @@ def small(spark, tmp_path_factory):
 
 
 def test_whole_lines_keep_every_character(spark, small):
-    rows = sorted(whole_lines(spark, small).collect(), key=lambda r: (r["page"], r["line_no"]))
+    rows = sorted(lines(spark, small).collect(), key=lambda r: (r["page"], r["line_no"]))
     assert all(1 <= len(r["ref"]) <= 80 for r in rows)
     assert len({(r["page"], r["line_no"]) for r in rows}) == len(rows)
     for i, text in enumerate(TEXTS):
@@ -44,8 +47,8 @@ def test_whole_lines_keep_every_character(spark, small):
 
 
 def test_eval_summary_counts_whole_texts(spark, small):
-    rows = whole_readings(spark, small).collect()
-    got = {r["lang"]: r for r in QUERIES["eval_summary_by_lang_whole"](spark, small).collect()}
+    rows = readings(spark, small).collect()
+    got = {r["lang"]: r for r in QUERIES["eval_summary_by_lang"](spark, small).collect()}
     for lang in ("en", "fr", None):
         own = [r for r in rows if lang in (None, r["lang"])]
         assert got[lang]["lines"] == len(own)
@@ -53,23 +56,23 @@ def test_eval_summary_counts_whole_texts(spark, small):
 
 
 def test_length_histogram_counts_every_line(spark, small):
-    got = QUERIES["corpus_length_histogram_whole"](spark, small).collect()
-    assert sum(r["lines"] for r in got) == whole_lines(spark, small).count()
+    got = QUERIES["corpus_length_histogram"](spark, small).collect()
+    assert sum(r["lines"] for r in got) == lines(spark, small).count()
 
 
 def test_language_model_of_all_documents(spark, small):
     padded = ["\x02" * 4 + t + "\x03" for t in TEXTS if t is not None]
     grams = Counter((k, s[e - k : e]) for s in padded for e in range(5, len(s) + 1) for k in range(1, 6))
-    got = {(r["k"], bytes.fromhex(r["gram"]).decode()): r["n"] for r in QUERIES["ngram_counts_whole"](spark, small).collect()}
+    got = {(r["k"], bytes.fromhex(r["gram"]).decode()): r["n"] for r in QUERIES["ngram_counts"](spark, small).collect()}
     assert got == grams
     total, types = Counter(), Counter()
     for (k, g), n in grams.items():
         total[g[:-1]] += n * (k > 1)
         types[g[:-1]] += k > 1
-    got = {bytes.fromhex(r["ctx"]).decode(): (r["total"], r["types"]) for r in QUERIES["ngram_contexts_whole"](spark, small).collect()}
+    got = {bytes.fromhex(r["ctx"]).decode(): (r["total"], r["types"]) for r in QUERIES["ngram_contexts"](spark, small).collect()}
     assert got == {c: (total[c], types[c]) for c in total if total[c]}
     every, v = sum(n for (k, _), n in grams.items() if k == 1), len(set("".join(t or "" for t in TEXTS)))
-    for r in QUERIES["lm_witten_bell_scores_whole"](spark, small).collect():
+    for r in QUERIES["lm_witten_bell_scores"](spark, small).collect():
         text = {"0-0": "Köln a short turn", "0-1": "", "1-0": "ŋ never seen"}[r["key"]]
         s, logp = "\x02" * 4 + text + "\x03", 0.0
         for e in range(5, len(s) + 1):
@@ -84,24 +87,47 @@ def test_language_model_of_all_documents(spark, small):
 def test_labels_are_checked_past_60_characters(spark, tmp_path):
     rows = [(3, "a" * 60 + "é"), (6, "b" * 70 + "ꦴ"), (9, "fine " * 40)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["problem"]: r["n"] for r in QUERIES["label_violations_whole"](spark, str(tmp_path)).collect()}
+    got = {r["problem"]: r["n"] for r in QUERIES["label_violations"](spark, str(tmp_path)).collect()}
     assert got == {"unknown characters": 1, "stray mark": 1}
 
 
 def test_names_of_all_languages_and_letters(spark, tmp_path):
     rows = [(1, "Kévin sieht Öbb", "de"), (2, "kévin Kurt zu", "fr"), (3, "Bob", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["name"]: r["ordinary"] for r in QUERIES["name_entries_whole"](spark, str(tmp_path)).collect()}
+    got = {r["name"]: r["ordinary"] for r in QUERIES["name_entries"](spark, str(tmp_path)).collect()}
     assert got == {"kévin": True, "öbb": False, "bob": False}
 
 
 def test_homoglyphs_of_all_readings(spark, small):
-    own = whole_readings(spark, small).collect()
+    own = readings(spark, small).collect()
     steps = [s for r in own for s in align_batch([r["ref"]], [r["a"]])[0]]
-    got = {(r["ref"], r["hyp"]): r["n"] for r in QUERIES["homoglyph_table_whole"](spark, small).collect()}
+    got = {(r["ref"], r["hyp"]): r["n"] for r in QUERIES["homoglyph_table"](spark, small).collect()}
     assert got == {(x, y): sum(s[3] == x and s[4] == y for s in steps) for p in (("a", "b"), ("e", "c"), ("x", "y")) for x, y in (p, p[::-1])}
 
 
 def test_cluster_bootstrap_has_10000_resamples(spark, small):
-    assert QUERIES["bootstrap_ci_cluster_whole"](spark, small).first()["valid"] == 10_000
-    assert QUERIES["bootstrap_ci_stepwise_whole"](spark, small).first()["low"] is not None
+    assert QUERIES["bootstrap_ci_cluster"](spark, small).first()["valid"] == 10_000
+    assert QUERIES["bootstrap_ci_stepwise"](spark, small).first()["low"] is not None
+
+
+def test_row_bootstrap_by_brute_force(spark, small):
+    own = readings(spark, small).withColumn("key", F.xxhash64(F.concat_ws("-", "page", "line_no"))).collect()
+    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    mask, diffs = 2**64 - 1, []
+    rows = [(r["key"] & mask, levenshtein(r["ref"], r["a"]), levenshtein(r["ref"], r["b"]), len(r["ref"])) for r in own]
+    for four in range(50):
+        sums = [[0, 0, 0] for _ in range(4)]
+        for key, x, y, n in rows:
+            h = key ^ ((four + 1) * 0x9E3779B97F4A7C15 & mask) * 0xD1B54A32D192ED03 & mask
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            h ^= h >> 31
+            for k in range(4):
+                u = ((h >> 16 * k & 0xFFFF) + 0.5) / 65536
+                w = sum(u > c for c in cdf)
+                sums[k] = [s + w * v for s, v in zip(sums[k], (x, y, n), strict=True)]
+        diffs += [(x - y) / n for x, y, n in sums if n]
+    got = bootstrap_ci_row(spark, small, 200).first()
+    low, high = np.quantile(diffs, [0.025, 0.975])
+    assert got["valid"] == len(diffs) and abs(got["low"] - low) < 1e-8 and abs(got["high"] - high) < 1e-8
+    assert QUERIES["bootstrap_ci_row"](spark, small).first()["valid"] == 10_000
