@@ -9,6 +9,7 @@ from sparkloom.functions import script as C
 from sparkloom.functions import senses as S
 from sparkloom.functions import templates as P
 from sparkloom.operators import dictionary as O
+from sparkloom.operators import pages as G
 from sparkloom.sources.tables import table
 
 
@@ -70,9 +71,46 @@ def spellings_read_as(spark: SparkSession, d: str) -> DataFrame:
     return O.read_as(written, words, "spelling", "word").groupBy("spelling").agg(F.count(F.lit(1)).alias("words"))
 
 
-QUERIES = {f.__name__: f for f in (sense_glosses, pointer_ends, template_texts, register_sets, wiki_definitions, spellings_read_as)}
+def _pages(spark, d):
+    """A page of each text: its lines as definitions of a noun, under a neutral subheading, under one that counts for nothing, and of a verb."""
+    lines = F.split(F.translate("text", "{}[]|=<'&", ""), "\n", -1)
+    nth = lambda k, lead: F.array_join(F.transform(F.filter(lines, lambda _, i: i % 3 == k), lambda x: F.concat(F.lit(lead), x)), "\n")
+    head = F.when(F.col("doc_id") % 5 == 0, "=={{Jawa Kedu}}==").when(F.col("doc_id") % 5 == 1, "== {{jawa}} ==").otherwise("== {{bahasa|jv}} ==")
+    source = F.concat_ws(
+        "\n", F.lit("== {{bahasa|id}} ==\n# other language"), head, F.lit("{{-n-|jv}}"), nth(0, "# "), F.lit("#: {{syn|jv|one|[[two]]|q=x}}\n===Lafal==="), nth(1, "# "), F.lit("{{jvword|n=ngo|k=|ki=Inggil}}\n===Etimologi==="), nth(2, "# "),
+        F.when(F.col("doc_id") % 11 == 3, "{{R:KBBI}}").otherwise("{{-v-|jv}}"), nth(2, "# {{label|jv|ngoko}} "), F.lit("== {{bahasa|en}} ==\n# last"),
+    )
+    title = F.when(F.col("doc_id") % 13 == 5, "ꦏ").otherwise(F.concat(F.lit("w"), "doc_id"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page"), title.alias("title"), F.when(F.col("text").isNotNull(), source).alias("text"))
+
+
+def page_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary entries of all pages: parts of speech, number and digest of their glosses, notes."""
+    entries, _ = G.page_entries(_pages(spark, d))
+    return entries.select("page", "pos", F.size("glosses").cast("long").alias("n"), F.md5(F.array_join("glosses", "\n")).alias("digest"), "note")
+
+
+def pages_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """What page_entries leaves out, by reason."""
+    return G.page_entries(_pages(spark, d))[1]
+
+
+QUERIES = {f.__name__: f for f in (sense_glosses, pointer_ends, template_texts, register_sets, wiki_definitions, spellings_read_as, page_entries, pages_skipped)}
 _LABEL = r"^\([^()]*\)\s*"
+PAGES_SQL = r"""WITH l AS (
+  SELECT doc_id, i - 1 AS i, trim(regexp_replace(ls[i], '\(\s*\)', '', 'g'), ' ;,:=') AS t
+  FROM (SELECT doc_id, string_split(translate(text, '{}[]|=<''&', ''), chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 5 AND doc_id % 11 <> 3), unnest(range(1, len(ls) + 1)) t(i)
+), p AS (
+  SELECT doc_id, i, CASE WHEN i % 3 < 2 THEN 'nomina' ELSE 'verba' END AS pos, [x for x in [CASE WHEN i % 3 = 2 THEN 'ngoko' END, nullif(regexp_extract(t, '(?s)^\(([^()]{1,30})\)\s*(.+)$', 1), '')] if x IS NOT NULL] AS labels,
+    coalesce(nullif(regexp_extract(t, '(?s)^\(([^()]{1,30})\)\s*(.+)$', 2), ''), t) AS t FROM l
+), g AS (
+  SELECT *, CASE WHEN t = '' OR lower(t) = 'w' || doc_id OR lower(t) IN ('def', 'definisi', 'definisi/terjemah', 'terjemah', 'contoh', 'arti') OR (regexp_matches(t, '[êéèÊÉÈ]') AND NOT regexp_matches(t, '^(ragam|bentuk|sinonim) [a-z ]*dari ')) THEN ''
+    ELSE CASE WHEN len(labels) > 0 THEN '(' || array_to_string(list_sort(list_distinct(labels)), ', ') || ') ' WHEN doc_id % 5 = 0 AND NOT starts_with(t, '(') THEN '(Kedu) ' ELSE '' END || t END AS gloss FROM p
+)"""
 ORACLE_SQL = {
+    "page_entries": PAGES_SQL + """, f AS (SELECT doc_id, pos, gloss, min((i % 3, i)) AS place FROM g WHERE gloss <> '' GROUP BY ALL), s AS (SELECT doc_id, max(i) AS last FROM g WHERE i % 3 = 0 GROUP BY doc_id)
+SELECT doc_id AS page, pos, count(*) AS n, md5(string_agg(gloss, chr(10) ORDER BY place)) AS digest, CASE WHEN pos = 'nomina' THEN 'ngoko ngo · krama inggil Inggil' || CASE WHEN EXISTS (SELECT 1 FROM g JOIN s USING (doc_id) WHERE g.doc_id = f.doc_id AND i = last AND gloss <> '') THEN '; sinonim: one (x), two (x)' ELSE '' END END AS note FROM f GROUP BY doc_id, pos""",
+    "pages_skipped": PAGES_SQL + """ SELECT * FROM (SELECT 'empty or repeats its title' AS reason, count(*) AS n FROM g WHERE gloss = '' UNION ALL SELECT 'imported section', count(*) FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 5 AND doc_id % 11 = 3 UNION ALL SELECT 'title without letters', count(*) FROM documents WHERE doc_id % 13 = 5) WHERE n > 0""",
     "sense_glosses": rf"""WITH RECURSIVE l AS (
   SELECT doc_id, i - 1 AS i, CASE WHEN (i - 1) % 7 = 3 THEN '(' || lang || ')' WHEN (i - 1) % 3 = 0 THEN '(' || lang || ') ' || ls[i] ELSE ls[i] END AS gloss
   FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)

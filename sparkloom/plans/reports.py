@@ -86,8 +86,10 @@ def estimate_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cumulative_configs(spark: SparkSession, d: str) -> DataFrame:
-    ops = F.array(*[F.lit(x) for x in ("blur", "noise", "shear", "paper")])
-    return spark.range(0, 5).select("id", O.cumulative_config(ops, F.col("id").cast("int")).alias("config"))
+    """The nations of each region as parts that are switched on one after another."""
+    per = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("ops"))
+    steps = per.select("n_regionkey", "ops", F.explode(F.sequence(F.lit(0), F.size("ops"))).alias("step"))
+    return steps.select("n_regionkey", F.col("step").cast("long").alias("step"), O.cumulative_config(F.col("ops"), F.col("step")).alias("config"))
 
 
 def last_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +133,7 @@ ORACLE_SQL = {
     "run_usage": f"WITH {SEGMENTS_SQL} SELECT user_id, sum(last - first)::BIGINT AS steps, sum(last - first)::BIGINT * 16 AS samples, 20000 AS pool, round(least(1.0::DOUBLE, sum(last - first) * 16 / 20000), 9) AS share FROM l WHERE last > first GROUP BY user_id",
     "warm_mean": "WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT user_id, round(avg(value) FILTER (r > 3), 6) AS mean, count(*) FILTER (r > 3) AS n FROM p GROUP BY user_id",
     "estimate_full": "WITH f AS (SELECT p_brand, CASE WHEN count(DISTINCT p_size) = 1 THEN 0 ELSE regr_slope(p_retailprice, p_size) END AS s, CASE WHEN count(DISTINCT p_size) = 1 THEN avg(p_retailprice) ELSE regr_intercept(p_retailprice, p_size) END AS b FROM part GROUP BY 1) SELECT round(sum(greatest(0, b + s * x) * (x % 7)), 4) AS total, 0::BIGINT AS unmeasured FROM f, range(1, 60, 10) t(x)",
-    "cumulative_configs": "SELECT i AS id, array_to_string((['blur', 'noise', 'shear', 'paper'])[1:i], '+') AS config FROM range(0, 5) t(i)",
+    "cumulative_configs": "WITH p AS (SELECT n_regionkey, list(n_name ORDER BY n_name) AS ops FROM nation GROUP BY 1) SELECT n_regionkey, step, array_to_string(ops[1:step], '+') AS config FROM p, unnest(range(0, len(ops) + 1)) t(step)",
     "last_validation": "SELECT user_id, arg_max(value, event_id) AS val FROM events WHERE event_type = 'click' GROUP BY 1",
     "stale_cards": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END AS run, (CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::VARCHAR END) IS DISTINCT FROM '2' AS stale FROM nation",
     "name_entries": r"WITH w AS (SELECT unnest(regexp_extract_all(text, '\p{L}[\p{L}\p{M}]*')) AS word FROM documents), d AS (SELECT DISTINCT word FROM w), o AS (SELECT word FROM d WHERE regexp_full_match(word, '\p{Ll}[\p{L}\p{M}]*')) SELECT DISTINCT lower(word) AS name, lower(word) IN (SELECT word FROM o) AS ordinary FROM d WHERE regexp_full_match(word, '\p{Lu}[\p{L}\p{M}]*') AND regexp_matches(word, '[kvb]')",
