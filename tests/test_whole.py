@@ -131,3 +131,29 @@ def test_row_bootstrap_by_brute_force(spark, small):
     low, high = np.quantile(diffs, [0.025, 0.975])
     assert got["valid"] == len(diffs) and abs(got["low"] - low) < 1e-8 and abs(got["high"] - high) < 1e-8
     assert QUERIES["bootstrap_ci_row"](spark, small).first()["valid"] == 10_000
+
+
+def test_alignment_counters_by_brute_force(spark, small):
+    own = readings(spark, small).collect()
+    assert all(sum(t != "equal" for t, *_ in s) == levenshtein(r["ref"], r["a"]) for r, s in zip(own, align_batch([r["ref"] for r in own], [r["a"] for r in own]), strict=True))
+    steps = [(r["lang"], *s) for r, ss in zip(own, align_batch([r["ref"] for r in own], [r["a"] for r in own]), strict=True) for s in ss]
+    bare = [s for ss in align_batch([r["ref"].replace(" ", "") for r in own], [r["a"].replace(" ", "") for r in own]) for s in ss]
+    name = {"replace": "sub", "delete": "del", "insert": "ins"}
+    got = {(r["kind"], r["ref"], r["hyp"]): r["n"] for r in QUERIES["confusion_chars"](spark, small).collect()}
+    assert got == Counter((name[t], r or "", h or "") for t, _, _, r, h in bare if t != "equal")
+    ref, hit, out = (Counter() for _ in range(3))
+    for _, tag, _, _, r, h in steps:
+        ref[r] += 1
+        out[h] += 1
+        hit[r] += tag == "equal"
+    got = {r["ch"]: (r["ref"], r["hits"], r["emitted"], r["recall"], r["precision"]) for r in QUERIES["align_recall_precision"](spark, small).collect()}
+    part = lambda a, b: round(a / b, 9) if b else None
+    assert got == {c: (ref[c], hit[c], out[c], part(hit[c], ref[c]), part(hit[c], out[c])) for c in {*ref, *out} - {None}}
+    wrong = Counter((r, h or "") for _, tag, _, _, r, h in steps if r is not None and tag != "equal")
+    best = {c: sorted(((-n, h) for (x, h), n in wrong.items() if x == c))[:3] for c, _ in wrong}
+    got = {(r["ch"], r["place"]): (-r["n"], r["read_as"]) for r in QUERIES["top_misreads"](spark, small).collect()}
+    assert got == {(c, i + 1): x for c, xs in best.items() for i, x in enumerate(xs)}
+    for r in QUERIES["rare_line_stats"](spark, small).collect():
+        mine = [s for s in steps if s[0] == r["lang"]]
+        assert r["ref"] == sum(s[4] in ("k", "v", "b") for s in mine) and r["emitted"] == sum(s[5] in ("k", "v", "b") for s in mine)
+        assert r["hits"] == sum(s[4] in ("k", "v", "b") and s[1] == "equal" for s in mine) and r["touched"] == r["ref"] - r["hits"]
