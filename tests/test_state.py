@@ -62,3 +62,16 @@ def test_stream_restarts_and_drops_late_rows(rocks, tmp_path):
         query.awaitTermination()
     got = rows_of(spark.read.parquet(f"{tmp_path}/out"))
     assert got == by_hand(rows)
+
+
+def test_session_sql_keeps_events_of_one_instant_together():
+    import duckdb
+
+    from sparkloom.plans.events import ORACLE_SQL
+
+    con = duckdb.connect()
+    # each key begins two sessions a day apart, both with clicks of one instant
+    con.execute("CREATE TABLE clicks AS SELECT (i * 7919) % 20000 AS client_id, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * day AS ts, CAST(twin AS DOUBLE) AS value FROM range(20000) a(i), range(2) b(day), range(3) c(twin) ORDER BY hash(i * 6 + day * 3 + twin)")
+    con.execute("CREATE TABLE events AS SELECT client_id AS user_id, ts FROM clicks")
+    assert con.execute(f"SELECT count(*), min(n), max(n), min(total), max(total) FROM ({ORACLE_SQL['click_sessions']})").fetchall() == [(40000, 3, 3, 3.0, 3.0)]
+    assert con.execute(f"SELECT count(*), min(n), max(n) FROM ({ORACLE_SQL['event_sessions']})").fetchall() == [(40000, 3, 3)]
