@@ -113,7 +113,7 @@ def gap_pairing(rows: DataFrame, groups: list[str], ref: str, hyp: str) -> DataF
     """Spaces of both sides, those that stand in the same gap, and false ones, by group."""
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     n = lambda c: F.length(c) - F.length(bare(c))
-    one = rows.select(*groups, n(ref).alias("r"), n(hyp).alias("h"), A.matched_spaces(F.col(ref), F.col(hyp), A.alignment(bare(ref), bare(hyp))).alias("m"))
+    one = rows.select(*groups, n(ref).alias("r"), n(hyp).alias("h"), A.matched_spaces(F.col(ref), F.col(hyp)).alias("m"))
     return one.groupBy(*groups).agg(F.sum("r").alias("ref_spaces"), F.sum("h").alias("hyp_spaces"), F.sum("m").alias("matched"), F.sum(F.col("h") - F.col("m")).alias("false_spaces"))
 
 
