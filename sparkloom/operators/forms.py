@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +31,38 @@ def forms(text: Column, single: dict[str, str] = SINGLE, nasal: str = NASAL, fol
     return F.filter(F.transform(chars(text), at), lambda x: x.isNotNull())
 
 
-def line_counts(ref: Column, hyp: Column, ops: Column, **rules) -> Column:
-    """struct: edits, chars, and the forms in the reference, read right, put out, and put out rightly (arrays, one entry each)."""
-    equal = lambda side: F.transform(F.filter(ops, lambda s: s["tag"] == "equal"), lambda s: s[side])
-    name = lambda found: F.transform(found, lambda x: x["form"])
-    kept = lambda found, side: F.filter(found, lambda x: F.array_contains(equal(side), x["at"]))
-    own, put = forms(ref, **rules), forms(hyp, **rules)
-    edits = F.size(F.filter(ops, lambda s: s["tag"] != "equal")).cast("long")
-    return F.struct(edits.alias("edits"), F.length(ref).cast("long").alias("chars"), name(own).alias("ref"), name(kept(own, "i")).alias("hit"), name(put).alias("out"), name(kept(put, "j")).alias("right"))
+def _equal_places(ref: Column, hyp: Column, at: Column, put: Column) -> Column:
+    """struct: edits, and of the places `at` of a text and `put` of its reading, whether each stands in an equal step."""
+
+    @F.arrow_udf("edits long, hit array<boolean>, right array<boolean>")
+    def run(ref: pa.Array, hyp: pa.Array, at: pa.Array, put: pa.Array) -> pa.Array:
+        s = A.Steps(*A.texts(ref, hyp))
+        out = [pa.array(s.edits())]
+        for places, used in ((at, s.go < 2), (put, s.go != 1)):
+            # steps of one side stand in the order of its characters
+            first = np.r_[0, np.cumsum(s.count(used))][:-1]
+            sizes = np.array(pc.list_value_length(places).to_numpy(zero_copy_only=False), dtype=np.int64)
+            asked = np.repeat(first, sizes) + pc.list_flatten(places).to_numpy(zero_copy_only=False).astype(np.int64)
+            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(s.same[used][asked])))
+        return pa.StructArray.from_arrays(out, names=["edits", "hit", "right"])
+
+    return run(ref, hyp, at, put)
 
 
 def counted(rows: DataFrame, ref: str, hyp: str, name: str, **rules) -> DataFrame:
-    """`rows` with line_counts of a reading as the struct `name`; null texts are empty."""
+    """`rows` with a struct `name`: edits, chars, and the forms in the reference, read right, put out, and put out rightly (arrays, one entry each).
+
+    Null texts are empty. A form is read right where its character is in an equal step of the alignment.
+    """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    one = rows.withColumn("_ops", A.alignment(text(ref), text(hyp)))
-    return one.withColumn(name, line_counts(text(ref), text(hyp), F.col("_ops"), **rules)).drop("_ops")
+    places = lambda c: F.transform(c, lambda x: x["at"])
+    names = lambda c: F.transform(c, lambda x: x["form"])
+    kept = lambda c, flags: F.filter(names(c), lambda _, i: F.get(F.col(f"_s.{flags}"), i))
+    one = rows.withColumns({"_own": forms(text(ref), **rules), "_put": forms(text(hyp), **rules)})
+    one = one.withColumn("_s", _equal_places(text(ref), text(hyp), places(F.col("_own")), places(F.col("_put"))))
+    own, put = F.col("_own"), F.col("_put")
+    found = F.struct(F.col("_s.edits").alias("edits"), F.length(text(ref)).cast("long").alias("chars"), names(own).alias("ref"), kept(own, "hit").alias("hit"), names(put).alias("out"), kept(put, "right").alias("right"))
+    return one.withColumn(name, found).drop("_own", "_put", "_s")
 
 
 def run_report(rows: DataFrame, ref: str, hyp: str, **rules) -> DataFrame:
@@ -79,6 +99,13 @@ def compared(rows: DataFrame, reps: int = 10_000, seed: int = 0, **rules) -> Dat
 def inserted_marks(rows: DataFrame, groups: list[str], ref: str, hyp: str, top: list[str] = TOP, bottom: list[str] = BOTTOM) -> DataFrame:
     """By group: lines, and marks above and below that the output has and the reference lacks (insertions of the alignment)."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    one = rows.select(*groups, F.filter(A.alignment(text(ref), text(hyp)), lambda s: s["tag"] == "insert").alias("s"))
-    n = lambda members: F.sum(F.size(F.filter("s", lambda s: among(s["h"], members)))).cast("long")
-    return one.groupBy(*groups).agg(F.count(F.lit(1)).alias("lines"), n(top).alias("top"), n(bottom).alias("bottom"))
+    known = {k: [ord(c) for c in members] for k, members in (("top", top), ("bottom", bottom))}
+
+    @F.arrow_udf("top long, bottom long")
+    def put(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        s = A.Steps(*A.texts(ref, hyp))
+        return pa.StructArray.from_arrays([pa.array(s.count((s.go == 2) & np.isin(s.h, known[k]))) for k in known], names=list(known))
+
+    one = rows.select(*groups, put(F.col(ref), F.col(hyp)).alias("s"))
+    n = lambda k: F.sum(f"s.{k}").cast("long")
+    return one.groupBy(*groups).agg(F.count(F.lit(1)).alias("lines"), n("top").alias("top"), n("bottom").alias("bottom"))
