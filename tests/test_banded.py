@@ -131,3 +131,14 @@ def test_equal_readings_are_not_aligned(monkeypatch):
     assert D.segment_batch([" ab c"], [" ab c"]) == [[{"t": " ", "s": "sp"}, {"t": "a", "s": "ok"}, {"t": "b", "s": "ok"}, {"t": " ", "s": "ok"}, {"t": "c", "s": "ok"}]]
     assert seen == [([""], [""])]
     assert [x["s"] for x in D.segments("ab c", "xb dc")] == ["sub", "ok", "ok", "ins", "ok"]
+
+
+def test_language_model_broadcasts_no_places(spark, tmp_path, capsys):
+    from sparkloom.operators import language_model as L
+
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([(str(k), "ab cd" * 20) for k in range(20)], "key string, text string").write.parquet(path)
+    texts = spark.read.parquet(path)
+    L.score(texts, "key", "text", L.grams(texts, "text", 5), 5, 5).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") == 1  # the one row of the total
