@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import senses as S
 from sparkloom.functions import templates as P
-from sparkloom.functions.text import nfd_bare
+from sparkloom.functions.text import nfd_bare_once, spread
 from sparkloom.operators.lineage import ancestry
 
 # fixed values: register labels of head templates, and column heads of register tables
@@ -95,11 +95,22 @@ def register_sets(entries: DataFrame) -> DataFrame:
 
 def read_as(spellings: DataFrame, words: DataFrame, spelling: str, word: str) -> DataFrame:
     """(spelling, word): every spelling in script that can be read as a word, an equi-join of their phonetic forms."""
-    a = spellings.select(F.col(spelling).alias("spelling")).distinct().withColumn("_form", S.phonetic_script("spelling"))
-    b = words.select(F.col(word).alias("word")).distinct().withColumn("_form", S.phonetic_latin(nfd_bare("word")))
+    a, b = _forms(spellings, words, spelling, word)
     return a.join(b, "_form").select("spelling", "word")
 
 
+def read_as_counts(spellings: DataFrame, words: DataFrame, spelling: str, word: str) -> DataFrame:
+    """(spelling, words): how many words each spelling can be read as, without their pairs: words are counted by phonetic form. Spellings without one are left out."""
+    a, b = _forms(spellings, words, spelling, word)
+    return a.join(b.groupBy("_form").agg(F.count(F.lit(1)).alias("words")), "_form").select("spelling", "words")
+
+
+def _forms(spellings: DataFrame, words: DataFrame, spelling: str, word: str) -> tuple[DataFrame, DataFrame]:
+    a = spread(spellings.select(F.col(spelling).alias("spelling")).distinct()).withColumn("_form", S.phonetic_script("spelling"))
+    b = spread(words.select(F.col(word).alias("word")).distinct()).withColumn("_form", S.phonetic_latin(nfd_bare_once("word")))
+    return a, b
+
+
 def definitions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, counts by status) of definition lines (title, seq, line): text and labels; lines with open templates or without a text are skipped and counted."""
     seen = lines.select("title", "seq", P.wiki_line(F.regexp_replace("line", "^#+ ?", "")).alias("d")).select("title", "seq", "d.*")

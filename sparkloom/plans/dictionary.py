@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import script as C
 from sparkloom.functions import senses as S
 from sparkloom.functions import templates as P
+from sparkloom.functions.text import spread
 from sparkloom.operators import dictionary as O
 from sparkloom.operators import pages as G
 from sparkloom.sources.tables import table
@@ -67,8 +68,8 @@ def wiki_definitions(spark: SparkSession, d: str) -> DataFrame:
 def spellings_read_as(spark: SparkSession, d: str) -> DataFrame:
     """Words of all texts, written in script and read back: how many words each spelling can be read as."""
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word")).distinct()
-    written = words.select(C.script_of("word").alias("spelling")).where("spelling <> ''")
-    return O.read_as(written, words, "spelling", "word").groupBy("spelling").agg(F.count(F.lit(1)).alias("words"))
+    written = spread(words).select(C.script_once("word").alias("spelling")).where("spelling <> ''")
+    return O.read_as_counts(written, words, "spelling", "word")
 
 
 def _pages(spark, d):
