@@ -21,8 +21,17 @@ def encoded(lines: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFram
     return lines.crossJoin(table).select(key, F.transform(F.filter(F.split(text, "", -1), lambda c: c != ""), one).alias("ids"))
 
 
-def syllable_counts(lines: DataFrame, text: str) -> DataFrame:
-    return lines.select(F.explode(X.logical_syllables(F.col(text))).alias("syllable")).where(F.length("syllable") > 1).groupBy("syllable").agg(F.count(F.lit(1)).alias("n"))
+def syllable_counts(lines: DataFrame, text: str, times: str | None = None) -> DataFrame:
+    """(syllable, n) of syllables of two characters and more; `times`: a column that says how often a row stands."""
+    n = F.count(F.lit(1)) if times is None else F.sum("_times")
+    many = F.lit(1) if times is None else F.col(times)
+    return lines.select(many.alias("_times"), F.explode(X.logical_syllables(F.col(text))).alias("syllable")).where(F.length("syllable") > 1).groupBy("syllable").agg(n.alias("n"))
+
+
+def written_words(lines: DataFrame, text: str, write) -> DataFrame:
+    """(script, times): the different space-parted words of the lines in the script by write(column), each written once, and how often they stand."""
+    words = lines.select(F.explode(F.split(text, " ", -1)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    return X.spread(words).select(write("word").alias("script"), "times")
 
 
 def consensus(votes: DataFrame) -> DataFrame:
