@@ -36,8 +36,12 @@ def written_words(lines: DataFrame, text: str, write) -> DataFrame:
 
 def consensus(votes: DataFrame) -> DataFrame:
     """(syllable, perm) of votes (syllable, perm, votes): most votes, then fewest inversions, then the smaller order."""
-    w = Window.partitionBy("syllable").orderBy(F.desc("votes"), X.inversions(F.col("perm")), "perm")
-    return votes.withColumn("r", F.row_number().over(w)).where("r = 1").select("syllable", "perm")
+    leading = F.dense_rank().over(Window.partitionBy("syllable").orderBy(F.desc("votes")))
+    ahead = votes.withColumn("r", leading).where("r = 1")
+    # only orders with as many votes as another one of their syllable are looked into
+    tied = ahead.withColumn("_tied", F.count(F.lit(1)).over(Window.partitionBy("syllable")) > 1)
+    w = Window.partitionBy("syllable").orderBy(F.when(F.col("_tied"), X.inversions(F.col("perm"))), "perm")
+    return tied.withColumn("r", F.row_number().over(w)).where("r = 1").select("syllable", "perm")
 
 
 def before_base(counts: DataFrame, agreed: DataFrame) -> DataFrame:
