@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions import alignment as A
+
 
 def edits(ref: str, hyp: str) -> Column:
     return F.levenshtein(F.col(ref), F.col(hyp)).cast("long")
 
 
+def line_edits(ref: str, hyp: str) -> Column:
+    """The same, a batch of lines at once."""
+    return A.line_distance(F.col(ref), F.col(hyp))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Null where the denominator is 0: what does not occur has no rate."""
     return F.try_divide(a.cast("double"), b)
@@ -35,7 +42,7 @@ def exact(ref: str, hyp: str) -> Column:
 
 
 def line_cer(ref: str, hyp: str) -> Column:
-    return F.levenshtein(F.col(ref), F.col(hyp)) / F.greatest(F.lit(1), F.length(ref))
+    return A.line_distance(F.col(ref), F.col(hyp)) / F.greatest(F.lit(1), F.length(ref))
 
 
 def line_ned(ref: str, hyp: str) -> Column:

@@ -23,7 +23,9 @@ def united(sources: list[DataFrame]) -> DataFrame:
     tagged = [s.select("method", "line", "text").withColumn("_at", F.lit(i)) for i, s in enumerate(sources)]
     rows = reduce(DataFrame.unionByName, tagged).where("method is not null and line is not null")
     last = rows.groupBy("method").agg(F.max("_at").alias("_at"))
-    return rows.join(last, ["method", "_at"]).groupBy("method", "line").agg(F.min("text").alias("text"))
+    # one row per method: a join by method would leave each method to one task; by line alone, so that a join by line moves nothing again
+    own = rows.join(F.broadcast(last), ["method", "_at"]).repartition("line")
+    return own.groupBy("line", "method").agg(F.min("text").alias("text")).select("method", "line", "text")
 
 
 def scored(lines: DataFrame, readings: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def scored(lines: DataFrame, readings: DataFrame) -> DataFrame:
     ref, hyp = (F.coalesce(c, F.lit("")) for c in ("ref", "text"))
     met = lines.select("line", "page", "kind", ref.alias("ref")).join(readings.select("method", "line", hyp.alias("hyp")), "line")
     n = F.length("ref").cast("long")
-    return met.select("method", "page", "kind", n.alias("chars"), F.greatest(n, F.length("hyp").cast("long")).alias("norm"), M.edits("ref", "hyp").cast("long").alias("edits"))
+    return met.select("method", "page", "kind", n.alias("chars"), F.greatest(n, F.length("hyp").cast("long")).alias("norm"), M.line_edits("ref", "hyp").alias("edits"))
 
 
 def _names(pairs: list[tuple[str, str, str]], kinds: list[str]) -> tuple[list[str], list[str]]:
