@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import line_scores as L
 from sparkloom.functions import text as X
 from sparkloom.functions.metrics import ratio
 from sparkloom.functions.templates import without_templates
@@ -93,6 +94,13 @@ def homoglyphs(steps: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return both.join(n, ["ref", "hyp"], "left").select("ref", "hyp", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def homoglyphs_read(rows: DataFrame, ref: str, hyp: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """homoglyphs of texts and their readings, counted where they are aligned: no step becomes a row."""
+    both = [p for a, b in pairs for p in ((a, b), (b, a))]
+    total = rows.select(L.substitutions(F.col(ref), F.col(hyp), both).alias("n")).agg(*[F.coalesce(F.sum(F.get("n", F.lit(k))), F.lit(0)).cast("long").alias(f"n{k}") for k in range(len(both))])
+    return total.select(F.inline(F.array(*[F.struct(F.lit(x).alias("ref"), F.lit(y).alias("hyp"), F.col(f"n{k}").alias("n")) for k, (x, y) in enumerate(both)])))
+
+
 def subpopulation(rows: DataFrame, group: str, inside: Column, num: str, den: str) -> DataFrame:
     """A ratio over part of the rows with the others at weight 0, so that all groups stay."""
     w = F.when(inside, 1).otherwise(0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import alignment as A
 from sparkloom.functions import metrics as M
 from sparkloom.operators import lineage as G
 from sparkloom.operators import reports as O
@@ -56,8 +55,7 @@ def nearest_valid(spark: SparkSession, d: str) -> DataFrame:
 
 def homoglyph_table(spark: SparkSession, d: str) -> DataFrame:
     """Look-alike substitutions of all readings, those with inserted characters too."""
-    steps = readings(spark, d).select(F.inline(A.alignment(F.col("ref"), F.col("a"))))
-    return O.homoglyphs(steps, [("a", "b"), ("e", "c"), ("x", "y")])
+    return O.homoglyphs_read(readings(spark, d), "ref", "a", [("a", "b"), ("e", "c"), ("x", "y")])
 
 
 def subpopulation_rates(spark: SparkSession, d: str) -> DataFrame:
