@@ -56,7 +56,7 @@ def sign_test_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _sums(spark, d):
     n = F.length("ref").cast("long")
-    return readings(spark, d).select("page", "source", "line_no", M.edits("ref", "a").alias("ea"), n.alias("na"), M.edits("ref", "b").alias("eb"), n.alias("nb"))
+    return readings(spark, d).select("page", "source", "line_no", M.line_edits("ref", "a").alias("ea"), n.alias("na"), M.line_edits("ref", "b").alias("eb"), n.alias("nb"))
 
 
 SUMS = ("ea", "na", "eb", "nb")
