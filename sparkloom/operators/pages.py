@@ -37,6 +37,11 @@ def _map(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.coalesce(key, F.lit("")))
 
 
+def _bare(text: Column) -> Column:
+    """nfd_bare, without sending plain ASCII to Python."""
+    return F.coalesce(nfd_bare(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def _cut(text: Column, mark: str) -> Column:
     """Pieces of a text between the matches of a pattern: one more than there are matches."""
     return F.split(text, mark, -1)
@@ -87,16 +92,19 @@ def glosses(defs: DataFrame) -> DataFrame:
     read = read.withColumn("_labels", F.when(is_typed, F.array_append("_d.labels", F.regexp_extract("_d.text", typed, 1))).otherwise(F.col("_d.labels")))
     read = read.withColumn("_text", F.when(is_typed, F.regexp_extract("_d.text", typed, 2)).otherwise(F.col("_d.text")))
     echo = r"(?s)^(.+?)\s*(?:[;:]\s*(.+)|\((.+)\))$"
-    plain = lambda c: F.lower(F.trim(nfd_bare(c)))
-    read = read.withColumn("_lead", F.regexp_extract("_text", echo, 1)).withColumn("_bare", plain("title"))
+    read = read.withColumn("_lead", F.regexp_extract("_text", echo, 1))
     rest = F.btrim(F.coalesce(F.nullif(F.regexp_extract("_text", echo, 2), F.lit("")), F.regexp_extract("_text", echo, 3)), F.lit(" ;,:"))
-    read = read.withColumn("_text", F.when((F.col("_lead") != "") & (plain("_lead") == F.col("_bare")), rest).otherwise(F.col("_text")))
+    # what is compared without marks goes to Python at one place, as each place has a worker of its own in every task
+    read = read.withColumn("_rest", rest).withColumns({f"_plain_{c}": F.lower(F.trim(_bare(F.col(c)))) for c in ("title", "_lead", "_text", "_rest")})
+    echoed = (F.col("_lead") != "") & (F.col("_plain__lead") == F.col("_plain_title"))
+    read = read.withColumn("_same", F.when(echoed, F.col("_plain__rest")).otherwise(F.col("_plain__text")) == F.col("_plain_title"))
+    read = read.withColumn("_text", F.when(echoed, F.col("_rest")).otherwise(F.col("_text")))
     foreign = F.col("_text").rlike("(?iu)[êéè]") & ~F.col("_text").rlike(POINTER)
-    void = (F.col("_text") == "") | (plain("_text") == F.col("_bare")) | F.lower("_text").isin(*PLACEHOLDERS) | foreign | (F.col("_d.open") > 0)
+    void = (F.col("_text") == "") | F.col("_same") | F.lower("_text").isin(*PLACEHOLDERS) | foreign | (F.col("_d.open") > 0)
     labels = F.array_distinct("_labels")
     shown = F.concat(F.when(F.size(labels) > 0, F.concat(F.lit("("), F.array_join(labels, ", "), F.lit(") "))).otherwise(""), F.col("_text"))
     shown = F.when(F.col("dialect").isNotNull() & ~shown.startswith("("), F.concat(F.lit("("), F.col("dialect"), F.lit(") "), shown)).otherwise(shown)
-    return read.withColumn("gloss", F.when(void, "").otherwise(shown)).drop("_d", "_labels", "_text", "_lead", "_bare")
+    return read.withColumn("gloss", F.when(void, "").otherwise(shown)).drop("_d", "_labels", "_text", "_lead", "_rest", "_same", *[f"_plain_{c}" for c in ("title", "_lead", "_text", "_rest")])
 
 
 def page_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +113,7 @@ def page_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries: (page, title, section, block, pos, glosses, note), one for each block with a gloss. Glosses are listed once, in order. The note names the
     forms of the block's level boxes that differ from the title, then the synonyms of its definitions. Examples are not read.
     """
-    titled = pages.withColumn("_letters", nfd_bare("title").rlike("(?i)[a-z]"))
+    titled = pages.withColumn("_letters", _bare(F.col("title")).rlike("(?i)[a-z]"))
     found = sections(titled.where("_letters").select("page", "title", "text"))
     parts = blocks(found.where("not copied"))
     cut = F.slice(_cut(F.col("body"), r"(?dm)^#(?![:*#])"), 2, 2**31 - 1)
@@ -118,7 +126,7 @@ def page_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c])
     entries = kept.groupBy("page", "section", "block").agg(F.first("title").alias("title"), F.first("pos").alias("pos"), F.array_distinct(in_order("gloss")).alias("glosses"), F.array_distinct(F.flatten(in_order("_words"))).alias("_words"))
     boxes = parts.where(F.col("body").contains("{{jvword")).select("page", "title", "section", "block", F.explode(P.templates("body")).alias("t")).where("t.name = 'jvword'")
-    plain = lambda c: F.lower(F.trim(nfd_bare(c)))
+    plain = lambda c: F.lower(F.trim(_bare(c if isinstance(c, Column) else F.col(c))))
     forms = boxes.select("page", "section", "block", F.array_join(F.filter(F.array(*[F.when((F.trim(v) != "") & (plain(v) != plain("title")), F.concat(F.lit(f"{level} "), F.trim(v))) for k, level in LEVELS.items() for v in [F.try_element_at("t.args", F.lit(k))]]), lambda x: x.isNotNull()), " · ").alias("_box"), F.col("t.at").alias("_place"))
     last = forms.groupBy("page", "section", "block").agg(F.max_by("_box", "_place").alias("_box"))
     known = F.when(F.size("_words") > 0, F.concat(F.lit("sinonim: "), F.array_join("_words", ", ")))
