@@ -1,9 +1,11 @@
 """The report of two readings against plain Python: counters, edits beside rare characters, joint intervals, degenerate cases."""
 
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,49 @@ def test_rare_run(spark):
     # the last line's opener stands in the middle and is read at the head: a hit and an output, so precision stays within 1
     assert (got["ref"], got["hits"], got["emitted"]) == (2, 1, 2)
     assert (got["plain_chars"], got["plain_edits"]) == (1 + 2 + 2 + 1, 0 + 0 + 0 + 1)
+
+
+def spoiled(seed, n=400):
+    """Pairs that align place by place, lose, gain or keep spaces and marks, and others."""
+    rng, out = random.Random(seed), [("", ""), ("a", ""), ("", " a"), ("x" * 300, "x" * 290 + " y")]
+    for i in range(n):
+        signs = rng.choice(["ab ", "abc de", "aẹ́ x", KA + NA + "꧀ ꦶ"])
+        ref = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
+        spoil = [lambda c: c, lambda c: rng.choice([c, c, ""]), lambda c: rng.choice([c, c, c + rng.choice(signs)]), lambda c: rng.choice([c, c, "x", "y"]), lambda c: rng.choice([c, c, "", rng.choice(signs), c + rng.choice(signs)])][i % 5]
+        out.append((ref, "".join(map(spoil, ref))))
+    return out
+
+
+def test_outcomes_are_those_of_the_whole_alignment():
+    refs, hyps = map(list, zip(*spoiled(7)))
+    edits, hit, right = A.outcomes(pa.array(refs), pa.array(hyps))
+    s = A.Steps(refs, hyps)
+    assert edits.tolist() == s.edits().tolist() and hit.tolist() == s.same[s.go < 2].tolist() and right.tolist() == s.same[s.go != 1].tolist()
+    bare = A.bare_distances(pa.array(refs), pa.array(hyps), edits, right)
+    assert bare.tolist() == A.distances(refs, [unicodedata.normalize("NFC", h.replace(" ", "")) for h in hyps]).tolist()
+
+
+def test_plain_pairs_need_no_alignment(monkeypatch):
+    """Substitutions place by place, and characters lost or put in, are counted without a path, and without spaces too."""
+    monkeypatch.setattr(A, "Steps", None)
+    refs, hyps = pa.array(["one two", "one two", "one two", "", "ab ba"]), pa.array(["ane twa", "ne to", "onee  two", "x", "ab ba"])
+    edits, hit, right = A.outcomes(refs, hyps)
+    assert edits.tolist() == [2, 2, 2, 1, 0] and hit[:7].tolist() == [False, True, True, True, True, True, False]
+    monkeypatch.setattr(A, "short_distances", None)
+    assert A.bare_distances(refs.take(pa.array([0, 1, 4])), hyps.take(pa.array([0, 1, 4])), edits[[0, 1, 4]], right[np.r_[0:12, 22:27]]).tolist() == [3, 3, 1]
+
+
+@pytest.mark.parametrize("factor", [1, 0.5, 1e6])
+def test_resamples_of_many_units(factor):
+    """Units over several blocks, with columns that few of them have, add up as the whole matrix of weights does."""
+    rng = np.random.default_rng(2)
+    keys, values = rng.integers(-(2**63), 2**63 - 1, 700), rng.integers(0, 9, (700, 6)) * factor
+    values[:, 2:] *= rng.random((700, 4)) < 0.1
+    values[5:9] = 0
+    sums = np.zeros((6, 2048))
+    C.add_resamples(sums, keys, values, C.Draws(2048, 9))
+    assert np.allclose(sums.T, C.weights(keys, 0, 2048, 9).astype(float) @ values, rtol=1e-12)
+    h = (np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(9)) * np.uint64(0xD1B54A32D192ED03) ^ keys[:1].view(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    assert (C.weights(keys[:1], 0, 2048, 9)[:, 0] == C.poisson_table()[h.view(np.uint16)]).all()
