@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import alignment as A
 from sparkloom.functions import line_scores as L
 from sparkloom.operators import comparison as C
+from sparkloom.plans import comparison as P
 
 KA, NA, MURDA, DIGIT, LETTER, OPENER = "ꦏ", "ꦤ", "ꦑ", "꧐", "꧆", L.OPENER
 RARE = ["ꦄ", MURDA, "ꦯ", OPENER]
@@ -191,3 +192,15 @@ def test_resamples_of_many_units(factor):
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
     assert (C.weights(keys[:1], 0, 2048, 9)[:, 0] == C.poisson_table()[h.view(np.uint16)]).all()
+
+
+def test_query_has_all_nine_ratios(spark):
+    """Rates of errors, of openers, and of rare characters and the murda among them, as in compare()."""
+    d = "/root/testdata/sf0.001"
+    got = {r["metric"]: r for r in P.compare_metrics(spark, d).collect()}
+    assert set(got) == {"cer", "cer_hyp_no_space", "cer_without_rare", "recall:opener", "false_start", *[f"{k}:{g}" for k in ("recall", "precision") for g in ("rare", "murda")]}
+    each = {r["ch"]: r for r in P.compare_codepoints(spark, d).collect()}
+    for s in "ab":
+        n = {k: sum(each[c][k] for c in P.GROUPS["murda"]) for k in ("ref", f"hits_{s}", f"hyp_{s}")}
+        assert n["ref"] > 0 and got["recall:murda"][s] == pytest.approx(n[f"hits_{s}"] / n["ref"]) and got["precision:murda"][s] == pytest.approx(n[f"hits_{s}"] / n[f"hyp_{s}"])
+    assert got["recall:murda"]["lines_valid"] == 10_000
