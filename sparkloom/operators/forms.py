@@ -36,14 +36,13 @@ def _equal_places(ref: Column, hyp: Column, at: Column, put: Column) -> Column:
 
     @F.arrow_udf("edits long, hit array<boolean>, right array<boolean>")
     def run(ref: pa.Array, hyp: pa.Array, at: pa.Array, put: pa.Array) -> pa.Array:
-        s = A.Steps(*A.texts(ref, hyp))
-        out = [pa.array(s.edits())]
-        for places, used in ((at, s.go < 2), (put, s.go != 1)):
-            # steps of one side stand in the order of its characters
-            first = np.r_[0, np.cumsum(s.count(used))][:-1]
+        edits, *flags = A.outcomes(ref, hyp)
+        out = [pa.array(edits)]
+        for text, places, same in zip((ref, hyp), (at, put), flags, strict=True):
+            length = pc.utf8_length(pc.fill_null(text, "")).to_numpy().astype(np.int64)
             sizes = np.array(pc.list_value_length(places).to_numpy(zero_copy_only=False), dtype=np.int64)
-            asked = np.repeat(first, sizes) + pc.list_flatten(places).to_numpy(zero_copy_only=False).astype(np.int64)
-            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(s.same[used][asked])))
+            asked = np.repeat(np.cumsum(length) - length, sizes) + pc.list_flatten(places).to_numpy(zero_copy_only=False).astype(np.int64)
+            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(same[asked])))
         return pa.StructArray.from_arrays(out, names=["edits", "hit", "right"])
 
     return run(ref, hyp, at, put)
@@ -85,15 +84,49 @@ def by_form(rows: DataFrame, ref: str, hyp: str, names: tuple = FORMS, **rules)
     return F.broadcast(known).join(found, "form", "left").na.fill(0)  # one row per form on either side
 
 
+def _formed(points: np.ndarray, sizes: np.ndarray, single: dict[str, str] = SINGLE, nasal: str = NASAL, followers: tuple = FOLLOWERS) -> tuple[np.ndarray, np.ndarray]:
+    """(place, line) of each character of some lines that is a form, as by forms()."""
+    named = {ord(c) for c in single if len(c) == 1}
+    found = A.per_point(points, lambda p: p in named, bool)
+    if len(nasal) == 1 and len(points):
+        ends = np.cumsum(sizes)
+        at = np.flatnonzero(points == ord(nasal))
+        at = at[at + 2 < ends[np.searchsorted(ends, at, side="right")]]
+        pair = points[at + 1].astype(np.int64) << 32 | points[at + 2]
+        found[at[np.isin(pair, [ord(f[0]) << 32 | ord(f[1]) for f in followers if len(f) == 2])]] = True
+    places = np.flatnonzero(found)
+    return places, np.searchsorted(np.cumsum(sizes), places, side="right")
+
+
+def _form_counters(**rules):
+    """UDF of (ref, a, b): forms in the reference and per side edits, forms read right, put out and put out rightly, counted where lines are aligned."""
+    fields = ["forms", *[f"{c}_{s}" for s in ("a", "b") for c in ("edits", "hit", "out", "right")]]
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in fields))
+    def run(ref: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        ref = pc.fill_null(ref, "")
+        number = lambda lines: np.bincount(lines, minlength=len(ref))
+        own, line = _formed(*A.column_points(ref), **rules)
+        out = [number(line)]
+        for hyp in (a, b):
+            hyp = pc.fill_null(hyp, "")
+            edits, hit, right = A.outcomes(ref, hyp)
+            put, row = _formed(*A.column_points(hyp), **rules)
+            out += [edits, number(line[hit[own]]), number(row), number(row[right[put]])]
+        return pa.StructArray.from_arrays([pa.array(c) for c in out], names=fields)
+
+    return run
+
+
 def compared(rows: DataFrame, reps: int = 10_000, seed: int = 0, **rules) -> DataFrame:
     """Recall, precision and error rates of two readings (id, cluster, ref, a, b) of the same lines, with intervals by lines and by clusters."""
-    both = counted(counted(rows, "ref", "a", "sa", **rules), "ref", "b", "sb", **rules)
-    columns: dict[str, Column] = {"chars": F.col("sa.chars"), "forms": F.size("sa.ref"), "plain_chars": F.when(F.size("sa.ref") == 0, F.col("sa.chars")).otherwise(0)}
-    for s in ("a", "b"):
-        columns |= {f"edits_{s}": F.col(f"s{s}.edits"), f"hit_{s}": F.size(f"s{s}.hit"), f"out_{s}": F.size(f"s{s}.out"), f"right_{s}": F.size(f"s{s}.right"), f"plain_edits_{s}": F.when(F.size("sa.ref") == 0, F.col(f"s{s}.edits")).otherwise(0)}
-    lines = both.select("id", F.coalesce(F.nullif(F.col("cluster").cast("string"), F.lit("")), F.col("id").cast("string")).alias("cluster"), *[c.alias(n) for n, c in columns.items()])
+    lines = rows.select("id", F.coalesce(F.nullif(F.col("cluster").cast("string"), F.lit("")), F.col("id").cast("string")).alias("cluster"), F.coalesce(F.length("ref"), F.lit(0)).cast("long").alias("chars"), _form_counters(**rules)("ref", "a", "b").alias("_s"))
+    lines = lines.select("id", "cluster", "chars", "_s.*")
+    plain = (F.col("forms") == 0).cast("long")
+    lines = lines.withColumns({f"plain_{c}": plain * F.col(c) for c in ("chars", "edits_a", "edits_b")})
     stats = {"recall": ("hit_a", "forms", "hit_b", "forms"), "precision": ("right_a", "out_a", "right_b", "out_b"), "cer": ("edits_a", "chars", "edits_b", "chars"), "cer_without_forms": ("plain_edits_a", "plain_chars", "plain_edits_b", "plain_chars")}
-    return ratio_report(resampled(lines, "id", "cluster", list(columns), reps, seed), stats)
+    columns = list(dict.fromkeys(c for own in stats.values() for c in own))
+    return ratio_report(resampled(lines, "id", "cluster", columns, reps, seed), stats)
 
 
 def inserted_marks(rows: DataFrame, groups: list[str], ref: str, hyp: str, top: list[str] = TOP, bottom: list[str] = BOTTOM) -> DataFrame:

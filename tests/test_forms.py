@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import spans as N
-from sparkloom.functions.alignment import align_batch
+from sparkloom.functions.alignment import align_batch, column_points
 from sparkloom.operators import forms as O
 from sparkloom.operators import gates as G
 
@@ -51,6 +52,23 @@ def test_forms_by_hand(spark):
     assert none["recall"] is None and none["in_reference"] == 0
 
 
+def test_forms_in_arrays():
+    """Forms of lines in a row are those of each line; none reaches over a line's end."""
+    texts = [r[2] for r in readings(4, 200)] + ["ꦚ", "꧀ꦕ", "", "ꦚ꧀", "ꦕ", "ꦚ꧀ꦗ"]
+    places, lines = O._formed(*column_points(pa.array(texts)))
+    starts = [sum(map(len, texts[:k])) for k in range(len(texts))]
+    assert [(int(k), int(p) - starts[k]) for p, k in zip(places, lines, strict=True)] == [(k, i) for k, t in enumerate(texts) for i in sorted(found_in(t))]
+
+
+def test_compared_by_hand(spark):
+    rows = readings(2)
+    df = spark.createDataFrame([*rows, (999, None, None, "ꦉ", None)], "id int, cluster string, ref string, a string, b string")
+    got = {x["metric"]: x for x in O.compared(df, 8).collect()}
+    for hyp, side in (("a", "a"), ("b", "b")):
+        r = O.run_report(df, "ref", hyp).first()
+        assert {m: got[m][side] and round(got[m][side], 9) for m in got} == {m: r[m] for m in ("recall", "precision", "cer", "cer_without_forms")}
+
+
 def test_inserted_marks(spark):
     df = spark.createDataFrame([("x", "ꦏ", "ꦏꦶꦸ"), ("x", "ꦏꦶ", "ꦏꦷ"), ("y", "ꦏꦶ", "ꦏ"), ("y", None, "ꦶ")], "c string, ref string, hyp string")
     assert sorted(map(tuple, O.inserted_marks(df, ["c"], "ref", "hyp").collect())) == [("x", 2, 1, 1), ("y", 2, 1, 0)]
