@@ -103,6 +103,16 @@ def test_near_vectors_across_blocks(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(89, 0)}
 
 
+def test_near_vectors_in_rounds(spark, monkeypatch):
+    """Filters that travel in several rounds and buckets, packed by a few at once, some of them hot, give the same links; so do vectors of several lengths."""
+    for name, value in (("ROUND", 500), ("BUCKET", 64), ("HELD", 100), ("BLOCK", 12)):
+        monkeypatch.setattr(embedding_caps, name, value)
+    rows = clustered(6) + [(2000 + i, v) for i, v in clustered(7, dim=9, clusters=3, alone=5)]
+    linked, label = near_by_hand(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_caps.near_duplicates(vectors(spark, rows)).collect()}
+    assert got == {i: (len(linked[n]), label[n]) for n, (i, _) in enumerate(rows)}
+
+
 def test_near_vectors_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [0.0, 1.0]), (11, [0.0, 5.0]), (12, [-1.0, 0.0])]
