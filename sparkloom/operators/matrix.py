@@ -45,9 +45,9 @@ def _of(kind: str) -> Column:
 
 
 def by_page(scores: DataFrame, methods: list[str], kinds: list[str]) -> DataFrame:
-    """One row per page: lines, characters, longer lengths and edits of each method and kind, as columns <what>_<method number>_<kind number>."""
+    """One row per page: characters, longer lengths and edits of each method and kind, and lines of each method, as columns <what>_<method number>_<kind number>."""
     whats = {"lines": F.lit(1).cast("long"), "chars": F.col("chars"), "norm": F.col("norm"), "edits": F.col("edits")}
-    sums = [F.coalesce(F.sum(F.when((F.col("method") == m) & _of(k), c)), F.lit(0)).alias(f"{w}_{i}_{j}") for i, m in enumerate(methods) for j, k in enumerate(kinds) for w, c in whats.items()]
+    sums = [F.coalesce(F.sum(F.when((F.col("method") == m) & _of(k), c)), F.lit(0)).alias(f"{w}_{i}_{j}") for i, m in enumerate(methods) for j, k in enumerate(kinds) for w, c in whats.items() if w != "lines" or k == ALL]
     return scores.where(F.col("method").isin(methods)).groupBy("page").agg(*sums, *[(F.sum(_of(k).cast("long")) > 0).cast("long").alias(f"page_{j}") for j, k in enumerate(kinds)])
 
 
@@ -82,11 +82,12 @@ def pair_rates(lines: DataFrame, scores: DataFrame, pairs: list[tuple[str, str,
 def pair_intervals(scores: DataFrame, pairs: list[tuple[str, str, str]], kinds: list[str], reps: int = 10_000, seed: int = 0) -> DataFrame:
     """(label, kind, measure, low, high): 95 % intervals of the differences of pair_rates by resampled pages, all over the same draws.
 
-    A page's row holds every method, so that one pass of weights serves all pairs; one row of sums per resample leaves a task.
+    A page's row holds every method, so that one pass of weights serves all pairs; one row of sums per resample leaves a task. All columns of a page are
+    summed, so that its rows are those of pair_rates and Spark shuffles and scores them once for both.
     """
     methods, sets = _names(pairs, kinds)
     pages = by_page(scores, methods, sets)
-    columns = [c for c in pages.columns if c.split("_")[0] in ("edits", "chars", "norm")]
+    columns = [c for c in pages.columns if c != "page"]
     stats, named = {}, []
     for n, (label, a, b) in enumerate(pairs):
         x, y = methods.index(a), methods.index(b)
@@ -94,7 +95,7 @@ def pair_intervals(scores: DataFrame, pairs: list[tuple[str, str, str]], kinds:
             for measure, over in (("cer", "chars"), ("ned", "norm")):
                 stats[f"{n}:{j}:{measure}"] = (f"edits_{x}_{j}", f"{over}_{x}_{j}", f"edits_{y}_{j}", f"{over}_{y}_{j}")
                 named.append((f"{n}:{j}:{measure}", label, k, measure))
-    found = C.ratio_report(C.resampled(pages, "page", "page", columns, reps, seed), stats)
+    found = C.ratio_report(C.resampled(pages, "page", "page", columns, reps, seed, ("clusters",)), stats)
     names = scores.sparkSession.createDataFrame(named, "metric string, label string, kind string, measure string")
     return found.join(F.broadcast(names), "metric").select("label", "kind", "measure", F.col("clusters_low").alias("low"), F.col("clusters_high").alias("high"))  # one row per declared pair, kind and measure
 

@@ -82,3 +82,11 @@ def test_stages_with_their_last_validation(spark, lines, readings):
     stages = [("base", "good", "bad", "r1", "r2"), ("cut", "half", "bad", "r1", "r2")]
     rows = O.stage_rates(lines, O.scored(lines, readings), stages, logs, ["print"]).collect()
     assert {(r["stage"], r["kind"], r["place"], r["val_a"], r["val_b"]) for r in rows} == {("base", "print", 0, 0.25, None), ("base", "all", 0, 0.25, None)}
+
+
+def test_pages_hold_and_draw_only_what_is_used(spark, lines, readings):
+    """Rates and intervals read the same columns of a page, so that its scores serve both, and pages are drawn as clusters only."""
+    got = O.by_page(O.scored(lines, readings), ["bad", "good"], ["print", O.ALL])
+    assert [c for c in got.columns if c.startswith("lines")] == ["lines_0_1", "lines_1_1"]
+    pages = spark.createDataFrame([(i, 1.0) for i in range(5)], "page long, x double")
+    assert {r["kind"] for r in C.resampled(pages, "page", "page", ["x"], 8, 0, ("clusters",)).collect()} == {"all", "clusters"}
